@@ -21,17 +21,19 @@ def seeded_hash(seed: int, *parts: Column | str) -> Column:
     return F.md5(F.concat_ws(":", *pieces, F.lit(str(seed))).cast("binary"))
 
 
-def unit_draw(digest: Column) -> Column:
-    """A number in [0, 1) from the leading digits of a hash."""
-    whole = F.conv(F.substring(digest, 1, _HEX_DIGITS), 16, 10).cast("bigint")
-    return whole.cast("double") / F.lit(float(16**_HEX_DIGITS))
+def _digits(digest: Column, start: int) -> Column:
+    return F.conv(F.substring(digest, start, _HEX_DIGITS), 16, 10).cast("bigint")
 
 
-def int_draw(digest: Column, bound: Column | int) -> Column:
-    """A whole number in [0, bound) from the leading digits of a hash."""
+def unit_draw(digest: Column, start: int = 1) -> Column:
+    """A number in [0, 1) from 12 hex digits of a hash."""
+    return _digits(digest, start).cast("double") / F.lit(float(16**_HEX_DIGITS))
+
+
+def int_draw(digest: Column, bound: Column | int, start: int = 1) -> Column:
+    """A whole number in [0, bound) from 12 hex digits of a hash."""
     bound = F.lit(bound) if isinstance(bound, int) else bound
-    whole = F.conv(F.substring(digest, 1, _HEX_DIGITS), 16, 10).cast("bigint")
-    return F.pmod(whole, bound.cast("bigint"))
+    return F.pmod(_digits(digest, start), bound.cast("bigint"))
 
 
 def prefix_digits(partitions: int) -> int:
