@@ -61,8 +61,8 @@ def bh_adjust(df: DataFrame, pvalue: str, name: str = "p_adjust") -> DataFrame:
         .agg(F.count(F.lit(1)).alias(n))
     )
     total = counts.agg(F.sum(n)).scalar()
-    raw = running(counts, value, sums=[n]).select(
-        value, (F.col(value) * total / F.col(f"running_sum_{n}")).alias("_raw")
+    raw = running(counts, value, sums=[n], keep_blocks=True).withColumn(
+        "_raw", F.col(value) * total / F.col(f"running_sum_{n}")
     )
     adjusted = running(raw, value, mins=["_raw"], descending=True).select(
         value, F.col("running_min__raw").alias(name)
@@ -128,17 +128,20 @@ def enrich(
         & (F.col("p_adjust") <= p_cut)
         & (F.col("q_value").isNull() | (F.col("q_value") <= q_cut))
     )
-    lists = (
-        hits.join(passing.select("term_id"), "term_id", "left_semi")
+    table = F.struct(*[c for c in passing.columns if c != "term_id"])
+    return (
+        hits.select("term_id", "gene_id")
+        .join(passing.select("term_id", table.alias("t")), "term_id")
         .groupBy("term_id")
-        .agg(F.sort_array(F.collect_list("gene_id")).alias("genes"))
-    )
-    return passing.join(lists, "term_id").select(
-        "term_id", "description",
-        F.concat_ws("/", "k", "n").alias("gene_ratio"),
-        F.concat_ws("/", "big_m", "big_n").alias("bg_ratio"),
-        "k", "n", "big_m", "big_n", "pvalue", "p_adjust", "q_value", "genes",
-        F.col("k").alias("count"),
+        .agg(F.first("t").alias("t"), F.sort_array(F.collect_list("gene_id")).alias("genes"))
+        .select("term_id", "t.*", "genes")
+        .select(
+            "term_id", "description",
+            F.concat_ws("/", "k", "n").alias("gene_ratio"),
+            F.concat_ws("/", "big_m", "big_n").alias("bg_ratio"),
+            "k", "n", "big_m", "big_n", "pvalue", "p_adjust", "q_value", "genes",
+            F.col("k").alias("count"),
+        )
     )
 
 

@@ -111,7 +111,10 @@ def hash_index(
 
 
 def _with_blocks(df: DataFrame, order: str, blocks: int | None) -> DataFrame:
-    """Add the quantile block of ``order``; equal values share a block."""
+    """Add the quantile block of ``order``; equal values share a block. A frame
+    that has its blocks keeps them."""
+    if _BLOCK in df.columns:
+        return df
     wanted = min(blocks or _partitions(df), _MAX_BLOCKS)
     cuts: list[float] = []
     if wanted > 1:
@@ -135,10 +138,12 @@ def running(
     mins: Sequence[str] = (),
     descending: bool = False,
     blocks: int | None = None,
+    keep_blocks: bool = False,
 ) -> DataFrame:
     """Add ``running_sum_<c>`` and ``running_min_<c>`` up to and with each row.
 
-    ``order`` is a double column, without NULL and unique.
+    ``order`` is a double column, without NULL and unique. ``keep_blocks`` lets
+    a second pass over the same order do without new borders and a new shuffle.
     """
     jobs = [("sum", c, F.sum) for c in sums] + [("min", c, F.min) for c in mins]
     ranked = _with_blocks(df, order, blocks)
@@ -161,8 +166,9 @@ def running(
             return F.coalesce(earlier, F.lit(0)) + here
         return F.least(earlier, here)
 
+    own = [c for c in df.columns if c != _BLOCK] + ([_BLOCK] if keep_blocks else [])
     return inside.join(F.broadcast(offsets), _BLOCK).select(
-        *df.columns, *[total(kind, c).alias(f"running_{kind}_{c}") for kind, c, _ in jobs]
+        *own, *[total(kind, c).alias(f"running_{kind}_{c}") for kind, c, _ in jobs]
     )
 
 

@@ -14,17 +14,17 @@ from caselight.sources.layouts import Field, Layout
 
 ERROR = "_error"
 CUT = "_cut_fields"
+_RAW, _SIZE = "_raw", "_size"
 
 
-def _text(raw: Column, field: Field, charset: str) -> Column:
-    piece = F.substring(raw, field.start, field.width)
+def _text(field: Field, charset: str) -> Column:
+    piece = F.substring(F.col(_RAW), field.start, field.width)
     if charset.upper().replace("-", "") == "UTF8":
         # A slice may end inside a multi-byte letter; such bytes become U+FFFD.
         text = F.make_valid_utf8(piece.cast("string"))
     else:
         text = F.decode(piece, charset)
-    text = F.trim(text)
-    return F.when((text != "") & (text != "."), text)
+    return F.trim(text)
 
 
 def parse_fixed_width(
@@ -40,29 +40,41 @@ def parse_fixed_width(
     sets ``_error``. A field the record ends inside of gives NULL under
     ``short_field="missing"`` and what is left of it under ``"truncate"``;
     either way it counts in ``_cut_fields``.
+
+    The projections are staged - cut, clear blanks, read numbers - so that each
+    slice is made once however often its value is looked at.
     """
     if short_field not in ("missing", "truncate"):
         raise ValueError("short_field is 'missing' or 'truncate'")
-    raw = F.col(column).cast("binary")
-    size = F.octet_length(F.col(column))
-    columns, bad, cut = [], F.lit(False), F.lit(0)
-    for field in layout.fields:
-        text = _text(raw, field, charset)
-        is_cut = (size >= field.start) & (size < field.end)
+    raw = df.select(
+        F.col(column).cast("binary").alias(_RAW), F.octet_length(column).alias(_SIZE)
+    )
+    size = F.col(_SIZE)
+    cut = raw.select(_SIZE, *[_text(f, charset).alias(f.name) for f in layout.fields])
+
+    def present(field: Field) -> Column:
+        text = F.col(field.name)
+        there = (text != "") & (text != ".")
         if short_field == "missing":
-            text = F.when(size >= field.end, text)
-        if field.numeric:
-            number = text.try_cast("bigint")
-            bad = bad | (text.isNotNull() & number.isNull())
-            columns.append(number.alias(field.name))
-        else:
-            columns.append(text.alias(field.name))
-        if field.width > 1:
-            cut = cut + is_cut.cast("int")
-    return df.select(
-        *columns,
-        F.coalesce(bad, F.lit(False)).alias(ERROR),
-        F.coalesce(cut, F.lit(0)).alias(CUT),
+            there = there & (size >= field.end)
+        return F.when(there, text).alias(field.name)
+
+    texts = cut.select(_SIZE, *[present(f) for f in layout.fields])
+    numbers = [f for f in layout.fields if f.numeric]
+    read = texts.select(
+        "*", *[F.col(f.name).try_cast("bigint").alias(f"_n_{f.name}") for f in numbers]
+    )
+    bad = F.lit(False)
+    for f in numbers:
+        bad = bad | (F.col(f.name).isNotNull() & F.col(f"_n_{f.name}").isNull())
+    wide = [f for f in layout.fields if f.width > 1]
+    inside = F.lit(0)
+    for f in wide:
+        inside = inside + ((size >= f.start) & (size < f.end)).cast("int")
+    return read.select(
+        *[F.col(f"_n_{f.name}" if f.numeric else f.name).alias(f.name) for f in layout.fields],
+        bad.alias(ERROR),
+        F.coalesce(inside, F.lit(0)).alias(CUT),
     )
 
 

@@ -34,8 +34,20 @@ def use_checkpoints(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared_dir(spark) + "/rdd")
 
 
+def _application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/caselight-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below this application's part of the shared folder."""
+    return f"{_application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written between stages. Call it when
+    no result that still reads from there is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
