@@ -160,10 +160,11 @@ def _quantile(prob: float, theta: Theta, n: np.ndarray, e: np.ndarray, qn: np.nd
         high[rows] = np.where(below, high[rows], here)
         with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
             step = here - gap / slope(here, rows)
-        inside = (step > low[rows]) & (step < high[rows])
-        x[rows] = np.where(inside, step, (low[rows] + high[rows]) / 2)
-        moved = np.abs(x[rows] - here) > 1e-12 * np.maximum(1e-12, here)
-        rows = rows[moved & (gap != 0)]
+        # A step of nothing lands on the border just moved and has to count.
+        inside = (step >= low[rows]) & (step <= high[rows])
+        after = np.where(inside, step, (low[rows] + high[rows]) / 2)
+        x[rows] = np.where(gap == 0, here, after)
+        rows = rows[np.abs(x[rows] - here) > 1e-12 * np.maximum(1e-12, here)]
     return x
 
 
