@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from caselight.operators.folds import fold_split, stratified_folds
 from caselight.operators.smote import smote
-from caselight.storage import scratch_path, use_checkpoints
+from caselight.storage import scratch_path, use_checkpoints, written
 
 VECTOR = "_features"
 
@@ -120,7 +120,7 @@ def grid_search(
         return smote(part, features, label, key, seed=smote_seed)
 
     rows = df.select(key, label, *features)
-    everything = balanced(rows) if oversample != "none" else rows
+    everything = written(balanced(rows), "balanced") if oversample != "none" else rows
     to_fold = everything if oversample == "before_cv" else rows
     folded = stratified_folds(to_fold, label, k, seed, key).persist()
     try:
@@ -162,12 +162,11 @@ def _mean_over_folds(
     totals = [0.0] * len(trials)
     for fold in range(k):
         train, valid = fold_split(folded, fold)
-        part = balanced(train).persist()
+        part = written(balanced(train), "balanced")
         held = assemble(valid, features)
         for i, params in enumerate(trials):
             model = fit_gbt(part, features, label, params)
             totals[i] += _accuracy(label).evaluate(model.transform(held))
-        part.unpersist()
     return [t / k for t in totals]
 
 

@@ -107,7 +107,9 @@ def enrich(
         "gene-sets",
     )
     query = genes.select("gene_id").dropna().distinct()
-    hits = members.join(query, "gene_id", "left_semi")
+    hits = written(
+        members.select("term_id", "gene_id").join(query, "gene_id", "left_semi"), "hits"
+    )
     background = members.agg(F.count_distinct("gene_id")).scalar()
     drawn = hits.agg(F.count_distinct("gene_id")).scalar()
     sizes = (
@@ -130,8 +132,7 @@ def enrich(
     )
     table = F.struct(*[c for c in passing.columns if c != "term_id"])
     return (
-        hits.select("term_id", "gene_id")
-        .join(passing.select("term_id", table.alias("t")), "term_id")
+        hits.join(passing.select("term_id", table.alias("t")), "term_id")
         .groupBy("term_id")
         .agg(F.first("t").alias("t"), F.sort_array(F.collect_list("gene_id")).alias("genes"))
         .select("term_id", "t.*", "genes")

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from caselight.storage import written
 
 _CHUNK = 8192  # points per side of one comparison task
-_MAX_PIVOTS = 512  # per class
+_MAX_PIVOTS = 512  # per class ...
+_ALL_PIVOTS = 4096  # ... and in all; they are held on the driver and in every task
 _MAX_CLASSES = 1000
 _BLOCK = 512  # visitors compared at a time inside a task
 
@@ -172,7 +173,8 @@ def nearest_points(
     sizes = class_sizes(points, "label")
 
     def pivots_for(n: int) -> int:
-        return 1 if n <= chunk else min(max_pivots, math.ceil(math.sqrt(n)))
+        most = min(max_pivots, max(1, _ALL_PIVOTS // len(sizes)))
+        return 1 if n <= chunk else min(most, math.ceil(math.sqrt(n)))
 
     # Ids are hashes, so the smallest are a random, repeatable choice. The rank
     # limit is applied before the shuffle as well as after it.

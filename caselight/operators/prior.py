@@ -192,6 +192,18 @@ def _derivatives(f: np.ndarray, size: int, h: float) -> tuple[np.ndarray, np.nda
     return gradient, hessian
 
 
+def _steps(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray) -> list[np.ndarray]:
+    """Where downhill steps of growing damping lead, the undamped one first."""
+    size, axes = np.linalg.eigh(hessian)
+    size = np.maximum(np.abs(size), 1e-8 * max(1.0, np.abs(size).max()))
+    out = []
+    for damping in (0.0, 1e-4, 1e-3, 1e-2, 0.1, 0.3, 1.0, 3.0, 10.0, 100.0):
+        step = -axes @ ((axes.T @ gradient) / (size + damping * np.abs(size).mean()))
+        length = np.linalg.norm(step)
+        out.append(x + step * min(1.0, 2.0 / length if length else 1.0))
+    return out
+
+
 def fit_prior(
     squashed: DataFrame,
     theta_init: Theta = THETA_INIT,
@@ -200,39 +212,36 @@ def fit_prior(
 ) -> DataFrame:
     """Minimise ``neg_log_lik`` from ``theta_init``; one row: theta, its value, steps.
 
-    Each step is two Spark jobs: one evaluates the points that slopes and
-    curvatures come from, one a range of damped steps, of which the best is
-    taken if it improves. Logs and a logit keep the parameters in range.
+    One Spark job tries downhill steps of several dampings, and the points
+    around the undamped one that the next slopes and curvatures come from. Only
+    if a damped step is the best does a second job look around that one. Logs
+    and a logit keep the parameters in range.
     """
     spark = squashed.sparkSession
     table = squashed.groupBy("N", "E").agg(F.sum("weight").alias("weight")).persist()
     try:
-        x, h = _to_free(theta_init), 1e-3
-        steps, value = 0, None
+        x, h, steps = _to_free(theta_init), 1e-3, 0
+        around = _values(table, _stencil(x, h))
+        value = around[0]
         while steps < max_steps:
-            f = _values(table, _stencil(x, h))
-            value = f[0]
-            gradient, hessian = _derivatives(f, len(x), h)
+            gradient, hessian = _derivatives(around, len(x), h)
             if not (np.isfinite(gradient).all() and np.isfinite(hessian).all()):
                 break
-            size, axes = np.linalg.eigh(hessian)
-            size = np.maximum(np.abs(size), 1e-8 * max(1.0, np.abs(size).max()))
-            scale = np.abs(size).mean()
-            trials = []
-            for damping in (0.0, 1e-4, 1e-3, 1e-2, 0.1, 0.3, 1.0, 3.0, 10.0, 100.0):
-                step = -axes @ ((axes.T @ gradient) / (size + damping * scale))
-                length = np.linalg.norm(step)
-                trials.append(x + step * min(1.0, 2.0 / length if length else 1.0))
-            tried = _values(table, trials)
-            best = int(np.argmin(tried))
             steps += 1
-            gain = value - tried[best]
-            if gain > 0:
-                x, value = trials[best], tried[best]
+            newton, *damped = _steps(x, gradient, hessian)
+            stencil = _stencil(newton, h)
+            tried = _values(table, [*stencil, *damped])
+            ahead, others = tried[: len(stencil)], tried[len(stencil) :]
+            best = int(np.argmin(others))
+            gain = value - min(ahead[0], others[best])
+            if gain > 0 and ahead[0] <= others[best]:
+                x, around = newton, ahead
+            elif gain > 0:
+                x = damped[best]
+                around = _values(table, _stencil(x, h))
+            value = around[0]
             if gain <= tolerance * (1 + abs(value)):
                 break
-        if value is None:
-            value = _values(table, [x])[0]
         row = (*_to_theta(x).astuple(), float(value), steps)
         return spark.createDataFrame(
             [row],
