@@ -81,21 +81,15 @@ def hash_index(
     blocks = hashed.groupBy(group, _BLOCK).agg(
         F.count(F.lit(1)).alias("_size"), F.min(key).alias("_first")
     )
-    earlier = Window.partitionBy(group).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
     if across_groups:
-        ahead = _whole_table(F.col("_first")).rowsBetween(Window.unboundedPreceding, -1)
-        groups = (
-            blocks.groupBy(group)
-            .agg(F.sum("_size").alias("_size"), F.min("_first").alias("_first"))
-            .select(
-                F.col(group).alias("_group"),
-                F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_ahead"),
-            )
-        )
-        offsets = offsets.join(groups, F.col(group).eqNullSafe(F.col("_group"))).withColumn(
-            "_before", F.col("_before") + F.col("_ahead")
-        )
+        # As many rows as there are blocks and groups, so one window may hold them.
+        group_first = F.min("_first").over(Window.partitionBy(group))
+        blocks = blocks.withColumn("_first", group_first)
+        earlier = _whole_table(F.col("_first"), F.col(group), F.col(_BLOCK))
+    else:
+        earlier = Window.partitionBy(group).orderBy(_BLOCK)
+    before = F.sum("_size").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = blocks.withColumn("_before", F.coalesce(before, F.lit(0)))
     offsets = offsets.select(
         F.col(group).alias("_group"), F.col(_BLOCK).alias("_of"), "_before"
     )

@@ -52,7 +52,7 @@ def disproportionality(
     """
     rows = df.select(
         F.col(id).alias("id"), F.col(var1).alias("var1"), F.col(var2).alias("var2")
-    ).dropna()
+    ).filter("id is not null and var1 is not null and var2 is not null")
     none1, none2 = (F.lit(None).cast(rows.schema[c].dataType) for c in ("var1", "var2"))
 
     def key(kind: int, first: Column, second: Column) -> Column:
@@ -70,6 +70,7 @@ def disproportionality(
         .groupBy("kind", "var1", "var2")
         .agg(F.count(F.lit(1)).alias("ids")),
         "pair-counts",
+        "kind",
     )
     of_kind = {kind: counts.filter(F.col("kind") == kind) for kind in (_PAIR, _VAR1, _VAR2, _ALL)}
     total = of_kind[_ALL].select(F.col("ids").cast("double")).scalar()
