@@ -174,7 +174,9 @@ def nearest_points(
 
     def pivots_for(n: int) -> int:
         most = min(max_pivots, max(1, _ALL_PIVOTS // len(sizes)))
-        return 1 if n <= chunk else min(most, math.ceil(math.sqrt(n)))
+        # Cells of about a chunk: should nothing be ruled out, a point is still
+        # sent no farther than a plain grid of chunks would send it.
+        return min(most, math.ceil(n / chunk))
 
     # Ids are hashes, so the smallest are a random, repeatable choice. The rank
     # limit is applied before the shuffle as well as after it.
