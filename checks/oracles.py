@@ -346,6 +346,9 @@ _SQL: dict[str, str] = {
         select N, round(E, 9) as E, weight::bigint as weight from twice""",
     "neg_log_lik": f"""with {_PART_PAIRS}, {_COUNTED}, {_SQUASH_ONE}, {_SQUASH_TWO}
         {_likelihood()}""",
+    "fit_prior_improves": f"""with {_PART_PAIRS}, {_COUNTED}, {_SQUASH_ONE}, {_SQUASH_TWO}
+        select neg_log_lik as start, true as improved, true as in_range
+        from ({_likelihood()}) where theta_id = 0""",
     # genes
     "map_ids": """select s_suppkey, s_nationkey, n_name from supplier
         join nation on s_nationkey = n_nationkey where n_regionkey <> 0""",
@@ -405,6 +408,15 @@ _SQL: dict[str, str] = {
         steps as (select (recall - lag(recall) over w) * (precision + lag(precision) over w) / 2 as a
           from curve window w as (order by threshold desc nulls first))
         select round(sum(a), 9) as auprc from steps""",
+    # models: which rows are scored, and on which side of the fold
+    "gbt_scores_sound": """select vec_id, (label = 0)::int as label, true as sound
+        from embeddings""",
+    "mlp_final_sound": f"""with vectors as (
+          select vec_id, (label = 0)::int as label from embeddings),
+        {_FOLD_ORDER.removeprefix("with ").format(
+            label="label", key="vec_id", table="vectors", columns="vec_id", k=5)}
+        select vec_id, case when fold = 0 then 'valid' else 'train' end as side,
+          fold::int as fold, true as sound from numbered""",
     # oversampling
     "knn_within_class": f"""with {_NEAR} select label, key, slot::int as slot, neighbour,
         round(distance, 6) as distance from near""",

@@ -19,7 +19,7 @@ from caselight.operators import (
     signals,
 )
 from caselight.operators.smote import smote
-from caselight.plans import scoring
+from caselight.plans import classify, scoring
 from caselight.plans.classify import FOLD_SEED
 from caselight.plans.loading import load_extracts
 from caselight.sources import tables
@@ -423,6 +423,18 @@ def fit_prior(spark, sf_dir):
     return prior.fit_prior(_thinned(spark, sf_dir), tolerance=1e-7)
 
 
+def fit_prior_improves(spark, sf_dir):
+    """The start value, which SQL can say, and that the fit is no worse and in range."""
+    thinned = _thinned(spark, sf_dir)
+    start = prior.neg_log_lik(thinned, [signals.THETA_INIT]).select("neg_log_lik").scalar()
+    fitted = prior.fit_prior(thinned, max_steps=5)
+    return fitted.select(
+        F.round(start, 4).alias("start"),
+        (F.col("neg_log_lik") <= start).alias("improved"),
+        F.expr("least(alpha1, beta1, alpha2, beta2) > 0 and p > 0 and p < 1").alias("in_range"),
+    )
+
+
 # --- genes ---------------------------------------------------------------------------
 
 
@@ -614,6 +626,40 @@ def mlp_untrained(spark, sf_dir):
     return metrics.prediction_share(neural.score_both_sides(model, train, valid, NARROW))
 
 
+def _sound(scored: DataFrame, *names: str) -> DataFrame:
+    """Which rows were scored, and that score and prediction go together."""
+    return scored.select(
+        *names,
+        F.expr("score between 0 and 1 and (prediction = 1) = (score > 0.5)").alias("sound"),
+    )
+
+
+def gbt_scores_sound(spark, sf_dir):
+    vectors = written(_vectors(spark, sf_dir), "vectors")
+    model = boosting.fit_gbt(vectors, EMBEDDED, "label", _FEW_ROUNDS)
+    return _sound(boosting.score(model, vectors, EMBEDDED), "vec_id", "label")
+
+
+def mlp_final_sound(spark, sf_dir):
+    """The final network scores every row of both sides of fold 0."""
+    train, valid = folds.fold_split(_scaled_folds(spark, sf_dir, 5), 0)
+    model, _ = neural.fit_mlp(train, NARROW, "label", max_iter=5)
+    scored = neural.score_both_sides(model, train, valid, NARROW)
+    return _sound(scored, "vec_id", "side", "fold")
+
+
+def boosted_measures(spark, sf_dir):
+    """The boosted job end to end, few rounds: one row of measures."""
+    vectors = written(_vectors(spark, sf_dir, NARROW), "vectors")
+    judged = classify.boosted(
+        vectors, NARROW, "label", "vec_id", {"rounds": [3]}, _FEW_ROUNDS, search_folds=2
+    )
+    one = {c: judged.measures[c].select(c).scalar() for c in ("roc_auc", "auprc")}
+    return judged.measures["report"].select(
+        "tp", "fp", "fn", "tn", "f1", *[v.alias(c) for c, v in one.items()]
+    )
+
+
 _QUERIES = (
     fixed_width_parse, fixed_width_errors, fixed_width_short_missing, fixed_width_short_truncate,
     fixed_width_latin1, load_extracts_report,
@@ -623,13 +669,14 @@ _QUERIES = (
     shape, value_counts, class_share, describe_features, fit_scaler, standardize,
     stratified_folds, stratified_folds_five, fold_split_train, fold_split_valid, split_report,
     disproportionality, disproportionality_parts, mixture_weight, ebgm, posterior_quantile,
-    signal_scores, squash_once, squash, neg_log_lik, fit_prior,
+    signal_scores, squash_once, squash, neg_log_lik, fit_prior, fit_prior_improves,
     map_ids, unmapped_ids, enrich, enrich_all_tested, hypergeom_sf, bh_adjust, q_value,
     set_readable, top_terms, term_gene_edges, term_gene_nodes,
     accuracy, classification_report, prediction_share, log_loss, evaluate, roc_auc, pr_curve, auprc,
     knn_within_class, smote_rows, smote_balance,
     gbt_scores, grid_search_gbt, grid_search_within_fold, feature_importance,
-    mlp_sweep, mlp_history, mlp_final, mlp_untrained,
+    gbt_scores_sound, boosted_measures,
+    mlp_sweep, mlp_history, mlp_final, mlp_untrained, mlp_final_sound,
 )
 
 

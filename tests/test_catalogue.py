@@ -10,7 +10,7 @@ from checks.queries import queries
 
 SF_DIR = "/root/testdata/sf0.001"
 # Too few pairs at this size to be thinned; see test_signals.
-TOO_SMALL = {"squash_once", "squash", "neg_log_lik", "fit_prior"}
+TOO_SMALL = {"squash_once", "squash", "neg_log_lik", "fit_prior", "fit_prior_improves"}
 QUERIES, SQL = queries(), oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no driver tables")
