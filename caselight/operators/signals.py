@@ -40,38 +40,36 @@ def disproportionality(
 ) -> DataFrame:
     """N, E, RR and PRR of every observed (var1, var2) pair, counting distinct ids.
 
-    Rows with a NULL id or variable belong to no pair. Each row gives four keys
-    - pair, var1, var2 and none - and the distinct ids of each are counted by
-    one scan, one shuffle on (id, key) with map-side combining, and one small
-    shuffle of counts. The id is part of the first key, so a variable found in
-    most reports does not fill one task. The counts are written once; pairs and
-    margins are then read from there.
+    Rows with a NULL id or variable belong to no pair. (id, var1, var2) triples
+    are made distinct first; that one shuffle of the rows, with map-side
+    combining, feeds all counts. Pairs are counted from it directly. For the
+    margins each triple gives three keys - var1, var2 and none - whose ids are
+    made distinct again. The id is part of every shuffle key until only counts
+    are left, so a variable found in most reports does not fill one task. The
+    counts are written once; pairs and margins are then read from there.
 
     PRR is infinite when only var1's reports have var2, and NULL when every
     report has var1.
     """
-    rows = df.select(
-        F.col(id).alias("id"), F.col(var1).alias("var1"), F.col(var2).alias("var2")
-    ).filter("id is not null and var1 is not null and var2 is not null")
-    none1, none2 = (F.lit(None).cast(rows.schema[c].dataType) for c in ("var1", "var2"))
+    triples = (
+        df.select(F.col(id).alias("id"), F.col(var1).alias("var1"), F.col(var2).alias("var2"))
+        .filter("id is not null and var1 is not null and var2 is not null")
+        .distinct()
+    )
+    none1, none2 = (F.lit(None).cast(triples.schema[c].dataType) for c in ("var1", "var2"))
 
     def key(kind: int, first: Column, second: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), first.alias("var1"), second.alias("var2"))
 
     keys = F.array(
-        key(_PAIR, F.col("var1"), F.col("var2")),
-        key(_VAR1, F.col("var1"), none2),
-        key(_VAR2, none1, F.col("var2")),
-        key(_ALL, none1, none2),
+        key(_VAR1, F.col("var1"), none2), key(_VAR2, none1, F.col("var2")), key(_ALL, none1, none2)
     )
-    counts = written(
-        rows.select("id", F.inline(keys))
-        .distinct()
-        .groupBy("kind", "var1", "var2")
-        .agg(F.count(F.lit(1)).alias("ids")),
-        "pair-counts",
-        "kind",
+    ids = F.count(F.lit(1)).alias("ids")
+    pairs = triples.groupBy(F.lit(_PAIR).alias("kind"), "var1", "var2").agg(ids)
+    margins = (
+        triples.select("id", F.inline(keys)).distinct().groupBy("kind", "var1", "var2").agg(ids)
     )
+    counts = written(pairs.unionByName(margins), "pair-counts", "kind")
     of_kind = {kind: counts.filter(F.col("kind") == kind) for kind in (_PAIR, _VAR1, _VAR2, _ALL)}
     total = of_kind[_ALL].select(F.col("ids").cast("double")).scalar()
     counted = (
