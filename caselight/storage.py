@@ -2,29 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_WAREHOUSE_KEY = "spark.sql.warehouse.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
+    """The folder every executor can reach.
 
-    Only a local session may go without the setting; it gets a temporary
-    folder. On a cluster a missing setting is an error, because a
-    machine-local folder would be lost together with its machine.
+    ``spark.checkpoint.dir`` names it; where that is unset it is a folder below
+    ``spark.sql.warehouse.dir``, which tables need to be shared anyway. The rule
+    is the same on every master.
     """
     configured = spark.conf.get(_CHECKPOINT_KEY, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_CHECKPOINT_KEY} to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="caselight-")
-    spark.conf.set(_CHECKPOINT_KEY, folder)
-    return folder
+    return spark.conf.get(_WAREHOUSE_KEY).rstrip("/") + "/_scratch"
 
 
 def use_checkpoints(spark: SparkSession) -> None:
@@ -43,11 +39,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_application_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` in whatever file system it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this application has written between stages. Call it when
     no result that still reads from there is needed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, _application_dir(spark))
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
