@@ -3,5 +3,27 @@
 from __future__ import annotations
 
 
+OP5 = r"""
+WITH words AS (
+    SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents
+    UNION ALL
+    SELECT 'i', item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') FROM benchmark
+), shingles AS (
+    SELECT DISTINCT kind, id,
+           w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] || ' ' || w[k + 3] || ' ' || w[k + 4] AS s
+    FROM (SELECT kind, id, w, unnest(range(1, len(w) - 3)) AS k FROM words WHERE len(w) >= 5)
+), sizes AS (
+    SELECT id, count(*) AS n FROM shingles WHERE kind = 'i' GROUP BY id
+), shared AS (
+    SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared
+    FROM shingles d JOIN shingles i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i'
+    GROUP BY d.id, i.id
+)
+SELECT doc_id, item_id, shared, n AS item_shingles, shared / n AS containment
+FROM shared JOIN sizes ON sizes.id = shared.item_id
+WHERE 5 * shared >= 4 * n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontaminate": OP5}

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from caselight.llm import bpe, simhash, token_counts
+from caselight.llm import bpe, decontaminate, line_dedup, simhash, token_counts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -16,11 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without passages of lines that an earlier place has."""
+    cleaned = line_dedup.line_dedup(table(spark, sf_dir, "documents"), removed="n_removed")
+    return cleaned.select(
+        "doc_id", "n_removed", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "text"
+    )
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item that a document holds to four fifths or more."""
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -33,4 +47,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op6_simhash, op10_token_counts)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_bpe, op5_decontaminate, op6_simhash, op10_token_counts)}
