@@ -25,5 +25,75 @@ WHERE 5 * shared >= 4 * n
 """
 
 
+# Redirects and canonical links join addresses; groups are found by spreading the
+# least address until nothing changes.
+OP8 = r"""
+WITH RECURSIVE rules(rule_host, rule_path, verdict) AS (
+    VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+           ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), linked AS (
+    SELECT url AS source,
+           regexp_extract(tag, '(?i)\b' || name || '\s*=\s*["'']?([^"''\s>]+)', 1) AS raw
+    FROM (
+        SELECT url, 'href' AS name,
+               regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0) AS tag FROM pages
+        UNION ALL
+        SELECT url, 'url',
+               regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0) FROM pages
+    )
+), targets AS (
+    SELECT source,
+           CASE WHEN contains(raw, '://') THEN replace(raw, '&amp;', '&')
+                WHEN starts_with(raw, '//') THEN regexp_extract(source, '^([^:/?#]*):', 1) || ':' || raw
+                WHEN starts_with(raw, '/') THEN regexp_extract(source, '^[^:/?#]*://[^/?#]*', 0) || raw END AS url
+    FROM linked
+), urls AS (
+    SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT url FROM targets) WHERE url IS NOT NULL
+), parts AS (
+    SELECT url,
+           translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+           regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1) AS query
+    FROM (
+        SELECT url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM urls
+    )
+), ruled AS (
+    SELECT p.*, r.rule_host || r.rule_path AS rule, r.verdict
+    FROM parts p LEFT JOIN rules r
+      ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path)
+    QUALIFY row_number() OVER (PARTITION BY p.url ORDER BY length(r.rule_host || r.rule_path) DESC NULLS LAST) = 1
+), addressed AS (
+    SELECT *,
+           CASE WHEN host <> '' THEN
+                regexp_replace(host, '^(www|m|mobile|amp)[.]', '') || regexp_replace(path, '/+$', '')
+                || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS node
+    FROM (
+        SELECT *, array_to_string(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(
+                   x, '^(utm_[^=&]*|ref|gclid|fbclid|mc_cid|mc_eid|igshid)=')), '&') AS kept
+        FROM ruled
+    )
+), edges AS (
+    SELECT a.node AS u, b.node AS v
+    FROM targets t JOIN addressed a ON a.url = t.source JOIN addressed b ON b.url = t.url
+    WHERE a.node <> b.node
+), joined AS (
+    SELECT u, v FROM edges UNION SELECT v, u FROM edges
+), reach AS (
+    SELECT DISTINCT node, node AS other FROM addressed WHERE node IS NOT NULL
+    UNION
+    SELECT r.node, b.v FROM reach r JOIN joined b ON b.u = r.other
+), shared AS (
+    SELECT r.node,
+           CASE WHEN bool_or(coalesce(a.verdict = 'allow', false)) THEN 'allow'
+                WHEN bool_or(coalesce(a.verdict = 'block', false)) THEN 'block' END AS verdict
+    FROM reach r JOIN addressed a ON a.node = r.other
+    GROUP BY r.node
+)
+SELECT p.page_id, coalesce(a.host, '') AS host, coalesce(a.path, '') AS path, a.rule,
+       coalesce(a.verdict, s.verdict, 'allow') AS verdict
+FROM pages p LEFT JOIN addressed a ON a.url = p.url LEFT JOIN shared s ON s.node = a.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5}
+    return {"op5_decontaminate": OP5, "op8_url_filter": OP8}

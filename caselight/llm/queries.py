@@ -8,11 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselight.llm import bpe, decontaminate, line_dedup, simhash, token_counts
+from caselight.llm import bpe, decontaminate, line_dedup, quality, simhash, token_counts, url_filter
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+# The rules that pages are judged by.
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -40,11 +49,32 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and the verdict of line-first cleaning."""
+    return quality.measures(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block or allow for every page, shared among equivalent urls."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy longest-match pieces of every document's text."""
     counted = token_counts.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
     return counted.select("doc_id", "n_pieces")
 
 
+OPERATORS = (
+    op1_line_dedup,
+    op3_bpe,
+    op5_decontaminate,
+    op6_simhash,
+    op7_quality,
+    op8_url_filter,
+    op10_token_counts,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_bpe, op5_decontaminate, op6_simhash, op10_token_counts)}
+    return {f.__name__: f for f in OPERATORS}
