@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselight.llm import bpe, decontaminate, line_dedup, quality, simhash, token_counts, url_filter
+from caselight.llm import (
+    bpe,
+    decontaminate,
+    html_text,
+    language_id,
+    line_dedup,
+    quality,
+    samples,
+    simhash,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -34,11 +46,27 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three of four folds."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.Model.fit(docs)
+    asked = docs.select("doc_id", "text", samples.held_out("doc_id").alias("held_out"))
+    return language_id.identify(asked, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from three of four folds."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.Model.fit(docs, table(spark, sf_dir, "labels"))
+    asked = docs.select("doc_id", "text", samples.held_out("doc_id").alias("held_out"))
+    return toxicity.score(asked, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every test item that a document holds to four fifths or more."""
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -59,6 +87,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy longest-match pieces of every document's text."""
     counted = token_counts.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
@@ -67,11 +101,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (
     op1_line_dedup,
+    op2_language_id,
     op3_bpe,
+    op4_toxicity,
     op5_decontaminate,
     op6_simhash,
     op7_quality,
     op8_url_filter,
+    op9_html_text,
     op10_token_counts,
 )
 
