@@ -227,3 +227,13 @@ def near_duplicates(
     return prints.join(by_print, "fp").select(
         key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def representatives(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, tile: int = TILE
+) -> DataFrame:
+    """The rows of ``docs`` whose key is the least of their group. A row without
+    a key is in no group of others' and stays."""
+    groups = near_duplicates(docs.where(F.col(key).isNotNull()), key, text, shingle, radius, tile)
+    gone = groups.where(F.col(key) != F.col("component_id")).select(F.col(key)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), key, "left_anti").select(*docs.columns)

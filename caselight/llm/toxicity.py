@@ -9,7 +9,8 @@ logistic loss the score is a probability.
 
 A text is the set of its words, and of the beginnings (of 4 to 6 bytes) of
 longer ones, all hashed to 22 bits, so that unseen forms of a known stem count.
-Candidates for weights are those much more common in toxic than in all text,
+Candidates for weights are those that make a text toxic with a chance of
+``LEAST_POSTERIOR`` by themselves and are in ``LEAST_SHARE`` of the toxic texts,
 counted in tasks over both samples; only those reach the driver.
 
 Samples are bounded: ``POSITIVES`` toxic texts, fetched by a broadcast of their
@@ -40,7 +41,8 @@ POSITIVES = 4_000
 UNLABELLED = 12_000
 CANDIDATES = 20_000
 LEAST_COUNT = 3
-LEAST_LIFT = 2.5
+LEAST_SHARE = 0.01
+LEAST_POSTERIOR = 0.75
 THRESHOLD = 0.3
 BEGINNINGS = (4, 5, 6)
 _BITS = 22
@@ -126,13 +128,17 @@ class Model:
         prior: float | None = None,
     ) -> Model | None:
         """None without a toxic example. ``prior`` is the share of toxic text;
-        unless given, that among the labels one may learn from."""
+        unless given, that among the labels one may learn from, less a standard
+        error: a prior too high would take more off the risk than there is."""
         known = samples.learnable(labels.select(F.col(key).alias("key"), F.col(label).alias("y")), "key")
         known = known.where("y is not null").groupBy("key").agg(F.max("y").alias("y"))
         told = known.agg(F.count("*").alias("n"), F.sum(F.col("y").cast("long")).alias("toxic")).first()
         if not told["toxic"]:
             return None
-        prior = min(0.99, prior if prior is not None else told["toxic"] / told["n"])
+        if prior is None:
+            share = told["toxic"] / told["n"]
+            prior = max(share / 2, share - np.sqrt(share * (1 - share) / told["n"]))
+        prior = min(0.99, prior)
         rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
         rows = samples.learnable(rows, "key")
         total = rows.count()
@@ -149,7 +155,8 @@ class Model:
             F.sum(F.expr("if(toxic = 1, n, 0)")).alias("p"), F.sum(F.expr("if(toxic = 0, n, 0)")).alias("u")
         )
         lift = (F.col("p") / sizes[1]) / ((F.col("u") + 1) / sizes[0])
-        chosen = counts.where(F.col("p") >= LEAST_COUNT).withColumn("lift", lift).where(F.col("lift") >= LEAST_LIFT)
+        chosen = counts.where(F.col("p") >= max(LEAST_COUNT, LEAST_SHARE * sizes[1])).withColumn("lift", lift)
+        chosen = chosen.where(F.col("lift") >= LEAST_POSTERIOR / prior)
         top = chosen.orderBy(F.desc(F.col("p") * F.log("lift")), "feature").limit(candidates).select("feature").collect()
         columns = np.sort(np.array([r[0] for r in top], dtype=np.int64))
         places = _places(both, columns)
