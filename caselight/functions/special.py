@@ -122,8 +122,10 @@ def _by_fraction(a: np.ndarray, x: np.ndarray) -> np.ndarray:
         c = np.where(np.abs(c) < tiny, tiny, c)
         step = d * c
         h = h * step
-        if np.all(np.abs(step - 1) < 1e-15):
+        if np.all(np.abs(step - 1) < 4e-16 * 8):
             break
+    else:
+        raise ArithmeticError("the continued fraction has not settled")
     return h * x * np.exp(gamma_log_density(a, x))
 
 

@@ -28,7 +28,8 @@ def unmapped_ids(df: DataFrame, id_map: DataFrame, source: str) -> DataFrame:
 def hypergeom_sf(k: str, big_m: str, big_n: str, n: str) -> Column:
     """P(X >= k) where X marked items are among n drawn from big_n that hold
     big_m marked ones. Terms are added up in logs from k on, each from the one
-    before."""
+    before. Above the largest possible number it is 0, at the smallest and below
+    it 1; NULL for a NULL."""
     first = (
         f"{ln_choose(big_m, k)} + {ln_choose(f'({big_n} - {big_m})', f'({n} - {k})')} "
         f"- {ln_choose(big_n, n)}"
@@ -38,12 +39,16 @@ def hypergeom_sf(k: str, big_m: str, big_n: str, n: str) -> Column:
         f"ln(greatest(({big_m} - i) * ({n} - i), 1)) "
         f"- ln(greatest((i + 1) * ({big_n} - {big_m} - {n} + i + 1), 1))"
     )
+    missing = " or ".join(f"{x} is null" for x in (k, big_m, big_n, n))
     return F.expr(
-        f"""aggregate(
+        f"""case when {missing} then null
+            when {k} > least({n}, {big_m}) then 0D
+            when {k} <= greatest(0, {n} + {big_m} - {big_n}) then 1D
+            else aggregate(
             sequence({k}, least({n}, {big_m})),
             named_struct('term', {first}, 'total', 0D),
             (a, i) -> named_struct('term', a.term + {ratio}, 'total', a.total + exp(a.term)),
-            a -> least(a.total, 1D))"""
+            a -> least(a.total, 1D)) end"""
     )
 
 

@@ -2,11 +2,14 @@
 
 Curve and rank measures only need how many positives and negatives have each
 score. That table is written once; what follows reads it, not the predictions.
+
+A row counts in a measure if all that the measure reads of it is known; rows with
+a missing label, score or prediction are left out of every measure that needs it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselight.operators.ordering import lagged, running
@@ -19,7 +22,7 @@ def score_counts(pred: DataFrame, label: str = "label", score: str = "score") ->
     """Positives and negatives per distinct score."""
     positive = (F.col(label) == 1).cast("long")
     return written(
-        pred.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
+        pred.filter(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
         .groupBy(F.col(score).cast("double").alias("score"))
         .agg(F.sum(positive).alias("positives"), F.sum(1 - positive).alias("negatives")),
         "score-counts",
@@ -110,26 +113,30 @@ def accuracy(
     return pred.agg(F.avg(right).alias("accuracy"))
 
 
-def log_loss(pred: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Mean cross-entropy over rows; probabilities are kept off 0 and 1."""
+def _loss(label: str, score: str) -> Column:
+    """Cross-entropy of a row; NULL if its label or score is missing."""
     chance = F.greatest(F.lit(_SMALLEST), F.least(F.lit(1 - _SMALLEST), F.col(score)))
     given = F.when(F.col(label) == 1, chance).otherwise(1 - chance)
-    return pred.agg(F.avg(-F.log(given)).alias("log_loss"))
+    known = F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
+    return F.when(known, -F.log(given))
+
+
+def log_loss(pred: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """Mean cross-entropy over rows; probabilities are kept off 0 and 1."""
+    return pred.agg(F.avg(_loss(label, score)).alias("log_loss"))
 
 
 def evaluate(
     pred: DataFrame, label: str = "label", score: str = "score", prediction: str = "prediction"
 ) -> DataFrame:
-    """Loss and accuracy in one pass."""
-    chance = F.greatest(F.lit(_SMALLEST), F.least(F.lit(1 - _SMALLEST), F.col(score)))
-    given = F.when(F.col(label) == 1, chance).otherwise(1 - chance)
+    """Loss and accuracy in one pass, each over the rows it can be told for."""
     right = (F.col(label) == F.col(prediction)).cast("double")
-    return pred.agg(F.avg(-F.log(given)).alias("log_loss"), F.avg(right).alias("accuracy"))
+    return pred.agg(F.avg(_loss(label, score)).alias("log_loss"), F.avg(right).alias("accuracy"))
 
 
 def prediction_share(pred: DataFrame, prediction: str = "prediction") -> DataFrame:
     """Count and share of each predicted class."""
-    counts = pred.groupBy(F.col(prediction).cast("int").alias("prediction")).agg(
+    counts = pred.where(F.col(prediction).isNotNull()).groupBy(F.col(prediction).cast("int").alias("prediction")).agg(
         F.count(F.lit(1)).alias("count")
     )
     total = counts.agg(F.sum("count")).scalar()

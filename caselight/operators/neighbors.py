@@ -23,24 +23,29 @@ from caselight.storage import written
 _CHUNK = 8192  # points per side of one comparison task
 _MAX_PIVOTS = 512  # per class ...
 _ALL_PIVOTS = 4096  # ... and in all; they are held on the driver and in every task
-_MAX_CLASSES = 1000
 _BLOCK = 512  # visitors compared at a time inside a task
 
 
 def feature_vector(features: Sequence[str]) -> Column:
-    return F.array(*[F.col(f"`{c}`").cast("double") for c in features])
+    """The features as doubles. A missing one (NULL or NaN) is an error, as it is
+    where models are fitted: it has no distance to anything. -0.0 becomes 0.0."""
+
+    def known(name: str) -> Column:
+        value = F.col(f"`{name}`").cast("double")
+        missing = F.raise_error(F.lit(f"feature {name} is missing in a row")).cast("double")
+        return F.when(value.isNull() | F.isnan(value), missing).otherwise(value + F.lit(0.0))
+
+    return F.array(*[known(c) for c in features])
 
 
 def point_id(vector: Column) -> Column:
-    """Equal vectors, and only these, share an id."""
+    """Equal vectors of known numbers, and only these, share an id."""
     return F.md5(F.array_join(F.transform(vector, lambda x: x.cast("string")), ",").cast("binary"))
 
 
 def class_sizes(df: DataFrame, label: str) -> dict:
-    rows = df.groupBy(label).count().limit(_MAX_CLASSES + 1).collect()
-    if len(rows) > _MAX_CLASSES:
-        raise ValueError(f"{label} has more than {_MAX_CLASSES} classes")
-    return {r[label]: r["count"] for r in rows}
+    """Number of rows of each class; one number for each."""
+    return {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
 
 
 def distinct_points(df: DataFrame, features: Sequence[str], label: str, key: str) -> DataFrame:

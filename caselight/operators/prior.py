@@ -205,12 +205,14 @@ def _steps(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray) -> list[np.
 
 
 def fit_prior(
-    squashed: DataFrame,
-    theta_init: Theta = THETA_INIT,
-    max_steps: int = 40,
-    tolerance: float = 1e-9,
+    squashed: DataFrame, theta_init: Theta = THETA_INIT, tolerance: float = 1e-6, most: int = 500
 ) -> DataFrame:
-    """Minimise ``neg_log_lik`` from ``theta_init``; one row: theta, its value, steps.
+    """Minimise ``neg_log_lik`` from ``theta_init``; one row: theta, its value,
+    steps, the gradient's largest part for a unit of value, and ``converged``.
+
+    The fit goes on until that is below ``tolerance``, or until no step leads
+    further down; in the latter case ``converged`` is false. A fit that is still
+    on its way after ``most`` steps is an error, not a result.
 
     One Spark job tries downhill steps of several dampings, and the points
     around the undamped one that the next slopes and curvatures come from. Only
@@ -223,30 +225,33 @@ def fit_prior(
         x, h, steps = _to_free(theta_init), 1e-3, 0
         around = _values(table, _stencil(x, h))
         value = around[0]
-        while steps < max_steps:
+        while True:
             gradient, hessian = _derivatives(around, len(x), h)
-            if not (np.isfinite(gradient).all() and np.isfinite(hessian).all()):
+            known = bool(np.isfinite(gradient).all() and np.isfinite(hessian).all())
+            slope = float(np.abs(gradient).max() / (1 + abs(value))) if known else math.inf
+            if not known or slope <= tolerance:
                 break
+            if steps >= most:
+                raise ArithmeticError(f"the prior has not settled after {most} steps")
             steps += 1
             newton, *damped = _steps(x, gradient, hessian)
             stencil = _stencil(newton, h)
             tried = _values(table, [*stencil, *damped])
             ahead, others = tried[: len(stencil)], tried[len(stencil) :]
             best = int(np.argmin(others))
-            gain = value - min(ahead[0], others[best])
-            if gain > 0 and ahead[0] <= others[best]:
+            if min(ahead[0], others[best]) >= value:
+                break
+            if ahead[0] <= others[best]:
                 x, around = newton, ahead
-            elif gain > 0:
+            else:
                 x = damped[best]
                 around = _values(table, _stencil(x, h))
             value = around[0]
-            if gain <= tolerance * (1 + abs(value)):
-                break
-        row = (*_to_theta(x).astuple(), float(value), steps)
+        row = (*_to_theta(x).astuple(), float(value), steps, slope, slope <= tolerance)
         return spark.createDataFrame(
             [row],
             "alpha1 double, beta1 double, alpha2 double, beta2 double, p double, "
-            "neg_log_lik double, steps int",
+            "neg_log_lik double, steps int, gradient double, converged boolean",
         )
     finally:
         table.unpersist()

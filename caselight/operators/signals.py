@@ -164,6 +164,8 @@ def _quantile(prob: float, theta: Theta, n: np.ndarray, e: np.ndarray, qn: np.nd
         after = np.where(inside, step, (low[rows] + high[rows]) / 2)
         x[rows] = np.where(gap == 0, here, after)
         rows = rows[np.abs(x[rows] - here) > 1e-12 * np.maximum(1e-12, here)]
+    if len(rows):
+        raise ArithmeticError(f"{len(rows)} quantiles have not settled")
     return x
 
 

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselight.functions.hashing import int_draw, seeded_hash, unit_draw
 from caselight.operators.neighbors import (
-    class_sizes,
     distinct_points,
     feature_vector,
     nearest_points,
@@ -19,6 +17,8 @@ from caselight.operators.neighbors import (
 from caselight.operators.ordering import hash_index
 from caselight.storage import written
 
+_CHUNK = 100_000
+
 
 def smote(
     df: DataFrame,
@@ -37,36 +37,35 @@ def smote(
     (new rows get keys of their own), ``label``, the features as double and
     ``synthetic``.
     """
-    counts = class_sizes(df, label)
-    largest = max(counts.values(), default=0)
-    short = {c: n for c, n in counts.items() if n < largest}
-    for c, n in short.items():
-        if n < k + 1:
-            raise ValueError(f"class {c!r} has {n} rows, at least {k + 1} are needed")
+    counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("size"))
+    counts = written(counts, "class-sizes")
+    largest, least = counts.agg(F.max("size"), F.min("size")).first()
+    short = counts.where(F.col("size") < (largest or 0))
+    if least != largest and least < k + 1:
+        c, n = counts.orderBy("size", "label").first()
+        raise ValueError(f"class {c!r} has {n} rows, at least {k + 1} are needed")
     originals = df.select(
         F.col(key).cast("string").alias(key),
         F.col(label),
         *[F.col(f"`{c}`").cast("double").alias(c) for c in features],
         F.lit(False).alias("synthetic"),
     )
-    if not short:
+    if least == largest:
         return originals
 
-    spark = df.sparkSession
-    minor = df.filter(F.col(label).isin(list(short)))
+    minor = df.join(short.select(F.col("label").alias(label)), label, "left_semi").select(*df.columns)
     rows = hash_index(minor, label, key, seed, "row").select(
         F.col(label).alias("label"), "row", feature_vector(features).alias("base")
     ).withColumn("point", point_id(F.col("base")))
 
-    kind = df.schema[label].dataType
-    draws = reduce(
-        DataFrame.unionByName,
-        [
-            spark.range(largest - n).select(
-                F.lit(c).cast(kind).alias("label"), F.col("id").alias("draw"), F.lit(n).alias("size")
-            )
-            for c, n in sorted(short.items())
-        ],
+    # Long runs of draws are cut into chunks that are dealt out before they are
+    # written out, as one class may need most of the new rows.
+    draws = (
+        short.selectExpr("label", "size", f"explode(sequence(0L, {largest} - size - 1, {_CHUNK}L)) as chunk")
+        .repartition("label", "chunk")
+        .selectExpr(
+            "label", "size", f"explode(sequence(chunk, least(chunk + {_CHUNK}, {largest} - size) - 1)) as draw"
+        )
     )
     digest = seeded_hash(seed, "label", "draw")
     draws = draws.select(

@@ -90,11 +90,11 @@ def neural(
     folded = written(stratified_folds(df, label, folds, FOLD_SEED, key), "folds")
     base = fold_split(folded, 0)[0] if scale_on_train else folded
     scaled = written(apply_scaler(folded, fit_scaler(base, features)), "scaled")
-    results = sweep(scaled, features, label, folds, subsets, max_iter, history_every)
+    results = sweep(scaled, features, label, folds, subsets, max_iter, history_every, key=key)
     train, valid = fold_split(scaled, 0)
     names = feature_subset(features, subsets[0])
-    final, _ = fit_mlp(train, names, label, max_iter=max_iter, seed=SEED)
-    blank, _ = fit_mlp(train, names, label, max_iter=0, seed=SEED)
+    final, _ = fit_mlp(train, names, label, max_iter=max_iter, seed=SEED, key=key)
+    blank, _ = fit_mlp(train, names, label, max_iter=0, seed=SEED, key=key)
     scored = score_both_sides(final, train, valid, names)
     control = score_both_sides(blank, train, valid, names)
     return Judged(

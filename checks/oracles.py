@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from caselight.operators.neural import SUBSETS
 from caselight.operators.signals import THETA_INIT
+from caselight.sources.layouts import LAYOUTS
 from checks import loads
-from checks.queries import NARROW, THETAS
+from checks.queries import EMBEDDED, GENE_TERMS, THETAS
 
 _NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
@@ -113,18 +115,19 @@ def _folds(k: int = 4) -> str:
     )
 
 
-_SETS = """members as (
-  select concat(l_suppkey, '-', l_linenumber) as term_id, l_partkey as gene_id,
-         min(concat('line ', l_linenumber, ' of supplier ', l_suppkey)) as description
-  from lineitem group by 1, 2)"""
+_SETS = f"""members as (
+  select term_id, p_partkey as gene_id, concat('parts of ', term_id) as description
+  from (select p_partkey, unnest([{', '.join(GENE_TERMS)}]) as term_id from part))"""
 
-_NATION_GENES = """query as (
-  select distinct l_partkey as gene_id from lineitem join supplier on l_suppkey = s_suppkey
-  where s_nationkey = (select s_nationkey from supplier group by 1
-                       order by count(*) desc, s_nationkey limit 1))"""
+_LISTED = """query as (
+  select p_partkey as gene_id from part
+  where p_type = (select min(p_type) from part) or p_brand = 'Brand#13')"""
 
-_BRAND_GENES = """query as (
-  select p_partkey as gene_id from part where p_brand = 'Brand#13')"""
+_WORD_PAIRS = r"""pairs as (
+  select * from (
+    select doc_id as id, concat(source, '/', lang) as var1, unnest(string_split_regex(text, '[ \n]+')) as var2
+    from documents)
+  where var2 <> '')"""
 
 
 def _log_choose(n: str, k: str) -> str:
@@ -196,8 +199,8 @@ def _vector(n: int) -> str:
 
 
 _NEAR = f"""vectors as (
-  select vec_id, (label = 0)::int as label, {_vector(5)},
-         list_transform(embedding[1:5], lambda x: x::double) as vec from embeddings),
+  select vec_id, (label = 0)::int as label, {_vector(64)},
+         list_transform(embedding, lambda x: x::double) as vec from embeddings),
 near as (
   select * from (
     select a.label, a.vec_id as key, b.vec_id as neighbour, list_distance(a.vec, b.vec) as distance,
@@ -219,13 +222,13 @@ numbered as (
   from vectors),
 made as (
   select concat('new:', d.label, ':', d.draw) as vec_id, d.label,
-         {", ".join(f"a.f{i} + step * (b.f{i} - a.f{i}) as f{i}" for i in range(5))},
+         {", ".join(f"a.f{i} + step * (b.f{i} - a.f{i}) as f{i}" for i in range(64))},
          true as synthetic
   from draws d join numbered a using (label, row)
   join near on near.key = a.vec_id and near.slot = d.slot
   join vectors b on b.vec_id = near.neighbour
   union all
-  select vec_id::varchar, label, {", ".join(NARROW)}, false from vectors)"""
+  select vec_id::varchar, label, {", ".join(EMBEDDED)}, false from vectors)"""
 
 
 def _described(select: str) -> str:
@@ -251,13 +254,9 @@ _SQL: dict[str, str] = {
         ({_NOTE_BYTES} < 16)::int as _cut_fields from orders""",
     "fixed_width_latin1": """select concat('Ã©', p_brand) as brand, p_type as type from part""",
     "load_extracts_report": " union all ".join(
-        f"""select '{name}' as "table", count(*) as records, 0::bigint as error_records,
-        0::bigint as cut_fields from {table}"""
-        for name, table in (
-            ("main.demo", "orders"), ("main.drug", "lineitem"), ("main.adr", "lineitem"),
-            ("main.OUT", "orders"), ("main.SRCE", "orders"), ("main.LINK", "lineitem"),
-            ("main.ind", "lineitem"), ("main.followup", "orders"),
-        )
+        f"""select '{layout.table}' as "table", count(*) as records, 0::bigint as error_records,
+        0::bigint as cut_fields from {loads.source_of(layout)}"""
+        for layout in LAYOUTS.values()
     ),
     # other sources and sinks
     "read_table_csv": "select * from part",
@@ -324,7 +323,9 @@ _SQL: dict[str, str] = {
           case when ids = ids1 then null when ids2 = N then 'infinity'::double
                else round((N / ids1) / ((ids2 - N) / (ids - ids1)), 2) end as PRR from counted""",
     "disproportionality_parts": f"""with {_PART_PAIRS}, {_COUNTED}
-        select var1, var2, N, round(E, 9) as E from counted""",
+        select var1, var2, N, round(E, 9) as E, round(N / E, 6) as RR,
+          case when ids = ids1 then null when ids2 = N then 'infinity'::double
+               else round((N / ids1) / ((ids2 - N) / (ids - ids1)), 6) end as PRR from counted""",
     "mixture_weight": f"""with {_PAIRS}, {_COUNTED}, {_WEIGHTED}
         select var1, var2, round(qn, 6) as qn from weighted""",
     "ebgm": f"""with {_PAIRS}, {_COUNTED}, {_WEIGHTED}
@@ -346,37 +347,47 @@ _SQL: dict[str, str] = {
         select N, round(E, 9) as E, weight::bigint as weight from twice""",
     "neg_log_lik": f"""with {_PART_PAIRS}, {_COUNTED}, {_SQUASH_ONE}, {_SQUASH_TWO}
         {_likelihood()}""",
-    "fit_prior_improves": f"""with {_PART_PAIRS}, {_COUNTED}, {_SQUASH_ONE}, {_SQUASH_TWO}
-        select neg_log_lik as start, true as improved, true as in_range
+    "fit_prior": f"""with {_WORD_PAIRS}, {_COUNTED}, {_SQUASH_ONE}, {_SQUASH_TWO}
+        select neg_log_lik as start, true as lower, true as settled, true as in_range
         from ({_likelihood()}) where theta_id = 0""",
+    "fit_prior_improves": f"""select theta_id::int as theta_id, true as same
+        from (select unnest(range({len(THETAS)})) as theta_id)""",
     # genes
     "map_ids": """select s_suppkey, s_nationkey, n_name from supplier
         join nation on s_nationkey = n_nationkey where n_regionkey <> 0""",
     "unmapped_ids": """select s_suppkey, s_nationkey from supplier where s_nationkey not in
         (select n_nationkey from nation where n_regionkey <> 0)""",
-    "enrich": f"with {_enriched(_NATION_GENES)} {_ENRICH_COLUMNS}",
-    "enrich_all_tested": f"with {_enriched(_BRAND_GENES, 'true')} {_ENRICH_COLUMNS}",
+    "enrich": f"with {_enriched(_LISTED)} {_ENRICH_COLUMNS}",
+    "enrich_all_tested": f"with {_enriched(_LISTED, 'true')} {_ENRICH_COLUMNS}",
     "hypergeom_sf": f"""with counted as (
           select l_suppkey, count(*) as big_m, count(*) filter (where l_linestatus = 'O') as k
           from lineitem group by 1),
         totals as (
           select count(*) as big_n, count(*) filter (where l_linestatus = 'O') as n from lineitem)
         select l_suppkey, round({_TAIL}, 6) as pvalue from counted, totals""",
+    "hypergeom_edges": f"""with urns as (
+          select p_partkey, p_size as big_n, p_size // 2 as big_m, p_size - p_size // 3 as n,
+            unnest([-1, 0, 1, p_size // 2, p_size // 2 + 1, p_size + 1, null]) as k from part)
+        select p_partkey, big_n, big_m, n, k,
+          case when k is null then null when k > least(n, big_m) then 0
+               when k <= greatest(0, n + big_m - big_n) then 1
+               else round({_TAIL}, 9) end as pvalue from urns""",
     "bh_adjust": f"with {_P_VALUES} select id, pvalue, round(p_adjust, 9) as p_adjust from adjusted",
     "q_value": f"""with {_P_VALUES},
         nulls as (select least(1, avg((pvalue >= 0.05)::int) / 0.95) as share from p)
         select id, pvalue, round(p_adjust, 9) as p_adjust,
           round(case when share > 0 then p_adjust * share end, 9) as q_value from adjusted, nulls""",
-    "set_readable": f"""with {_enriched(_NATION_GENES)}
+    "set_readable": f"""with {_enriched(_LISTED)}
         select term_id, array_to_string(list(concat(p_name, ' ', p_partkey) order by p_partkey), '/') as genes
         from (select term_id, unnest(genes) as gene_id from enriched)
         join part on gene_id = p_partkey group by 1""",
-    "top_terms": f"""with {_enriched(_NATION_GENES)}
-        select term_id, k as count from enriched order by pvalue, term_id limit 35""",
-    "term_gene_edges": f"""with {_enriched(_NATION_GENES)}
+    "top_terms": f"""with {_enriched(_LISTED)}
+        select term_id, k as count, round(p_adjust, 9) as p_adjust
+        from enriched order by pvalue, term_id limit 35""",
+    "term_gene_edges": f"""with {_enriched(_LISTED)}
         select term_id, unnest(genes) as gene_id
         from (select * from enriched order by pvalue, term_id limit 5)""",
-    "term_gene_nodes": f"""with {_enriched(_NATION_GENES)},
+    "term_gene_nodes": f"""with {_enriched(_LISTED)},
         shown as (select * from enriched order by pvalue, term_id limit 30)
         select term_id as node_id, 'term' as kind, round(pvalue, 9) as size from shown
         union all select gene_id::varchar, 'gene', count(*)::double
@@ -396,6 +407,24 @@ _SQL: dict[str, str] = {
     "log_loss": f"with {_QUALITY} select round({_LOSS}, 9) as log_loss from pred",
     "evaluate": f"""with {_QUALITY} select round({_LOSS}, 9) as log_loss,
         round(avg((label = prediction)::int), 9) as accuracy from pred""",
+    "measures_with_missing": f"""with pred as (
+          select quality as label, case when lang <> 'fr' then n_chars / (n_chars + 1000) end as score,
+            case when lang <> 'de' then (n_chars >= 1000)::int end as prediction
+          from documents left join labels using (doc_id)),
+        ranks as (select label, rank() over (order by score)
+                    + (count(*) over (partition by score) - 1) / 2 as r
+                  from pred where label is not null and score is not null),
+        s as (select sum(r) filter (where label = 1) as w, sum(label)::double as p,
+                     sum(1 - label)::double as q from ranks),
+        l as (select {_LOSS} as loss from pred where label is not null and score is not null)
+        select round(avg((label = prediction)::int), 9) as accuracy, round(any_value(loss), 9) as log_loss,
+          round(any_value(loss), 9) as loss_again,
+          round(any_value((w - p * (p + 1) / 2) / (p * q)), 9) as roc_auc,
+          count(*) filter (where label = 1 and prediction = 1) as tp,
+          count(*) filter (where label = 0 and prediction = 1) as fp,
+          count(*) filter (where label = 1 and prediction = 0) as fn,
+          count(*) filter (where label = 0 and prediction = 0) as tn
+        from pred, s, l""",
     "roc_auc": f"""with {_QUALITY},
         ranks as (select label, rank() over (order by score)
                     + (count(*) over (partition by score) - 1) / 2 as r from pred),
@@ -417,11 +446,28 @@ _SQL: dict[str, str] = {
             label="label", key="vec_id", table="vectors", columns="vec_id", k=5)}
         select vec_id, case when fold = 0 then 'valid' else 'train' end as side,
           fold::int as fold, true as sound from numbered""",
+    "mlp_final": f"""with vectors as (
+          select vec_id, (label = 0)::int as label from embeddings),
+        {_FOLD_ORDER.removeprefix("with ").format(
+            label="label", key="vec_id", table="vectors", columns="vec_id", k=5)}
+        select case when fold = 0 then 'valid' else 'train' end as side, count(*) as rows,
+          true as better from numbered group by 1""",
+    "mlp_history": """select step::int as step, side, metric,
+          case when side = 'train' and metric = 'loss' and step > 2 then true end as falls
+        from (select unnest(range(2, 21, 2)) as step), (values ('train'), ('valid')) a(side),
+             (values ('loss'), ('accuracy')) b(metric)""",
+    "mlp_forward": f"""with hidden as (
+          select vec_id, 1 / (1 + exp(-(0.5 + {" + ".join(f"embedding[{i + 1}]::double" for i in SUBSETS[0])}))) as h
+          from embeddings),
+        out as (select vec_id, 1 / (1 + exp(0.25 - (2 * h - 0.25))) as p from hidden)
+        select vec_id, round(p, 9) as score, (p > 0.5)::int as prediction from out""",
     # oversampling
+    "smote_missing_is_refused": """select count(*) as rows, true as refused from embeddings
+        where label = 0 and embedding[2] > 0""",
     "knn_within_class": f"""with {_NEAR} select label, key, slot::int as slot, neighbour,
         round(distance, 6) as distance from near""",
     "smote_rows": f"""with {_NEAR}, {_DRAWN} select vec_id, label,
-        {", ".join(f"round({c}, 6) + 0 as {c}" for c in NARROW)}, synthetic from made""",
+        {", ".join(f"round({c}, 6) + 0 as {c}" for c in EMBEDDED)}, synthetic from made""",
     "smote_balance": f"""with {_NEAR}, {_DRAWN}
         select label, synthetic, count(*) as n from made group by all""",
 }

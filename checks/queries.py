@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caselight.operators import (
@@ -39,9 +41,8 @@ THETAS = (
     signals.Theta(1.0, 1.0, 1.0, 2.0, 0.5),
     signals.Theta(0.5, 0.25, 3.0, 2.0, 0.1),
 )
-EMBEDDED = [f"f{i}" for i in range(10)]
-NARROW = EMBEDDED[:5]
-TWO_SUBSETS = ((0, 1, 2, 3, 4), (5, 6, 7, 8, 9))
+EMBEDDED = [f"f{i}" for i in range(64)]
+FIVE = [EMBEDDED[i] for i in neural.SUBSETS[0]]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,34 +100,34 @@ def _vectors(spark: SparkSession, sf_dir: str, names=EMBEDDED) -> DataFrame:
     )
 
 
-def _gene_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "lineitem").selectExpr(
-        "concat(l_suppkey, '-', l_linenumber) as term_id",
-        "concat('line ', l_linenumber, ' of supplier ', l_suppkey) as description",
-        "l_partkey as gene_id",
-    )
+GENE_TERMS = (
+    "concat('brand:', p_brand)",
+    "concat('type:', p_type)",
+    "concat('size:', cast(p_size as string))",
+    "concat('name:', p_name)",
+    "concat('brand-size:', p_brand, ':', cast(p_size as string))",
+)
 
 
-def _nation_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts sold by suppliers of the nation with most suppliers."""
-    suppliers = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    largest = suppliers.groupBy("s_nationkey").count().orderBy(F.desc("count"), "s_nationkey")
-    nation = largest.limit(1).select("s_nationkey").scalar()
-    lines = _table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
-    chosen = suppliers.filter(F.col("s_nationkey") == nation)
-    return lines.join(chosen, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi").select(
-        F.col("l_partkey").alias("gene_id")
+def _gene_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by what they have in common."""
+    terms = _table(spark, sf_dir, "part").selectExpr(
+        f"explode(array({', '.join(GENE_TERMS)})) as term_id", "p_partkey as gene_id"
     )
+    return terms.selectExpr("term_id", "concat('parts of ', term_id) as description", "gene_id")
 
 
-def _brand_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _listed_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of the first type, and of one brand."""
     parts = _table(spark, sf_dir, "part")
-    return parts.filter("p_brand = 'Brand#13'").select(F.col("p_partkey").alias("gene_id"))
+    first = parts.agg(F.min("p_type")).scalar()
+    chosen = parts.filter((F.col("p_type") == first) | (F.col("p_brand") == "Brand#13"))
+    return chosen.select(F.col("p_partkey").alias("gene_id"))
 
 
 def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(
-        enrichment.enrich(_nation_genes(spark, sf_dir), _gene_sets(spark, sf_dir)), "enriched"
+        enrichment.enrich(_listed_genes(spark, sf_dir), _gene_sets(spark, sf_dir)), "enriched"
     )
 
 
@@ -191,14 +192,15 @@ def fixed_width_latin1(spark, sf_dir):
 
 
 def load_extracts_report(spark, sf_dir):
-    """The whole load of the case-report tables: parse, store, count."""
+    """The whole load of all 41 tables: parse, store, count."""
     folder = scratch_path(spark, "extracts")
-    layouts = [v for v in LAYOUTS.values() if v.table.startswith("main.")]
-    for layout in layouts:
+    for layout in LAYOUTS.values():
+        library = layout.table.split(".")[0]
         source = _table(spark, sf_dir, loads.source_of(layout))
         record = loads.record_sql(layout)
-        source.select(F.expr(record).alias("value")).write.text(f"{folder}/{layout.file}")
-    return load_extracts(spark, {"main": folder}, scratch_path(spark, "loaded"), layouts)
+        source.select(F.expr(record).alias("value")).write.text(f"{folder}/{library}/{layout.file}")
+    folders = {library: f"{folder}/{library}" for library in ("main", "sub", "who")}
+    return load_extracts(spark, folders, scratch_path(spark, "loaded"), list(LAYOUTS.values()))
 
 
 # --- other sources and sinks --------------------------------------------------
@@ -382,7 +384,7 @@ def disproportionality(spark, sf_dir):
 
 def disproportionality_parts(spark, sf_dir):
     pairs = signals.disproportionality(part_supplier_pairs(spark, sf_dir), digits=6)
-    return _rounded(pairs, 9, "E").drop("RR", "PRR")
+    return _rounded(pairs, 9, "E")
 
 
 def mixture_weight(spark, sf_dir):
@@ -419,22 +421,41 @@ def neg_log_lik(spark, sf_dir):
     return _rounded(found, 4, "neg_log_lik").select("theta_id", "neg_log_lik")
 
 
-def fit_prior(spark, sf_dir):
-    return prior.fit_prior(_thinned(spark, sf_dir), tolerance=1e-7)
+def _word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair table: documents as reports, where a text is from, and its words."""
+    return _table(spark, sf_dir, "documents").selectExpr(
+        "doc_id as id",
+        "concat(source, '/', lang) as var1",
+        "explode(filter(split(text, '[ \\n]+'), w -> w <> '')) as var2",
+    )
 
 
-def fit_prior_improves(spark, sf_dir):
-    """The start value, which SQL can say, and that the fit is no worse and in range."""
-    thinned = _thinned(spark, sf_dir)
+def _thinned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(scoring.thin_pairs(_word_pairs(spark, sf_dir)), "thinned")
+
+
+def fit_prior(spark, sf_dir):
+    """The start value, which SQL can say, and that the fit has settled lower, in range."""
+    thinned = _thinned_words(spark, sf_dir)
     start = prior.neg_log_lik(thinned, [signals.THETA_INIT]).select("neg_log_lik").scalar()
-    fitted = prior.fit_prior(thinned, max_steps=5)
+    fitted = prior.fit_prior(thinned)
     return fitted.select(
         F.round(start, 4).alias("start"),
-        (F.col("neg_log_lik") <= start).alias("improved"),
+        (F.col("neg_log_lik") < start).alias("lower"),
+        (F.col("converged") & (F.col("gradient") <= 1e-6)).alias("settled"),
         F.expr("least(alpha1, beta1, alpha2, beta2) > 0 and p > 0 and p < 1").alias("in_range"),
     )
 
 
+def fit_prior_improves(spark, sf_dir):
+    """One optimum from every start: value to 4 digits, for each start."""
+    thinned = _thinned_words(spark, sf_dir)
+    fits = [prior.fit_prior(thinned, theta).first() for theta in THETAS]
+    least = min(f["neg_log_lik"] for f in fits)
+    rows = [(i, abs(f["neg_log_lik"] - least) <= 1e-6 * least) for i, f in enumerate(fits)]
+    return spark.createDataFrame(rows, "theta_id int, same boolean")
+
+
 # --- genes ---------------------------------------------------------------------------
 
 
@@ -463,7 +484,7 @@ def enrich(spark, sf_dir):
 
 def enrich_all_tested(spark, sf_dir):
     table = enrichment.enrich(
-        _brand_genes(spark, sf_dir), _gene_sets(spark, sf_dir), p_cut=1.0, q_cut=1.0
+        _listed_genes(spark, sf_dir), _gene_sets(spark, sf_dir), p_cut=1.0, q_cut=1.0
     )
     return _flat(table)
 
@@ -481,6 +502,16 @@ def hypergeom_sf(spark, sf_dir):
     return counted.select("l_suppkey", F.round(tail, 6).alias("pvalue"))
 
 
+def hypergeom_edges(spark, sf_dir):
+    """The tail at, below and above the ends of what is possible, for every part
+    as an urn of its size."""
+    urns = _table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "p_size as big_n", "p_size div 2 as big_m", "p_size - p_size div 3 as n",
+        "explode(array(-1, 0, 1, p_size div 2, p_size div 2 + 1, p_size + 1, null)) as k",
+    )
+    return urns.withColumn("pvalue", F.round(enrichment.hypergeom_sf("k", "big_m", "big_n", "n"), 9))
+
+
 def bh_adjust(spark, sf_dir):
     return _rounded(enrichment.bh_adjust(_p_values(spark, sf_dir), "pvalue"), 9, "p_adjust")
 
@@ -496,7 +527,8 @@ def set_readable(spark, sf_dir):
 
 
 def top_terms(spark, sf_dir):
-    return enrichment.top_terms(_enriched(spark, sf_dir), 35).select("term_id", "count")
+    top = enrichment.top_terms(_enriched(spark, sf_dir), 35).select("term_id", "count", "p_adjust")
+    return _rounded(top, 9, "p_adjust")
 
 
 def term_gene_edges(spark, sf_dir):
@@ -532,6 +564,23 @@ def evaluate(spark, sf_dir):
     return _rounded(metrics.evaluate(_quality(spark, sf_dir)), 9, "log_loss", "accuracy")
 
 
+def measures_with_missing(spark, sf_dir):
+    """All documents, most of them without a label, some without a score."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    pred = docs.join(labels, "doc_id", "left").selectExpr(
+        "label",
+        "if(lang = 'fr', null, n_chars / (n_chars + 1000)) as score",
+        "if(lang = 'de', null, cast(n_chars >= 1000 as int)) as prediction",
+    )
+    both = metrics.evaluate(pred)
+    report = metrics.classification_report(pred).select("tp", "fp", "fn", "tn")
+    auc = metrics.roc_auc(pred).scalar()
+    loss = metrics.log_loss(pred).scalar()
+    told = both.select("accuracy", F.col("log_loss"), loss.alias("loss_again"), auc.alias("roc_auc"))
+    return _rounded(told, 9, "accuracy", "log_loss", "loss_again", "roc_auc").crossJoin(report)
+
+
 def roc_auc(spark, sf_dir):
     return _rounded(metrics.roc_auc(_quality(spark, sf_dir)), 9, "roc_auc")
 
@@ -549,22 +598,37 @@ def auprc(spark, sf_dir):
 
 
 def knn_within_class(spark, sf_dir):
-    vectors = _vectors(spark, sf_dir, NARROW)
-    near = neighbors.knn_within_class(vectors, NARROW, "label", "vec_id", 5)
+    vectors = _vectors(spark, sf_dir)
+    near = neighbors.knn_within_class(vectors, EMBEDDED, "label", "vec_id", 5)
     return _rounded(near, 6, "distance")
 
 
 def smote_rows(spark, sf_dir):
-    made = smote(_vectors(spark, sf_dir, NARROW), NARROW, "label", "vec_id")
-    return _rounded(made, 6, *NARROW)
+    made = smote(_vectors(spark, sf_dir), EMBEDDED, "label", "vec_id")
+    return _rounded(made, 6, *EMBEDDED)
 
 
 def smote_balance(spark, sf_dir):
-    made = smote(_vectors(spark, sf_dir, NARROW), NARROW, "label", "vec_id")
+    made = smote(_vectors(spark, sf_dir), EMBEDDED, "label", "vec_id")
     return made.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
-_FEW_ROUNDS = boosting.BoostParams(rounds=5, rate=0.1, depth=3)
+def smote_missing_is_refused(spark, sf_dir):
+    """Minority rows that a lost first feature would make unusable, and whether
+    oversampling says so."""
+    vectors = _vectors(spark, sf_dir)
+    holed = vectors.withColumn("f0", F.expr("if(label = 1 and f1 > 0, null, f0)"))
+    lost = holed.where("f0 is null").agg(F.count("*").alias("rows"))
+    try:
+        smote(holed, EMBEDDED, "label", "vec_id").count()
+        refused = False
+    except (PySparkException, Py4JError) as error:
+        refused = "feature f0 is missing" in str(error)
+    return lost.withColumn("refused", F.lit(refused))
+
+
+# Depth, rate and folds are the job's own; rounds are few, for time.
+_FEW_ROUNDS = boosting.BoostParams(rounds=20)
 
 
 def gbt_scores(spark, sf_dir):
@@ -577,14 +641,14 @@ def grid_search_gbt(spark, sf_dir):
     vectors = written(_vectors(spark, sf_dir), "vectors")
     grid = {"rounds": [3], "rate": [0.01, 0.1]}
     return boosting.grid_search(
-        vectors, EMBEDDED, "label", "vec_id", grid, _FEW_ROUNDS, k=3
+        vectors, EMBEDDED, "label", "vec_id", grid, _FEW_ROUNDS, k=classify.SEARCH_FOLDS
     )[1]
 
 
 def grid_search_within_fold(spark, sf_dir):
-    vectors = written(_vectors(spark, sf_dir, NARROW), "vectors")
+    vectors = written(_vectors(spark, sf_dir), "vectors")
     return boosting.grid_search(
-        vectors, NARROW, "label", "vec_id", {"rounds": [3]}, _FEW_ROUNDS, k=2,
+        vectors, EMBEDDED, "label", "vec_id", {"rounds": [3]}, _FEW_ROUNDS, k=classify.SEARCH_FOLDS,
         oversample="within_fold",
     )[1]
 
@@ -602,28 +666,48 @@ def _scaled_folds(spark, sf_dir, k):
 
 
 def mlp_sweep(spark, sf_dir):
-    return neural.sweep(
-        _scaled_folds(spark, sf_dir, 5), EMBEDDED, "label", 5, TWO_SUBSETS, max_iter=5,
-        history_every=5,
-    )
+    return neural.sweep(_scaled_folds(spark, sf_dir, 5), EMBEDDED, "label", 5, key="vec_id")
 
 
 def mlp_history(spark, sf_dir):
+    """Which measures were taken when, and that the training loss falls."""
     train, valid = folds.fold_split(_scaled_folds(spark, sf_dir, 5), 0)
-    return neural.fit_mlp(train, NARROW, "label", valid, max_iter=10, history_every=2)[1]
+    history = neural.fit_mlp(train, FIVE, "label", valid, history_every=2, key="vec_id")[1]
+    before = F.lag("value").over(Window.partitionBy("side", "metric").orderBy("step"))
+    falls = F.when((F.col("side") == "train") & (F.col("metric") == "loss"), F.col("value") < before)
+    return history.select("step", "side", "metric", falls.alias("falls"))
 
 
 def mlp_final(spark, sf_dir):
+    """Loss on each side, trained and untrained, as ranks: the trained network is
+    better on the side it has learned from."""
     train, valid = folds.fold_split(_scaled_folds(spark, sf_dir, 5), 0)
-    model, _ = neural.fit_mlp(train, NARROW, "label")
-    scored = neural.score_both_sides(model, train, valid, NARROW)
-    return scored.select("vec_id", "side", "score", "prediction")
+    losses = []
+    for steps in (neural.EPOCHS, 0):
+        model, _ = neural.fit_mlp(train, FIVE, "label", max_iter=steps, key="vec_id")
+        scored = neural.score_both_sides(model, train, valid, FIVE)
+        on_train = scored.where("side = 'train'")
+        losses.append(metrics.log_loss(on_train).first()[0])
+    rows = scored.groupBy("side").agg(F.count("*").alias("rows"))
+    return rows.withColumn("better", F.lit(losses[0] < losses[1]))
+
+
+def mlp_forward(spark, sf_dir):
+    """Scores of a network whose weights are given: one hidden unit that adds up
+    the features of the subset, and an output that takes its double."""
+    vectors = _vectors(spark, sf_dir)
+    weights = [1.0] * len(FIVE) + [0.5] + [0.0, 2.0] + [0.25, -0.25]
+    model, _ = neural.fit_mlp(
+        vectors, FIVE, "label", hidden=(1,), max_iter=0, key="vec_id", initial_weights=weights
+    )
+    scored = boosting.score(model, vectors, FIVE).select("vec_id", "score", "prediction")
+    return _rounded(scored, 9, "score")
 
 
 def mlp_untrained(spark, sf_dir):
     train, valid = folds.fold_split(_scaled_folds(spark, sf_dir, 5), 0)
-    model, _ = neural.fit_mlp(train, NARROW, "label", max_iter=0)
-    return metrics.prediction_share(neural.score_both_sides(model, train, valid, NARROW))
+    model, _ = neural.fit_mlp(train, FIVE, "label", max_iter=0, key="vec_id")
+    return metrics.prediction_share(neural.score_both_sides(model, train, valid, FIVE))
 
 
 def _sound(scored: DataFrame, *names: str) -> DataFrame:
@@ -643,17 +727,15 @@ def gbt_scores_sound(spark, sf_dir):
 def mlp_final_sound(spark, sf_dir):
     """The final network scores every row of both sides of fold 0."""
     train, valid = folds.fold_split(_scaled_folds(spark, sf_dir, 5), 0)
-    model, _ = neural.fit_mlp(train, NARROW, "label", max_iter=5)
-    scored = neural.score_both_sides(model, train, valid, NARROW)
+    model, _ = neural.fit_mlp(train, FIVE, "label", key="vec_id")
+    scored = neural.score_both_sides(model, train, valid, FIVE)
     return _sound(scored, "vec_id", "side", "fold")
 
 
 def boosted_measures(spark, sf_dir):
     """The boosted job end to end, few rounds: one row of measures."""
-    vectors = written(_vectors(spark, sf_dir, NARROW), "vectors")
-    judged = classify.boosted(
-        vectors, NARROW, "label", "vec_id", {"rounds": [3]}, _FEW_ROUNDS, search_folds=2
-    )
+    vectors = written(_vectors(spark, sf_dir), "vectors")
+    judged = classify.boosted(vectors, EMBEDDED, "label", "vec_id", {"rounds": [3]}, _FEW_ROUNDS)
     one = {c: judged.measures[c].select(c).scalar() for c in ("roc_auc", "auprc")}
     return judged.measures["report"].select(
         "tp", "fp", "fn", "tn", "f1", *[v.alias(c) for c, v in one.items()]
@@ -671,12 +753,12 @@ _QUERIES = (
     disproportionality, disproportionality_parts, mixture_weight, ebgm, posterior_quantile,
     signal_scores, squash_once, squash, neg_log_lik, fit_prior, fit_prior_improves,
     map_ids, unmapped_ids, enrich, enrich_all_tested, hypergeom_sf, bh_adjust, q_value,
-    set_readable, top_terms, term_gene_edges, term_gene_nodes,
-    accuracy, classification_report, prediction_share, log_loss, evaluate, roc_auc, pr_curve, auprc,
-    knn_within_class, smote_rows, smote_balance,
+    hypergeom_edges, set_readable, top_terms, term_gene_edges, term_gene_nodes,
+    accuracy, classification_report, prediction_share, log_loss, evaluate, measures_with_missing, roc_auc, pr_curve, auprc,
+    knn_within_class, smote_rows, smote_balance, smote_missing_is_refused,
     gbt_scores, grid_search_gbt, grid_search_within_fold, feature_importance,
     gbt_scores_sound, boosted_measures,
-    mlp_sweep, mlp_history, mlp_final, mlp_untrained, mlp_final_sound,
+    mlp_sweep, mlp_history, mlp_final, mlp_untrained, mlp_final_sound, mlp_forward,
 )
 
 

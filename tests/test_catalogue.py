@@ -10,7 +10,7 @@ from checks.queries import queries
 
 SF_DIR = "/root/testdata/sf0.001"
 # Too few pairs at this size to be thinned; see test_signals.
-TOO_SMALL = {"squash_once", "squash", "neg_log_lik", "fit_prior", "fit_prior_improves"}
+TOO_SMALL = {"squash_once", "squash", "neg_log_lik"}
 QUERIES, SQL = queries(), oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no driver tables")
@@ -28,6 +28,7 @@ def test_sql_only_for_known_queries():
 @pytest.mark.parametrize("name", sorted(set(SQL) - TOO_SMALL))
 def test_query(spark, engine, name):
     assert difference(spark, engine, SF_DIR, name, QUERIES[name], SQL[name]) == ""
+    assert engine.execute(f"select count(*) from ({SQL[name]})").fetchone()[0] > 0
 
 
 def test_entry(spark):

@@ -123,3 +123,12 @@ def test_gene_report(spark):
     assert near["genes"] == [f"S{i}" for i in range(5)]
     assert report.bars.columns == ["term_id", "description", "count", "p_adjust"]
     assert report.edges.count() == 15 and report.nodes.count() == 8
+
+
+def test_tail_outside_what_is_possible(spark):
+    rows = [(5, 4, 10, 3, 0.0), (0, 4, 10, 3, 1.0), (-2, 4, 10, 3, 1.0), (2, 8, 10, 4, 1.0), (4, 4, 4, 4, 1.0)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "k int, big_m int, big_n int, n int, want double, i int")
+    got = df.withColumn("p", enrichment.hypergeom_sf("k", "big_m", "big_n", "n")).collect()
+    assert all(r["p"] == pytest.approx(r["want"]) for r in got)
+    none = spark.createDataFrame([(None, 4, 10, 3)], "k int, big_m int, big_n int, n int")
+    assert none.select(enrichment.hypergeom_sf("k", "big_m", "big_n", "n")).first()[0] is None

@@ -78,3 +78,13 @@ def test_loss_and_shares(spark):
     assert both["log_loss"] == pytest.approx(want) and both["accuracy"] == pytest.approx(2 / 3)
     shares = {r["prediction"]: (r["count"], r["share"]) for r in metrics.prediction_share(df).collect()}
     assert shares == {1: (1, pytest.approx(1 / 3)), 0: (2, pytest.approx(2 / 3))}
+
+
+def test_rows_with_something_missing_count_nowhere(spark):
+    rows = [(1, 0.9, 1), (None, 0.9, 1), (1, None, None), (0, float("nan"), 0)]
+    pred = spark.createDataFrame(rows, "label int, score double, prediction int")
+    alone = spark.createDataFrame(rows[:1], pred.schema)
+    assert metrics.log_loss(pred).first()[0] == pytest.approx(metrics.log_loss(alone).first()[0])
+    assert metrics.evaluate(pred).first()["log_loss"] == pytest.approx(-math.log(0.9))
+    assert metrics.prediction_share(pred).agg({"share": "sum"}).first()[0] == pytest.approx(1)
+    assert metrics.score_counts(pred).count() == 1

@@ -46,7 +46,7 @@ def test_gbt_scores_and_importance(spark, data):
 
 def test_missing_feature_is_an_error(spark, data):
     holed = data.withColumn("f0", F.when(F.col("row_id") > 3, F.col("f0")))
-    with pytest.raises(Exception):
+    with pytest.raises(Exception, match="null"):
         boosting.fit_gbt(holed, NAMES, "label", FAST)
 
 
@@ -79,6 +79,25 @@ def test_mlp_history_goes_on_where_it_stopped(spark, data):
     assert np.allclose(whole.weights.toArray(), steps.weights.toArray(), atol=1e-6)
 
 
+def _train_loss(spark, rows, steps):
+    model, _ = neural.fit_mlp(rows, NAMES, "label", max_iter=steps, key="row_id")
+    return evaluate(boosting.score(model, rows, NAMES)).first()["log_loss"]
+
+
+def test_training_lowers_the_loss_however_rows_lie(spark, data):
+    by_class = data.repartition(1).sortWithinPartitions("label").persist()
+    dealt = data.repartition(5, "label").persist()
+    losses = [_train_loss(spark, rows, 20) for rows in (data, by_class, dealt)]
+    assert max(losses) < _train_loss(spark, data, 0)
+    assert max(losses) - min(losses) < 0.005
+
+
+def test_initial_weights_are_used(spark, data):
+    given = [0.1 * (i % 7 - 3) for i in range(5 * 2 + 2 + 2 * 2 + 2)]
+    model, _ = neural.fit_mlp(data, NAMES[:5], "label", hidden=(2,), max_iter=0, initial_weights=given)
+    assert np.allclose(model.weights.toArray(), given)
+
+
 def test_untrained_network(spark, data):
     one, _ = neural.fit_mlp(data, NAMES[:5], "label", max_iter=0, seed=7)
     two, _ = neural.fit_mlp(data, NAMES[:5], "label", max_iter=0, seed=7)

@@ -176,6 +176,9 @@ def test_likelihood_and_fit(spark):
     fitted = prior.fit_prior(df)
     best = fitted.first()
     assert best["neg_log_lik"] < got[0]
+    assert best["converged"] and best["gradient"] <= 1e-6
+    with pytest.raises(ArithmeticError):
+        prior.fit_prior(df, most=1)
     theta = prior.theta_of(fitted)
     assert log_lik(rows, theta) == pytest.approx(best["neg_log_lik"], rel=1e-8)
     for i in range(5):  # no small move along an axis improves

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from caselight.operators import neighbors
 from caselight.operators.neighbors import knn_within_class, nearest_points, distinct_points
 from caselight.operators.smote import smote
 from caselight.storage import written
@@ -101,3 +102,28 @@ def test_smote_needs_k_and_one(spark):
         smote(small, NAMES, "label", "id")
     even, _ = cloud(spark, {0: 9, 1: 9})
     assert smote(even, NAMES, "label", "id").count() == 18
+
+
+@pytest.mark.parametrize("hole", [None, float("nan")])
+def test_missing_feature_is_refused(spark, hole):
+    rows = [(i, int(i >= 15), float(i % 7), float(i % 5)) for i in range(60)]
+    rows[3] = (3, 0, hole, 1.0)
+    df = spark.createDataFrame(rows, "id int, label int, a double, b double")
+    with pytest.raises(Exception, match="feature a is missing"):
+        smote(df, ["a", "b"], "label", "id").count()
+    with pytest.raises(Exception, match="feature a is missing"):
+        neighbors.knn_within_class(df, ["a", "b"], "label", "id", 2).count()
+
+
+def test_zero_and_negative_zero_are_one_point(spark):
+    rows = [(0, 0, 0.0), (1, 0, -0.0), (2, 0, 1.0)]
+    df = spark.createDataFrame(rows, "id int, label int, a double")
+    got = neighbors.knn_within_class(df, ["a"], "label", "id", 1).collect()
+    assert {(r["key"], r["neighbour"], r["distance"]) for r in got} == {(0, 0, 0.0), (2, 0, 1.0)}
+
+
+def test_many_classes_all_reach_the_largest(spark):
+    rows = [(c * 100 + i, c, float(i), float(i % 3)) for c in range(12) for i in range(6 + (c == 0) * 4)]
+    df = spark.createDataFrame(rows, "id int, label int, a double, b double")
+    got = smote(df, ["a", "b"], "label", "id").groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in got} == {c: 10 for c in range(12)}
