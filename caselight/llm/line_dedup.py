@@ -10,8 +10,9 @@ lines, are counted beside the content-defined ones.
 
 Chunks are counted by hash, with partial counts before the shuffle. The first
 occurrence in the order of (key, content, line) stays. Every line of the others
-is compared as bytes with the line it repeats, and then removed. As a line goes
-only if an earlier equal line exists, no line is ever lost altogether.
+is compared as bytes with the line it repeats, and then removed; a run of such lines of fewer than
+``passage_words`` stays, being no passage but two common lines that met. As a
+line goes only if an earlier equal line exists, no line is ever lost altogether.
 
 What is shuffled: chunk hashes (a few numbers a line), then the texts of those
 documents only that hold or lend a repeated chunk. They are told from the others
@@ -40,6 +41,7 @@ DIVISOR = 4
 MOST_LINES = 16
 LEAST_WORDS = 16
 LONG_WORDS = 50
+PASSAGE_WORDS = 30
 BUCKETS = 1 << 19
 
 
@@ -190,12 +192,31 @@ def _by_bucket(docs: DataFrame, mark: str, asked: DataFrame) -> tuple[DataFrame,
     return docs.join(hit, here, "left_semi"), docs.join(hit, here, "left_anti")
 
 
+def passages(lines: list[str], repeated: set[int], least: int) -> set[int]:
+    """Those of the repeated lines that lie in a run of at least ``least`` words.
+    Lines without a word do not end a run."""
+    out: set[int] = set()
+    run: list[int] = []
+    words = 0
+    for k, line in enumerate([*lines, None]):
+        n = len(line.encode().split()) if line is not None else 1
+        if k in repeated:
+            run.append(k)
+            words += n
+        elif n:
+            if words >= least:
+                out.update(run)
+            run, words = [], 0
+    return out
+
+
 def line_dedup(
     docs: DataFrame,
     key: str = "doc_id",
     text: str = "text",
     least_words: int = LEAST_WORDS,
     long_words: int = LONG_WORDS,
+    passage_words: int = PASSAGE_WORDS,
     removed: str | None = None,
 ) -> DataFrame:
     """``docs`` without repeated passages in ``text``, and with the number of
@@ -215,10 +236,12 @@ def line_dedup(
         for batch in batches:
             texts, counts = [], []
             for value, out in zip(batch.column(text).to_pylist(), batch.column(lines).to_pylist()):
-                counts.append(len(out or ()))
+                drop: set[int] = set()
                 if out:
-                    drop = set(out)
-                    value = "\n".join(x for k, x in enumerate(value.split("\n")) if k not in drop)
+                    split = value.split("\n")
+                    drop = passages(split, set(out), passage_words)
+                    value = "\n".join(x for k, x in enumerate(split) if k not in drop)
+                counts.append(len(drop))
                 texts.append(value)
             columns = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in kept]
             extra = [pa.array(counts, pa.int64())] if removed else []

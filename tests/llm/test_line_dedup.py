@@ -1,6 +1,7 @@
 """Line dedup against a brute-force version of its rule."""
 
 import collections
+import itertools
 import random
 
 import numpy as np
@@ -30,6 +31,13 @@ def plain_dedup(rows):
     for content, o, a, b in ranges:
         if earliest[content] != (o, a):
             gone[o] |= {k for k in range(a, b + 1) if lines_of(docs[o][1])[k].split()}
+    for o, drop in gone.items():
+        # Runs of fewer than 30 words stay; blank lines do not end a run.
+        told = [(k, k in drop, len(x.split())) for k, x in enumerate(lines_of(docs[o][1])) if x.split()]
+        for goes, run in itertools.groupby(told, key=lambda x: x[1]):
+            run = list(run)
+            if goes and sum(n for _, _, n in run) < 30:
+                drop.difference_update(k for k, _, _ in run)
     return {
         docs[o]: None if docs[o][1] is None else "\n".join(x for k, x in enumerate(lines_of(docs[o][1])) if k not in gone[o])
         for o in range(len(docs))
@@ -97,6 +105,16 @@ def test_equal_chunks_have_equal_hashes_whatever_lies_between():
     assert np.all(last >= first)
 
 
+def test_short_runs_stay(spark):
+    common = ["one two three four five six seven eight nine", "a b c d e f g h i j"]
+    longer = [*common, "k l m n o p q r s t u v w"]
+    rows = [(k, f"own {k}\n" + "\n".join(longer if k > 5 else common) + f"\nend {k}") for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs).collect()}
+    assert all(got[k] == x for k, x in rows if k <= 6)
+    assert all(got[k] == f"own {k}\nend {k}" for k in (7, 8, 9))
+
+
 def test_missing_keys_repeated_rows_and_empty_tables(spark):
     passage = "\n".join(" ".join(f"{c}{k}" for k in range(12)) for c in "abcd")
     rows = [(None, passage), (1, passage), (1, passage), (2, "own " + passage)]
