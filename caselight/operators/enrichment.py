@@ -60,10 +60,12 @@ def bh_adjust(df: DataFrame, pvalue: str, name: str = "p_adjust") -> DataFrame:
     largest p down. A NULL p stays NULL and is not counted.
     """
     value, n = "_p", "_n"
-    counts = (
+    # Written once: the total, the block borders and both passes read it.
+    counts = written(
         df.filter(F.col(pvalue).isNotNull())
         .groupBy(F.col(pvalue).alias(value))
-        .agg(F.count(F.lit(1)).alias(n))
+        .agg(F.count(F.lit(1)).alias(n)),
+        "p-value-counts",
     )
     total = counts.agg(F.sum(n)).scalar()
     raw = running(counts, value, sums=[n], keep_blocks=True).withColumn(

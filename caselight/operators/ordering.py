@@ -24,7 +24,6 @@ from caselight.functions.hashing import prefix_digits, seeded_hash
 from caselight.storage import written
 
 _BLOCK = "_block"
-_MAX_BLOCKS = 2000  # also bounds every broadcast of block totals
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in these
 
 
@@ -109,7 +108,7 @@ def _with_blocks(df: DataFrame, order: str, blocks: int | None) -> DataFrame:
     that has its blocks keeps them."""
     if _BLOCK in df.columns:
         return df
-    wanted = min(blocks or _partitions(df), _MAX_BLOCKS)
+    wanted = blocks or _partitions(df)
     cuts: list[float] = []
     if wanted > 1:
         shares = [i / wanted for i in range(1, wanted)]

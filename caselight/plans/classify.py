@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from caselight.operators.boosting import BoostParams, feature_importance, grid_search, score
-from caselight.operators.columns import feature_subset
+from caselight.operators.columns import drop_columns, feature_subset, select_positions, split_label
 from caselight.operators.folds import fold_split, split_report, stratified_folds
 from caselight.operators.metrics import (
     accuracy,
@@ -20,6 +22,7 @@ from caselight.operators.metrics import (
 )
 from caselight.operators.neural import EPOCHS, SEED, SUBSETS, fit_mlp, score_both_sides, sweep
 from caselight.operators.profile import apply_scaler, fit_scaler
+from caselight.sources.tables import read_table
 from caselight.storage import written
 
 # Columns kept by position, columns dropped, folds and their seed.
@@ -30,6 +33,27 @@ BOOST_FOLDS, NEURAL_FOLDS, SEARCH_FOLDS, FOLD_SEED = 4, 5, 10, 1004
 BOOST_GRID = {"rounds": (1000,), "rate": (0.01,), "seed": (111,)}
 
 
+def read_features(
+    spark: SparkSession,
+    path: str,
+    schema: StructType | str,
+    key: str,
+    positions: Sequence[int],
+    label: str = "Label",
+    dropped: Sequence[str] = (),
+    fmt: str = "csv",
+) -> tuple[DataFrame, list[str]]:
+    """A feature table from a file: its columns by position and without the
+    dropped ones, the label as 0/1, features as double, and the key beside
+    them. Returns the table and the feature names."""
+    table = read_table(spark, path, fmt, schema)
+    at = [*positions] if table.columns.index(key) in positions else [table.columns.index(key), *positions]
+    kept = drop_columns(select_positions(table, at), list(dropped))
+    names, label = split_label(kept.drop(key), label)
+    features = [F.col(f"`{n}`").cast("double").alias(n) for n in names]
+    return kept.select(key, F.col(label).cast("int").alias(label), *features), names
+
+
 @dataclass
 class Judged:
     split: DataFrame

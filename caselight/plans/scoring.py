@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from caselight.operators.columns import rename_positional, union_tables
 from caselight.operators.prior import fit_prior, squash
 from caselight.operators.signals import THETA_INIT, Theta, disproportionality, signal_scores
 from caselight.sources.tables import read_table, write_scores
-from caselight.storage import written
+from caselight.storage import scoped, written
 
 # Column names of a pair table, in order.
 PAIR_COLUMNS = ("id", "var1", "study_drug", "var2")
@@ -37,13 +37,18 @@ def thin_pairs(pairs: DataFrame) -> DataFrame:
 def prior_of(pairs: DataFrame, theta_init: Theta = THETA_INIT) -> DataFrame:
     """The prior that fits the thinned pairs; reported only, scores use
     ``theta_init`` unless told otherwise."""
-    return fit_prior(written(thin_pairs(pairs), "thinned"), theta_init)
+    with scoped(pairs.sparkSession):
+        return fit_prior(written(thin_pairs(pairs), "thinned"), theta_init)
 
 
 def score_pairs(
     pairs: DataFrame, path: str, theta: Theta = THETA_INIT, row_id: bool = False
 ) -> DataFrame:
-    """Score and write as CSV; returns the scores."""
-    scores = written(signal_scores(pairs, theta), "scores")
-    write_scores(scores, path, row_id)
-    return scores
+    """Score and write as CSV; returns what was written. No table of the stages
+    between is left."""
+    spark = pairs.sparkSession
+    with scoped(spark):
+        scores = written(signal_scores(pairs, theta), "scores")
+        write_scores(scores, path, row_id)
+    first = [StructField("row_id", LongType())] if row_id else []
+    return read_table(spark, path, "csv", StructType([*first, *scores.schema.fields]))

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _WAREHOUSE_KEY = "spark.sql.warehouse.dir"
+_SCOPE: ContextVar[str | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +40,20 @@ def _application_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below this application's part of the shared folder."""
-    return f"{_application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_SCOPE.get() or _application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scoped(spark: SparkSession) -> Iterator[None]:
+    """What is written within is deleted at the end, so nothing that still reads
+    from there may leave: store the result first."""
+    folder = scratch_path(spark, "job")
+    before = _SCOPE.set(folder)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(before)
+        delete(spark, folder)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -461,6 +461,33 @@ _SQL: dict[str, str] = {
           from embeddings),
         out as (select vec_id, 1 / (1 + exp(0.25 - (2 * h - 0.25))) as p from hidden)
         select vec_id, round(p, 9) as score, (p > 0.5)::int as prediction from out""",
+    "gbt_stump": """with parts as (
+          select p_partkey, case when p_retailprice > 1500 then 1.0 else -1.0 end as y,
+            [p_size // 2, length(p_type), length(p_name), replace(p_brand, 'Brand#', '')::int % 25] as x
+          from part),
+        cells as (select f, v, count(*) as n, sum(y) as s
+                  from (select unnest(x) as v, unnest([0, 1, 2, 3]) as f, y from parts) group by all),
+        cuts as (select f, v, sum(n) over w as nl, sum(s) over w as sl,
+                   sum(n) over (partition by f) as n, sum(s) over (partition by f) as s
+                 from cells window w as (partition by f order by v)),
+        best as (select * from cuts where nl < n
+                 order by sl * sl / nl + (s - sl) * (s - sl) / (n - nl) desc limit 1)
+        select p_partkey, round(1 / (1 + exp(-2 * m)), 9) as score, (m > 0)::int as prediction
+        from (select p_partkey, case when x[f + 1] <= v then sl / nl else (s - sl) / (n - nl) end as m
+              from parts, best)""",
+    "feature_file_boosted": " union all ".join(
+        f"""select '{name}' as feature, count({sql}) as count, round(avg({sql}), 4) as mean,
+        round(var_samp({sql}), 4) as variance from embeddings"""
+        for name, sql in [("Label", "(label = 0)::int::double")]
+        + [(f"x{i}", f"embedding[{i + 1}]::double") for i in range(26) if i not in (3, 4)]
+    ),
+    "feature_file_neural": f"""with vectors as (
+          select vec_id, (label = 0)::int as label from embeddings),
+        {_FOLD_ORDER.removeprefix("with ").format(
+            label="label", key="vec_id", table="vectors", columns="vec_id, label", k=5)}
+        select case when fold = 0 then 'valid' else 'train' end as side,
+        count(*) as rows, round(count(*) / sum(count(*)) over (), 9) as share,
+        round(avg((label = 1)::int), 9) as positive_rate from numbered group by 1""",
     # oversampling
     "smote_missing_is_refused": """select count(*) as rows, true as refused from embeddings
         where label = 0 and embedding[2] > 0""",

@@ -742,6 +742,53 @@ def boosted_measures(spark, sf_dir):
     )
 
 
+def _feature_file(spark, sf_dir, before: int, features: int) -> tuple[str, str]:
+    """A written CSV: columns before the label, the label, features; and its schema."""
+    names = [f"x{i}" for i in range(features)]
+    if before == 2:  # the boosted job's table has two columns that are dropped
+        names[3:5] = classify.BOOST_DROPPED
+    lead = ["vec_id", "spare"][:before]
+    table = _table(spark, sf_dir, "embeddings").select(
+        *[F.col("vec_id").alias(c) for c in lead],
+        (F.col("label") == 0).cast("int").alias("Label"),
+        *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)],
+    )
+    path = scratch_path(spark, "features")
+    table.write.option("header", True).csv(path)
+    return path, table.schema
+
+
+def feature_file_boosted(spark, sf_dir):
+    """File to features of the boosted job: positions, dropped columns, label."""
+    path, schema = _feature_file(spark, sf_dir, 2, 26)
+    table, names = classify.read_features(
+        spark, path, schema, "vec_id", classify.BOOST_COLUMNS, dropped=classify.BOOST_DROPPED
+    )
+    return _rounded(profile.describe_features(table, ["Label", *names]), 4, "mean", "variance")
+
+
+def feature_file_neural(spark, sf_dir):
+    """File to features to folds of the neural job."""
+    path, schema = _feature_file(spark, sf_dir, 1, 47)
+    table, names = classify.read_features(spark, path, schema, "vec_id", classify.NEURAL_COLUMNS)
+    if len(names) != 47:
+        raise AssertionError(names)
+    folded = folds.stratified_folds(table, "Label", 5, FOLD_SEED, "vec_id")
+    return _rounded(folds.split_report(folded, 0, "Label"), 9, "share", "positive_rate")
+
+
+def gbt_stump(spark, sf_dir):
+    """One round of one split: feature and leaves can be said in SQL."""
+    parts = _table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "cast(p_retailprice > 1500 as int) as label", "p_size div 2 as half",
+        "length(p_type) as wide", "length(p_name) as long", "int(replace(p_brand, 'Brand#', '')) % 25 as brand",
+    )
+    names = ["half", "wide", "long", "brand"]
+    model = boosting.fit_gbt(parts, names, "label", boosting.BoostParams(rounds=1, depth=1))
+    scored = boosting.score(model, parts, names).select("p_partkey", "score", "prediction")
+    return _rounded(scored, 9, "score")
+
+
 _QUERIES = (
     fixed_width_parse, fixed_width_errors, fixed_width_short_missing, fixed_width_short_truncate,
     fixed_width_latin1, load_extracts_report,
@@ -757,7 +804,7 @@ _QUERIES = (
     accuracy, classification_report, prediction_share, log_loss, evaluate, measures_with_missing, roc_auc, pr_curve, auprc,
     knn_within_class, smote_rows, smote_balance, smote_missing_is_refused,
     gbt_scores, grid_search_gbt, grid_search_within_fold, feature_importance,
-    gbt_scores_sound, boosted_measures,
+    gbt_scores_sound, boosted_measures, gbt_stump, feature_file_boosted, feature_file_neural,
     mlp_sweep, mlp_history, mlp_final, mlp_untrained, mlp_final_sound, mlp_forward,
 )
 

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ from caselight.functions.special import gamma_cdf
 from caselight.operators import prior, signals
 from caselight.operators.signals import THETA_INIT, Theta
 from caselight.plans import scoring
-from caselight.storage import written
+from caselight.storage import shared_dir, written
 
 
 def pairs_of(spark, rows):
@@ -202,3 +203,18 @@ def test_score_job(spark, tmp_path):
     out = spark.read.option("header", True).csv(str(tmp_path / "out"))
     assert out.columns == ["row_id", "var1", "var2", "N", "E", "RR", "PRR", "EBGM", "QUANT_025", "QUANT_975"]
     assert out.count() == 12
+
+
+def test_jobs_leave_no_scratch(spark, tmp_path):
+    def stored():
+        base = shared_dir(spark).removeprefix("file:")
+        return {os.path.join(d, f) for d, _, files in os.walk(base) for f in files if f.endswith(".parquet")}
+
+    rng = np.random.default_rng(6)
+    rows = [(i, f"d{a}", "s", f"r{b}") for i, (a, b) in enumerate(rng.zipf(1.3, (15000, 2)) % 900)]
+    pairs = spark.createDataFrame(rows, "id int, var1 string, study_drug string, var2 string")
+    before = stored()
+    got = scoring.score_pairs(pairs, str(tmp_path / "out"))
+    assert got.columns[:3] == ["var1", "var2", "N"] and got.where("N > 0").count() == got.count() > 1000
+    assert scoring.prior_of(pairs).first()["p"] > 0
+    assert stored() == before
