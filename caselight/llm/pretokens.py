@@ -151,7 +151,7 @@ class Numbered:
     bounded however many different pieces a task sees.
     """
 
-    def __init__(self, resolve: Callable[[list[bytes]], None], reset: Callable[[], None], most: int = 250_000):
+    def __init__(self, resolve: Callable[[list[bytes]], None], reset: Callable[[], None], most: int = 100_000):
         self.resolve, self.reset, self.most = resolve, reset, most
         self.numbers: dict[bytes, int] = {}
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PART_BYTES = 1 << 21
+PART_BYTES = 1 << 20
 
 # An odd multiplier and the two constants of a 64-bit finaliser.
 _BASE = 0x9E3779B97F4A7C15
