@@ -6,13 +6,15 @@ a chunk ends, so boundaries depend on content alone and text inserted before a
 passage does not shift those within it. A line of ``long_words`` or more is a
 chunk by itself. A passage seldom begins and ends on a boundary; so that it goes
 to its first and last line, the smallest multi-line chunks, two neighbouring
-lines, are counted beside the content-defined ones.
+lines, are counted beside the content-defined ones, however short; and so is a
+single line of ``passage_words``, or one that is all its text has.
 
 Chunks are counted by hash, with partial counts before the shuffle. The first
 occurrence in the order of (key, content, line) stays. Every line of the others
 is compared as bytes with the line it repeats, and then removed; a run of such lines of fewer than
-``passage_words`` stays, being no passage but two common lines that met. As a
-line goes only if an earlier equal line exists, no line is ever lost altogether.
+``passage_words`` stays, being no passage but two common lines that met, unless
+it is the whole document. As a line goes only if an earlier equal line exists,
+no line is ever lost altogether.
 
 What is shuffled: chunk hashes (a few numbers a line), then the texts of those
 documents only that hold or lend a repeated chunk. They are told from the others
@@ -39,7 +41,7 @@ from caselight.storage import written
 
 DIVISOR = 4
 MOST_LINES = 16
-LEAST_WORDS = 16
+LEAST_WORDS = 1
 LONG_WORDS = 50
 PASSAGE_WORDS = 30
 BUCKETS = 1 << 19
@@ -58,10 +60,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def chunks(
-    texts: pa.Array, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS
+    texts: pa.Array,
+    least_words: int = LEAST_WORDS,
+    long_words: int = LONG_WORDS,
+    passage_words: int = PASSAGE_WORDS,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, hash, first and last line of every chunk. Lines of a chunk follow
     each other but for lines without a word."""
+    owner, found, first, last, asks = _counted(texts, least_words, long_words, passage_words)
+    return owner[asks], found[asks], first[asks], last[asks]
+
+
+def _counted(
+    texts: pa.Array, least_words: int, long_words: int, passage_words: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``chunks``, and with the lines that are no chunk but that a text of one
+    line may repeat; last, which are chunks."""
     data, bounds = T.buffer(texts)
     starts, ends = T.spans(data != 0x0A, bounds)
     word_starts, _ = T.words(data, bounds)
@@ -69,7 +83,8 @@ def chunks(
     starts, ends, n_words = starts[n_words > 0], ends[n_words > 0], n_words[n_words > 0]
     n = len(starts)
     if not n:
-        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        none = np.zeros(0, np.int64)
+        return none, np.zeros(0, np.uint64), none, none, np.zeros(0, bool)
     owner = np.searchsorted(bounds, starts, side="right") - 1
     breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
     number = breaks[starts] - breaks[bounds[owner]]
@@ -86,22 +101,24 @@ def chunks(
     cut |= (np.arange(n) - last_cut) % MOST_LINES == MOST_LINES - 1
     last = np.flatnonzero(cut)
     first = np.concatenate([[0], last[:-1] + 1])
+    first, last = first[last > first], last[last > first]
     pair = np.flatnonzero(~ends_text)
     inner = pair[~np.isin(pair, first[last - first == 1])]
-    first, last = np.concatenate([first, inner]), np.concatenate([last, inner + 1])
+    single = np.arange(n)
+    first, last = np.concatenate([first, inner, single]), np.concatenate([last, inner + 1, single])
 
     total = np.concatenate([[0], np.cumsum(n_words)])
     size, held = last - first + 1, total[last + 1] - total[first]
-    wanted = np.where(size > 1, held >= least_words, held >= long_words)
-    first, last, size = first[wanted], last[wanted], size[wanted]
+    alone = ends_text & np.concatenate([[True], ends_text[:-1]])
+    asks = np.where(size > 1, held >= least_words, (held >= min(long_words, passage_words)) | alone[first])
     found = np.zeros(len(first), np.uint64)
     for k in range(int(size.max(initial=0))):
         live = size > k
         found[live] = T.mix(found[live] * np.uint64(T._MIX_1) + hashes[first[live] + k])
-    return owner[first], T.mix(found + size.astype(np.uint64)), number[first], number[last]
+    return owner[first], T.mix(found + size.astype(np.uint64)), number[first], number[last], asks
 
 
-def _chunk_rows(docs: DataFrame, key: str, mark: str, text: str, least_words: int, long_words: int) -> DataFrame:
+def _chunk_rows(docs: DataFrame, key: str, mark: str, text: str, *limits: int) -> DataFrame:
     schema = t.StructType(
         [
             t.StructField("hash", t.LongType()),
@@ -109,13 +126,14 @@ def _chunk_rows(docs: DataFrame, key: str, mark: str, text: str, least_words: in
             t.StructField("mark", t.LongType()),
             t.StructField("first", t.IntegerType()),
             t.StructField("last", t.IntegerType()),
+            t.StructField("asks", t.BooleanType()),
         ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.parts(batch, text):
-                owner, found, first, last = chunks(part.column(text), least_words, long_words)
+                owner, found, first, last, asks = _counted(part.column(text), *limits)
                 at = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -124,6 +142,7 @@ def _chunk_rows(docs: DataFrame, key: str, mark: str, text: str, least_words: in
                         part.column(mark).take(at),
                         pa.array(first, pa.int32()),
                         pa.array(last, pa.int32()),
+                        pa.array(asks),
                     ],
                     names=schema.names,
                 )
@@ -140,7 +159,7 @@ def _repeated_lines(rows: DataFrame) -> DataFrame:
         .where("n > 1")
         .select("hash", "own")
     )
-    later = rows.join(earliest, "hash").where(
+    later = rows.where("asks").join(earliest, "hash").where(
         "not (doc <=> own.doc and mark = own.mark and first = own.first) and last - first = own.last - own.first"
     )
     lines = later.select(
@@ -160,12 +179,13 @@ def removed_lines(
     text: str = "text",
     least_words: int = LEAST_WORDS,
     long_words: int = LONG_WORDS,
+    passage_words: int = PASSAGE_WORDS,
 ) -> tuple[DataFrame, DataFrame, str]:
     """Documents with a content mark; (doc, mark, gone) with the lines that go
     from each document that loses any; and the mark's name."""
     (mark,) = fresh(docs, "mark")
     marked = docs.withColumn(mark, F.xxhash64(key, text))
-    rows = written(_chunk_rows(marked, key, mark, text, least_words, long_words), "line-chunks")
+    rows = written(_chunk_rows(marked, key, mark, text, least_words, long_words, passage_words), "line-chunks")
     repeated = written(_repeated_lines(rows), "repeated-lines")
 
     lent = repeated.selectExpr("of as doc", "of_mark as mark", "of_line as line").distinct()
@@ -193,8 +213,11 @@ def _by_bucket(docs: DataFrame, mark: str, asked: DataFrame) -> tuple[DataFrame,
 
 
 def passages(lines: list[str], repeated: set[int], least: int) -> set[int]:
-    """Those of the repeated lines that lie in a run of at least ``least`` words.
-    Lines without a word do not end a run."""
+    """Those of the repeated lines that lie in a run of at least ``least`` words;
+    all of them where no other line has a word. Lines without a word do not end a
+    run."""
+    if all(k in repeated or not line.encode().split() for k, line in enumerate(lines)):
+        return repeated
     out: set[int] = set()
     run: list[int] = []
     words = 0
@@ -221,7 +244,7 @@ def line_dedup(
 ) -> DataFrame:
     """``docs`` without repeated passages in ``text``, and with the number of
     lines taken out in ``removed`` if that is named."""
-    marked, gone, mark = removed_lines(docs, key, text, least_words, long_words)
+    marked, gone, mark = removed_lines(docs, key, text, least_words, long_words, passage_words)
     touched, rest = _by_bucket(marked, mark, gone)
     lines, of, of_mark = fresh(marked, "gone", "gone_from", "gone_mark")
     gone = gone.select(F.col("doc").alias(of), F.col("mark").alias(of_mark), F.col("gone").alias(lines))

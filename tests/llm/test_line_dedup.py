@@ -123,3 +123,51 @@ def test_missing_keys_repeated_rows_and_empty_tables(spark):
     assert len(got) == 4 and got.count((None, passage)) == 1 and got.count((1, "")) == 2
     assert [x for k, x in got if k == 2][0].startswith("own a0")
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
+
+
+def repeats(rows, floor=30):
+    """Texts without what repeats, by comparing lines: each of two neighbouring
+    lines, a line of the floor's words or one that is all of a text."""
+    seen, seen_lines, out = set(), set(), {}
+    for key, text in sorted(rows):
+        lines = [x for x in text.split("\n") if x.split()]
+        drop = set()
+        for k, x in enumerate(lines):
+            if x in seen_lines and (len(lines) == 1 or len(x.split()) >= floor):
+                drop.add(k)
+            seen_lines.add(x)
+            pair = tuple(lines[k : k + 2])
+            if len(pair) == 2:
+                if pair in seen:
+                    drop |= {k, k + 1}
+                seen.add(pair)
+        kept = []
+        for goes, run in itertools.groupby(range(len(lines)), key=lambda k: k in drop):
+            run = list(run)
+            if not goes or len(run) < len(lines) and sum(len(lines[k].split()) for k in run) < floor:
+                kept += run
+        out[key] = "\n".join(lines[k] for k in kept)
+    return out
+
+
+def sized(name, *sizes):
+    return [" ".join(f"{name}-{k}x{i}" for i in range(n)) for k, n in enumerate(sizes)]
+
+
+def test_short_lines_against_plain_comparison(spark):
+    rng = random.Random(3)
+    passages = [sized(f"a{k}", *[5] * 11) for k in range(20)] + [sized(f"b{k}", 20, 6, 5, 5, 6, 20) for k in range(20)]
+    passages += [sized("c", 35), sized("d", 12), sized("e", 3, 4)]
+    rows = []
+    for key in range(150):
+        own = sized(f"own{key}", *(rng.randint(1, 12) for _ in range(rng.randint(2, 6))))
+        at = rng.randint(0, len(own))
+        rows.append((key, "\n".join(own[:at] + passages[key % len(passages)] + own[at:])))
+    # Copies of whole documents, short last lines and single lines included.
+    rows += [(1000 + k, x) for k, x in rows[:60]] + [(2000, "one"), (2001, "one"), (2002, passages[41][0]), (2003, "\n".join(passages[42]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs.repartition(5)).collect()}
+    assert got == repeats(rows)
+    assert all(got[1000 + k] == "" for k in range(60)) and got[2002] == got[2003] == ""
+    left = [x for text in got.values() for x in text.split("\n")]
+    assert all(left.count(x) == 1 for p in passages[:41] for x in p)
