@@ -22,7 +22,8 @@ by a broadcast table of hash buckets, at most ``BUCKETS`` rows of one number;
 when most buckets are hit, more texts are shuffled and the result is the same.
 
 Defined results: lines are split at \\n; lines without a word are in no chunk
-and stay. A NULL text stays NULL. Rows equal in key and text are one document
+and stay, and the others are numbered without them, so copies may have other
+empty lines. A NULL text stays NULL. Rows equal in key and text are one document
 and fare alike. Other columns pass through.
 """
 
@@ -67,15 +68,17 @@ def chunks(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, hash, first and last line of every chunk. Lines of a chunk follow
     each other but for lines without a word."""
-    owner, found, first, last, asks = _counted(texts, least_words, long_words, passage_words)
-    return owner[asks], found[asks], first[asks], last[asks]
+    owner, found, first, last, asks, number, _ = _counted(texts, least_words, long_words, passage_words)
+    return owner[asks], found[asks], number[first[asks]], number[last[asks]]
 
 
 def _counted(
     texts: pa.Array, least_words: int, long_words: int, passage_words: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+) -> tuple[np.ndarray, ...]:
     """As ``chunks``, and with the lines that are no chunk but that a text of one
-    line may repeat; last, which are chunks."""
+    line may repeat; then which are chunks. First and last are places in a list
+    of all lines with a word; it follows as their numbers within their text, all
+    lines counted, and those with a word counted."""
     data, bounds = T.buffer(texts)
     starts, ends = T.spans(data != 0x0A, bounds)
     word_starts, _ = T.words(data, bounds)
@@ -84,7 +87,7 @@ def _counted(
     n = len(starts)
     if not n:
         none = np.zeros(0, np.int64)
-        return none, np.zeros(0, np.uint64), none, none, np.zeros(0, bool)
+        return none, np.zeros(0, np.uint64), none, none, np.zeros(0, bool), none, none
     owner = np.searchsorted(bounds, starts, side="right") - 1
     breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
     number = breaks[starts] - breaks[bounds[owner]]
@@ -105,17 +108,19 @@ def _counted(
     pair = np.flatnonzero(~ends_text)
     inner = pair[~np.isin(pair, first[last - first == 1])]
     single = np.arange(n)
+    begins_text = np.concatenate([[True], ends_text[:-1]])
+    ordinal = single - np.maximum.accumulate(np.where(begins_text, single, 0))
     first, last = np.concatenate([first, inner, single]), np.concatenate([last, inner + 1, single])
 
     total = np.concatenate([[0], np.cumsum(n_words)])
     size, held = last - first + 1, total[last + 1] - total[first]
-    alone = ends_text & np.concatenate([[True], ends_text[:-1]])
+    alone = begins_text & ends_text
     asks = np.where(size > 1, held >= least_words, (held >= min(long_words, passage_words)) | alone[first])
     found = np.zeros(len(first), np.uint64)
     for k in range(int(size.max(initial=0))):
         live = size > k
         found[live] = T.mix(found[live] * np.uint64(T._MIX_1) + hashes[first[live] + k])
-    return owner[first], T.mix(found + size.astype(np.uint64)), number[first], number[last], asks
+    return owner[first], T.mix(found + size.astype(np.uint64)), first, last, asks, number, ordinal
 
 
 def _chunk_rows(docs: DataFrame, key: str, mark: str, text: str, *limits: int) -> DataFrame:
@@ -133,15 +138,15 @@ def _chunk_rows(docs: DataFrame, key: str, mark: str, text: str, *limits: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.parts(batch, text):
-                owner, found, first, last, asks = _counted(part.column(text), *limits)
+                owner, found, first, last, asks, _, ordinal = _counted(part.column(text), *limits)
                 at = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(found.view(np.int64)),
                         part.column(key).take(at),
                         part.column(mark).take(at),
-                        pa.array(first, pa.int32()),
-                        pa.array(last, pa.int32()),
+                        pa.array(ordinal[first], pa.int32()),
+                        pa.array(ordinal[last], pa.int32()),
                         pa.array(asks),
                     ],
                     names=schema.names,
@@ -152,7 +157,8 @@ def _chunk_rows(docs: DataFrame, key: str, mark: str, text: str, *limits: int) -
 
 def _repeated_lines(rows: DataFrame) -> DataFrame:
     """(doc, mark, line) of each line of a chunk that stands earlier too, with
-    the earliest line (of, of_mark, of_line) it repeats."""
+    the earliest line (of, of_mark, of_line) it repeats; only lines with a word
+    are numbered."""
     earliest = (
         rows.groupBy("hash")
         .agg(F.count("*").alias("n"), F.min(F.struct("doc", "mark", "first", "last")).alias("own"))
@@ -182,7 +188,8 @@ def removed_lines(
     passage_words: int = PASSAGE_WORDS,
 ) -> tuple[DataFrame, DataFrame, str]:
     """Documents with a content mark; (doc, mark, gone) with the lines that go
-    from each document that loses any; and the mark's name."""
+    from each document that loses any, by number among its lines with a word; and
+    the mark's name."""
     (mark,) = fresh(docs, "mark")
     marked = docs.withColumn(mark, F.xxhash64(key, text))
     rows = written(_chunk_rows(marked, key, mark, text, least_words, long_words, passage_words), "line-chunks")
@@ -195,7 +202,8 @@ def removed_lines(
     touched, _ = _by_bucket(marked, mark, asked)
     touched = touched.select(F.col(key).alias("k"), F.col(mark).alias("m"), F.col(text).alias("t"))
     texts = touched.join(asked.hint("shuffle_hash"), F.expr("k <=> doc and m = mark"))
-    lines = texts.select("doc", "mark", F.split("t", "\n").alias("lines"), F.explode("asked").alias("a"))
+    told = F.filter(F.split("t", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
+    lines = texts.select("doc", "mark", told.alias("lines"), F.explode("asked").alias("a"))
     lines = written(lines.select("doc", "mark", "a.*", F.get("lines", "a.line").alias("words")), "line-texts")
     ours, theirs = lines.where("of_line is not null"), lines.where("of_line is null")
     theirs = theirs.selectExpr("doc as b", "mark as b_mark", "line as b_line", "words as b_words").distinct()
@@ -262,7 +270,8 @@ def line_dedup(
                 drop: set[int] = set()
                 if out:
                     split = value.split("\n")
-                    drop = passages(split, set(out), passage_words)
+                    told = [k for k, x in enumerate(split) if x.encode().split()]
+                    drop = passages(split, {told[k] for k in out}, passage_words)
                     value = "\n".join(x for k, x in enumerate(split) if k not in drop)
                 counts.append(len(drop))
                 texts.append(value)

@@ -171,3 +171,11 @@ def test_short_lines_against_plain_comparison(spark):
     assert all(got[1000 + k] == "" for k in range(60)) and got[2002] == got[2003] == ""
     left = [x for text in got.values() for x in text.split("\n")]
     assert all(left.count(x) == 1 for p in passages[:41] for x in p)
+
+
+def test_copies_with_other_empty_lines(spark):
+    a, b, c = sized("a", 20, 20, 20)
+    texts = [f"{a}\n\n{b}\n{c}", f"{a}\n{b}\n{c}", f"{a}\n{b}\n \n{c}", f"x y\n\n{a}\n\t\n\n{b}\n{c}\nz", f"{a}\n{b}\n{c}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n"]) for r in line_dedup.line_dedup(docs, removed="n").collect()}
+    assert got == {0: (texts[0], 0), 1: ("", 3), 2: (" ", 3), 3: ("x y\n\n\t\n\nz", 3), 4: ("", 3)}
