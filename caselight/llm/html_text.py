@@ -10,13 +10,17 @@ text begins, where they dive to nothing it ends, and what lies between is kept.
 A page is read where it lies; nothing is shuffled.
 
 Defined results: NULL or empty html gives the empty text. Open tags at the end
-of a cut page are closed there. A page without any markup is one block.
+of a cut page are closed there; of an element that is not shown and not closed,
+only scripts, styles, templates, text areas and comments go on to the page's
+end. A page without any markup is one block.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +33,10 @@ WINDOW = 3
 SURGE = 80
 
 # What elements are, and what authors call those beside the text.
-UNSEEN = "script style noscript template textarea select svg iframe object canvas head title button math"
+RAW = "script style template textarea"
+UNSEEN = "noscript select svg iframe object canvas title button math"
+# Of these, unclosed ones hold their text up to the next block.
+LABELS = frozenset("title select button".split())
 BESIDE = frozenset("nav footer aside form menu dialog".split())
 MAIN = frozenset("article main".split())
 BREAKS = frozenset(
@@ -37,6 +44,13 @@ BREAKS = frozenset(
     " footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td"
     " tfoot th thead tr ul".split()
 )
+# Elements whose end tag may be left out, and what begins after their end; lists
+# and tables within them hold others of the kind.
+ENDED_BY = {
+    "p": BREAKS, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th", "tr", "tbody", "tfoot"},
+    "th": {"td", "th", "tr", "tbody", "tfoot"}, "tr": {"tr", "tbody", "tfoot"},
+}
+HOLDERS = frozenset("ul ol menu dir dl table".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BESIDE_NAMES = (
     "ad", "ads", "advert", "advertisement", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner",
@@ -47,9 +61,15 @@ BESIDE_NAMES = (
 )
 BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu form".split())
 
-_UNSEEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + UNSEEN.replace(" ", "|") + r")\b[^>]*>.*?(?:</\1\s*>|\Z)", re.DOTALL | re.IGNORECASE
+_RAW = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(" + RAW.replace(" ", "|") + r")(?=[\s/>])([^>]*)>", re.DOTALL | re.IGNORECASE
 )
+_RAW_END = {x: re.compile(rf"</{x}\s*>", re.IGNORECASE) for x in RAW.split()}
+_UNSEEN = re.compile(r"<(/?)(" + UNSEEN.replace(" ", "|") + r")(?=[\s/>])([^>]*)>", re.IGNORECASE)
+_BLOCK = re.compile(r"</?(?:" + "|".join(sorted(BREAKS)) + r")(?=[\s/>])", re.IGNORECASE)
+_HEAD = re.compile(r"<head(?=[\s/>])[^>]*>", re.IGNORECASE)
+_HEAD_END = re.compile(r"</head\s*>", re.IGNORECASE)
+_UNQUOTED = re.compile(r"""=\s*[^\s"']+/$""")
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^"'<>]|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""")
 _NAMED = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _ROLE = re.compile(r"""\brole\s*=\s*["']?([\w-]+)""", re.IGNORECASE)
@@ -77,16 +97,63 @@ def _is_beside(name: str, told: str, within: bool) -> bool:
     return False
 
 
+def _is_empty(told: str) -> bool:
+    """Whether a tag closes itself; a slash may also end a value without quotes."""
+    return told.endswith("/") and not _UNQUOTED.search(told)
+
+
+def _seen(page: str) -> str:
+    """The page without elements that are not shown."""
+    kept, at = [], 0
+    while tag := _RAW.search(page, at):
+        kept += page[at : tag.start()], " "
+        at = tag.end()
+        if tag[1] and not _is_empty(tag[2]):
+            end = _RAW_END[tag[1].lower()].search(page, at)
+            at = end.end() if end else len(page)
+    page = "".join(kept) + page[at:]
+    if (head := _HEAD.search(page)) and (end := _HEAD_END.search(page, head.end())):
+        # A head that a block stands in has ended before it.
+        if not _BLOCK.search(page, head.end(), end.start()):
+            page = page[: head.start()] + " " + page[end.end() :]
+
+    # An end tag closes the last open element of its name.
+    opened: dict[str, list[tuple[int, int]]] = {}
+    found = []
+    for tag in _UNSEEN.finditer(page):
+        name = tag[2].lower()
+        if not tag[1] and not _is_empty(tag[3]):
+            opened.setdefault(name, []).append(tag.span())
+        elif tag[1] and opened.get(name):
+            found.append((opened[name].pop()[0], tag.end()))
+        else:
+            found.append(tag.span())
+    blocks = [x.start() for x in _BLOCK.finditer(page)] if LABELS & opened.keys() else []
+    for name, tags in opened.items():
+        for first, last in tags:
+            if name in LABELS:
+                k = bisect.bisect(blocks, first)
+                last = blocks[k] if k < len(blocks) else len(page)
+            found.append((first, last))
+    kept, at = [], 0
+    for first, last in sorted(found):
+        if first >= at:
+            kept += page[at:first], " "
+        at = max(at, last)
+    return "".join(kept) + page[at:]
+
+
 def lines_of(page: str) -> tuple[list[tuple[str, int]], bool]:
     """Text and weight of every block in page order; and whether the page marks
     its main part. Blocks beside the main text have weight -1."""
-    page = _UNSEEN.sub(" ", page)
+    page = _seen(page)
     lines: list[tuple[str, int, bool]] = []
     words: list[str] = []
     linked = 0
     in_link = main_depth = 0
     marked = False
     outside, depth = None, 0
+    inner: Counter[str] = Counter()
 
     def end(beside: bool) -> None:
         nonlocal linked
@@ -115,10 +182,24 @@ def lines_of(page: str) -> tuple[list[tuple[str, int]], bool]:
                 end(outside is not None)
         if name == "a":
             in_link = 0 if closing else 1
-        if name in VOID or told.endswith("/"):
+        if outside in ENDED_BY and name in BREAKS:
+            held = any(inner[x] for x in HOLDERS)
+            if name == outside and closing and not held or not closing and not held and name in ENDED_BY[outside]:
+                outside = None
+            elif not closing:
+                inner[name] += not _is_empty(told)
+            elif inner[name]:
+                inner[name] -= 1
+                if not any(inner[x] for x in HOLDERS):
+                    for x in ENDED_BY:
+                        inner[x] = 0
+            elif name != outside and name != "p":
+                # The end of what the element lies in.
+                outside = None
+        if name in VOID or _is_empty(told):
             continue
         if outside is not None:
-            if name == outside:
+            if outside not in ENDED_BY and name == outside:
                 depth += -1 if closing else 1
                 if not depth:
                     end(True)
@@ -126,6 +207,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int]], bool]:
         elif not closing and _is_beside(name, told, main_depth > 0):
             end(False)
             outside, depth = name, 1
+            inner.clear()
         elif name in MAIN:
             marked = marked or not closing
             main_depth = max(0, main_depth + (-1 if closing else 1))

@@ -169,3 +169,30 @@ def test_odd_pages(spark):
 def test_surges():
     assert html_text.surges([0, 0, 50, 60, 0, 90, 0, 0, 0, 5], 80) == [(2, 6)]
     assert html_text.surges([], 1) == [] and html_text.surges([0, 3], 1) == [(1, 2)]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><meta charset=utf-8><title>no</title><body><article><h1>Title</h1>{ARTICLE}</article>",
+        f"<head><title>no<article><h1>Title</h1>{ARTICLE}</article>",
+        f"<head><title>no</title></head><title-bar></title-bar><article><h1>Title</h1>{ARTICLE}</article>",
+        *(
+            f"<article><h1>Title</h1><{x} a='b'/>{ARTICLE}</article><{x}>no</{x}>"
+            for x in ("svg", "iframe", "object", "canvas", "math", "button", "select")
+        ),
+        *(f"<article><h1>Title</h1><{x} a='b'>{ARTICLE}</article>" for x in ("svg", "iframe", "object", "canvas", "noscript")),
+        f"<article><h1>Title</h1><object><object>no</object>no</object><button>no{ARTICLE}</article><button>no</button>",
+        f"<article><h1>Title</h1><p class=ad>buy{ARTICLE}<ul><li class=ad><ul><li>one<li>two</ul>buy</ul></article>",
+        f"<article><h1>Title</h1><ul><li class=notice>buy</ul>{ARTICLE}</article>",
+        f"<div><li class=ad>buy</div><article><h1>Title</h1>{ARTICLE}<p class=ad>buy<hr></article>",
+        f"<article><h1>Title</h1>{ARTICLE}<script>no</article><p>no",
+        f"<article><h1>Title</h1>{ARTICLE}<iframe src=a/>no</iframe></article>",
+    ],
+)
+def test_omitted_end_tags(page):
+    assert html_text.main_text(page) == WANTED
+
+
+def test_li_after_an_advert_is_kept():
+    assert html_text.main_text("<article><ul><li class=ad>buy<li>one<li>two</ul>three</article>") == "one\n\ntwo\n\nthree"
