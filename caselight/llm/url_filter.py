@@ -8,7 +8,8 @@ directly or through others. One explicit allow among them outweighs any block.
 Spellings of one address (scheme, www and mobile hosts, fragments, tracking
 parameters, a closing slash) are folded before links are followed, so a popular
 address is one node. Links are read off the pages themselves - a refresh, or a
-link named canonical - and components are found by joins and grouped minima.
+link named canonical - and resolved against the page's base or url; components
+are found by joins and grouped minima.
 
 Everything is a DataFrame expression. Rules become one expression, so they are a
 short list; MOST_RULES is checked.
@@ -37,6 +38,7 @@ SITE_PREFIX = "^(www|m|mobile|amp)[.]"
 _CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 _REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 _HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
+_BASE = r"""(?i)<base\s[^>]*>"""
 _TO = r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -81,16 +83,45 @@ def address(url: Column) -> Column:
     return F.when(host != "", whole)
 
 
-def link_target(url: Column, html: Column, tag: str, value: str) -> Column:
-    """Where the first such tag of a page leads, as a url; NULL if it has none.
-    A target may leave out the scheme or the host."""
+def link_of(html: Column, tag: str, value: str) -> Column:
+    """What the first such tag of a page names; empty if it has none."""
     to = F.regexp_extract(F.regexp_extract(html, tag, 0), value, 1)
-    to = F.replace(to, F.lit("&amp;"), F.lit("&"))
-    scheme = F.regexp_extract(url, "^([^:/?#]*):", 1)
+    return F.replace(to, F.lit("&amp;"), F.lit("&"))
+
+
+def without_dots(path: Column) -> Column:
+    """A path from the root with its ``.`` and ``..`` steps taken."""
+    steps = F.split(F.substring(path, 2, F.length(path)), "/")
+    # A step up or none at the end leaves a folder.
+    steps = F.when(F.rlike(path, F.lit("/[.][.]?$")), F.concat(steps, F.array(F.lit("")))).otherwise(steps)
+    taken = F.aggregate(
+        steps,
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .when(x == ".", done)
+        .otherwise(F.concat(done, F.array(x))),
+    )
+    return F.when(F.rlike(path, F.lit("/[.][.]?(/|$)")), F.concat(F.lit("/"), F.array_join(taken, "/"))).otherwise(path)
+
+
+def resolved(to: Column, base: Column) -> Column:
+    """The url that ``to`` names on a page at ``base``: a whole url, or one
+    without scheme, host, folders or path. NULL if it is empty or of another kind."""
+    scheme = F.concat(F.regexp_extract(base, "^([^:/?#]*):", 1), F.lit(":"))
+    site = F.when(host_of(base) != "", F.concat(scheme, F.lit("//"), host_of(base)))
+    path, rest = F.regexp_extract(to, "^[^?#]*", 0), F.regexp_extract(to, "(?s)[?#].*", 0)
+    at = path_of(base)
+    query = F.regexp_extract(after_scheme(base), "^[^?#]*([?][^#]*)", 1)
+    folder = F.regexp_extract(at, "(?s)^.*/", 0)
+    folder = F.when(folder == "", "/").otherwise(folder)
     return (
-        F.when(F.contains(to, F.lit("://")), to)
-        .when(F.startswith(to, F.lit("//")), F.concat(scheme, F.lit(":"), to))
-        .when(F.startswith(to, F.lit("/")), F.concat(scheme, F.lit("://"), host_of(url), to))
+        F.when(F.rlike(to, F.lit("^[A-Za-z][A-Za-z0-9+.-]*://")), to)
+        .when((to == "") | F.rlike(to, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), None)
+        .when(F.startswith(to, F.lit("//")), F.concat(scheme, to))
+        .when(F.startswith(to, F.lit("/")), F.concat(site, without_dots(path), rest))
+        .when(F.startswith(to, F.lit("?")), F.concat(site, at, rest))
+        .when(F.startswith(to, F.lit("#")), F.concat(site, at, query, rest))
+        .otherwise(F.concat(site, without_dots(F.concat(folder, path)), rest))
     )
 
 
@@ -104,20 +135,26 @@ def judge(
 ) -> DataFrame:
     """Per page: its key, ``host``, ``path``, ``rule`` and ``verdict``. Rules
     are (host, path, ``allow`` or ``block``)."""
-    at, page = F.col(url), F.col(html)
+    at, page = F.col("url"), F.col("html")
+    given = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
+    linked = given.select(
+        "key",
+        "url",
+        F.array(link_of(page, _CANONICAL, _HREF), link_of(page, _REFRESH, _TO)).alias("named"),
+        link_of(page, _BASE, _HREF).alias("base"),
+    )
+    based = F.coalesce(resolved(F.col("base"), at), at)
     host, path = host_of(F.coalesce(at, F.lit(""))), path_of(F.coalesce(at, F.lit("")))
     name, verdict = matched_rule(host, path, rules)
     parsed = written(
-        pages.select(
-            F.col(key).alias("key"),
+        linked.select(
+            "key",
             host.alias("host"),
             path.alias("path"),
             name.alias("rule"),
             verdict.alias("ruled"),
             address(at).alias("node"),
-            F.array_compact(
-                F.array(link_target(at, page, _CANONICAL, _HREF), link_target(at, page, _REFRESH, _TO))
-            ).alias("targets"),
+            F.array_compact(F.transform("named", lambda to: resolved(to, based))).alias("targets"),
         ),
         "parsed-urls",
     )

@@ -196,3 +196,35 @@ def test_omitted_end_tags(page):
 
 def test_li_after_an_advert_is_kept():
     assert html_text.main_text("<article><ul><li class=ad>buy<li>one<li>two</ul>three</article>") == "one\n\ntwo\n\nthree"
+
+
+def test_relative_links(spark):
+    from urllib.parse import urljoin
+
+    def to(target, base=None):
+        return (f'<base href="{base}">' if base else "") + f'<link rel="canonical" href="{target}">'
+
+    refresh = '<meta http-equiv="refresh" content="0; url=../last?x=1">'
+    rows = [
+        # Two relative hops and one to a blocked host.
+        (1, "http://one.com/a/b", to("next.html")),
+        (2, "http://one.com/a/next.html", refresh),
+        (3, "http://one.com/last?x=1", to("//evil.net/")),
+        (4, "http://two.com/p?id=1", to("?id=2")),
+        (5, "http://two.com/p?id=2", to("http://evil.net/c")),
+        (6, "http://three.com/", to("x", "http://two.com/q/../")),
+        (7, "http://two.com/x", to("/y/./../p?id=2")),
+        (8, "http://four.com/z", to("mailto:a@evil.net")),
+        (9, "http://five.com", to("to?u=http://evil.net/")),
+        (10, None, to("a")),
+    ]
+    got = judged(spark, rows)
+    assert [got[k]["verdict"] for k in range(1, 8)] == ["block"] * 7
+    assert [got[k]["verdict"] for k in (8, 9, 10)] == ["allow"] * 3
+    bases = ["http://a.com/b/c/d?q=1", "http://a.com/b/c/"]
+    names = ["g", "./g", "g/", "/g", "//g/h", "?y", "g?y#s", "..", "../", "../g", "../../g", "../../../g", ".", "g/./h/../i", "g?u=../x"]
+    cases = [(b, x, urljoin(b, x)) for b in bases for x in names]
+    from pyspark.sql import functions as F
+
+    found = spark.createDataFrame(cases, "b string, x string, want string")
+    assert found.select("*", url_filter.resolved(F.col("x"), F.col("b")).alias("got")).where("not got <=> want").collect() == []
