@@ -17,6 +17,7 @@ from caselight.llm import (
     quality,
     samples,
     simhash,
+    suffix_dedup,
     token_counts,
     toxicity,
     url_filter,
@@ -99,6 +100,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_pieces")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without strings of 200 bytes that start elsewhere too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_dedup.without_repeats(docs)
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return found.select(
+        "doc_id",
+        n_bytes.alias("n_bytes"),
+        (n_bytes - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 OPERATORS = (
     op1_line_dedup,
     op2_language_id,
@@ -110,6 +125,7 @@ OPERATORS = (
     op8_url_filter,
     op9_html_text,
     op10_token_counts,
+    op11_suffix_dedup,
 )
 
 
