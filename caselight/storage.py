@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -62,6 +63,14 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished stages now. It does so once
+    the driver's garbage collector finds them unused, which a driver with little
+    to do may put off until the executors' disks are full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this application has written between stages. Call it when
     no result that still reads from there is needed."""
