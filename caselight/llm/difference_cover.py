@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselight.llm import text as T
-from caselight.storage import delete, scratch_path
+from caselight.storage import delete, release_shuffles, scratch_path
 
 LENGTH = 200
 BLOCK = 1 << 19
@@ -184,17 +184,27 @@ class _Merge(_Sort):
         return b.with_state([short, long, total], b.final)
 
 
-def _distinct(keys: np.ndarray, weights: np.ndarray, parts: int) -> tuple[np.ndarray, ...]:
-    """Order of the rows by part and key, first row of each distinct key in that
-    order, and the parts of those."""
+def _mixed(keys: np.ndarray) -> np.ndarray:
     mixed = np.zeros(len(keys), np.uint64)
     for k in range(keys.shape[1]):
         mixed = T.mix(mixed * np.uint64(T._BASE) + keys[:, k])
+    return mixed
+
+
+def _distinct(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the rows by part in which equal keys are neighbours, the place
+    of the first of each distinct key in it, and the parts of those."""
+    mixed = _mixed(keys)
     part = (mixed % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((*keys.T[::-1], part))
+    order = np.argsort(mixed if parts == 1 else mixed // np.uint64(parts) + part.astype(np.uint64) * np.uint64((1 << 64) // parts))
+    same = mixed[order[1:]] == mixed[order[:-1]]
     new = np.ones(len(keys), dtype=bool)
     new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
-    return order, np.flatnonzero(new), part
+    if (new[1:] & same).any():  # two keys with one hash may alternate
+        order = np.lexsort((*keys.T[::-1], part))
+        new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
+    first = np.flatnonzero(new)
+    return order, first, part[order[first]]
 
 
 def _sorted(blocks: DataFrame, sort: _Sort, parts: int) -> DataFrame:
@@ -207,8 +217,8 @@ def _sorted(blocks: DataFrame, sort: _Sort, parts: int) -> DataFrame:
                 places, keys, weights = sort.keys(_Block(row))
                 if not len(places):
                     continue
-                order, first, part = _distinct(keys, weights, parts)
-                rows, owner = keys[order[first]], part[order[first]]
+                order, first, owner = _distinct(keys, parts)
+                rows = keys[order[first]]
                 sums = np.add.reduceat(weights[order], first, axis=0) if sort.sums else weights[: len(first)]
                 edges = np.flatnonzero(np.diff(owner, prepend=-1, append=parts))
                 cuts = list(zip(edges.tolist(), edges[1:].tolist()))
@@ -230,16 +240,17 @@ def _sorted(blocks: DataFrame, sort: _Sort, parts: int) -> DataFrame:
         part, width = sent[0]["part"], sent[0]["width"]
         rows = np.concatenate([_restored(x["keys"], x["n"], width + sort.sums) for x in sent])
         keys, weights = rows[:, :width], rows[:, width:].astype(np.int64)
-        order, first, _ = _distinct(keys, weights, 1)
+        order = np.lexsort(keys.T[::-1])
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
+        first = np.flatnonzero(new)
         told = []
         for depth in sort.names:
-            new = np.zeros(len(keys), np.int64)
-            new[1:] = (keys[order[1:], :depth] != keys[order[:-1], :depth]).any(axis=1)
-            told.append(np.cumsum(new) * parts + part + 1)
+            later = np.zeros(len(keys), np.int64)
+            later[1:] = (keys[order[1:], :depth] != keys[order[:-1], :depth]).any(axis=1)
+            told.append(np.cumsum(later) * parts + part + 1)
         if sort.sums:
-            group = np.zeros(len(keys), np.int64)
-            group[first[1:]] = 1
-            added = np.add.reduceat(weights[order], first, axis=0)[np.cumsum(group)]
+            added = np.add.reduceat(weights[order], first, axis=0)[np.cumsum(new) - 1]
             told.extend(added.T)
         out = np.zeros((len(keys), len(told)), np.uint64)
         out[order] = np.column_stack(told).astype(np.uint64)
@@ -256,9 +267,9 @@ def _sorted(blocks: DataFrame, sort: _Sort, parts: int) -> DataFrame:
         (row,) = left.to_pylist()
         b = _Block(row)
         places, keys, weights = sort.keys(b)
-        order, first, part = _distinct(keys, weights, parts)
+        order, first, owner = _distinct(keys, parts)
         width = len(sort.names) + sort.sums
-        counts = np.bincount(part[order[first]], minlength=parts) if len(places) else np.zeros(parts, int)
+        counts = np.bincount(owner, minlength=parts)
         answers = sorted(zip(right.column("part").to_pylist(), right.column("told").to_pylist()))
         values = np.concatenate([np.zeros((0, width), np.uint64), *(_restored(x, int(counts[p]), width) for p, x in answers)])
         number = np.zeros(len(places), np.int64)
@@ -315,7 +326,10 @@ def repeated_starts(texts: DataFrame, total: int) -> DataFrame:
         after.write.option("compression", "zstd").parquet(new)
         if path is not None:
             delete(spark, path)
-        blocks, path = spark.read.schema(after.schema).parquet(new), new
+        after_schema = after.schema
+        del after, blocks
+        release_shuffles(spark)
+        blocks, path = spark.read.schema(after_schema).parquet(new), new
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -40,7 +40,7 @@ from caselight.llm import anchors as A
 from caselight.llm import text as T
 from caselight.llm.difference_cover import LENGTH, repeated_starts
 from caselight.llm.line_dedup import fresh
-from caselight.storage import scratch_path, written
+from caselight.storage import release_shuffles, scratch_path, written
 
 COARSE = 64
 FINE = 16
@@ -179,6 +179,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["piece", "bytes", "n"])
 
     sorted_out = written(distinct.mapInArrow(with_others, "piece binary, bytes binary, n long"), "pieces-with-others")
+    release_shuffles(spark)
     many = sorted_out.where("bytes is not null")
     size = many.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     alone = sorted_out.where("bytes is null and n > 1").select("piece", F.lit(None).cast("binary").alias("runs"))
