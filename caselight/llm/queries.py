@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from caselight.llm import (
     bpe,
+    collocations,
+    conversation_trie,
     decontaminate,
     html_text,
     language_id,
@@ -22,6 +24,7 @@ from caselight.llm import (
     toxicity,
     url_filter,
 )
+from caselight.storage import written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -114,6 +117,17 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language whose words meet most above their parts."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of the rebuilt conversations."""
+    turns = written(conversation_trie.turns_of(table(spark, sf_dir, "conversations")), "turns")
+    return conversation_trie.trie(*conversation_trie.rebuilt(turns))
+
+
 OPERATORS = (
     op1_line_dedup,
     op2_language_id,
@@ -126,6 +140,8 @@ OPERATORS = (
     op9_html_text,
     op10_token_counts,
     op11_suffix_dedup,
+    op12_collocations,
+    op13_conversation_trie,
 )
 
 
