@@ -137,12 +137,11 @@ def _same(at: str | Column, p: str = "h_p", q: str = "h_q") -> Column:
 def _nodes(chains: DataFrame, cuts: DataFrame) -> DataFrame:
     """The compacted nodes: edges of each chain between the places where others
     leave it."""
-    inner = cuts.groupBy("owner").agg(F.collect_set("at").alias("cuts"))
-    joined = chains.join(inner, chains["conv"] == inner["owner"], "left")
+    inner = cuts.groupBy(F.col("owner").alias("conv")).agg(F.collect_set("at").alias("cuts"))
     ends = F.array_sort(F.array_union(F.coalesce("cuts", F.array().cast("array<int>")), F.array("from", "len")))
-    node = joined.withColumn("ends", ends).select(
-        "conv", "path", "p", "q", F.explode(F.arrays_zip(F.slice("ends", 1, F.size("ends") - 1).alias("lo"), F.slice("ends", 2, F.size("ends")).alias("hi"))).alias("edge")
-    ).select("conv", "path", "p", "q", "edge.lo", "edge.hi")
+    edges = F.explode(F.expr("transform(sequence(1, size(ends) - 1), k -> struct(ends[k - 1] as lo, ends[k] as hi))"))
+    cut = chains.join(inner, "conv", "left").withColumn("ends", ends)
+    node = cut.select("conv", "path", "p", "q", edges.alias("edge")).select("conv", "path", "p", "q", "edge.*")
     handle = F.expr("hi & shiftleft(-1, length(bin(lo ^ hi)) - 1)")
     part = [F.slice(c, F.col("lo") + 1, F.col("hi") - F.col("lo")).alias(f"edge_{c}") for c in ("p", "q")]
     return node.select(F.col("conv").alias("node"), F.col("path").alias("node_path"), "lo", "hi", handle.alias("handle"), *part)
