@@ -313,9 +313,9 @@ def blocks_of(texts: DataFrame, total: int) -> DataFrame:
 def repeated_starts(texts: DataFrame, total: int) -> DataFrame:
     """Where strings of ``LENGTH`` bytes start in the ``bytes`` of texts that
     occur twice or more, in all texts together, a text with weight ``n`` counting
-    n times: (``piece``, ``runs``), runs being pairs of the first and last such
-    start as 32-bit numbers; one row for each text that has any. ``piece`` is a
-    name of 16 bytes; ``total`` is about how many bytes there are.
+    n times: (``piece``, ``runs``), a run being the first and the last of successive
+    such starts; one row for each text that has any. ``piece`` is a name of 16
+    bytes; ``total`` is about how many bytes there are.
     """
     spark = texts.sparkSession
     parts = max(1, total // PART)
@@ -331,6 +331,8 @@ def repeated_starts(texts: DataFrame, total: int) -> DataFrame:
         release_shuffles(spark)
         blocks, path = spark.read.schema(after_schema).parquet(new), new
 
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -350,9 +352,9 @@ def repeated_starts(texts: DataFrame, total: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row["names"][k : k + 16] for k in at], pa.binary()),
-                        pa.array([runs[a:z].astype("<i4").tobytes() for a, z in cuts], pa.binary()),
+                        pa.array([[{"first": x, "last": y} for x, y in runs[a:z].tolist()] for a, z in cuts], kind),
                     ],
                     names=["piece", "runs"],
                 )
 
-    return blocks.mapInArrow(read, "piece binary, runs binary")
+    return blocks.mapInArrow(read, "piece binary, runs array<struct<first:bigint,last:bigint>>")

@@ -1,18 +1,24 @@
 """Main text of web pages by the distribution of text over lines.
 
 Markup is stripped into lines, one for each block of the page. A line's weight
-is the length of its text outside links, and nothing if links are half of it; lines of menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments weigh nothing, and where a
-page marks its article only lines within it weigh anything. Weights are summed
-over a sliding window of lines. Where the sums surge past a threshold the main
-text begins, where they dive to nothing it ends, and what lies between is kept.
+is the length of its text outside links, and nothing if links are half of it. In
+an article or main element it weighs ``BONUS`` more; in a menu, header, footer,
+sidebar, notice, advert, form or reader comment it weighs nothing. Weights are
+summed over a sliding window of lines. Where the sums surge past a threshold that
+the page's largest sum sets, the main text begins, where they dive to nothing it
+ends, and what lies between is kept. Markup never chooses lines by itself.
+
+As a window cannot tell a short line at the edge of the text from one beside it,
+two things are added to a run: lines with a weight that adjoin its begin, and
+lines with a weight in a container that the run has lines of directly.
 
 A page is read where it lies; nothing is shuffled.
 
 Defined results: NULL or empty html gives the empty text. Open tags at the end
 of a cut page are closed there; of an element that is not shown and not closed,
 only scripts, styles, templates, text areas and comments go on to the page's
-end. A page without any markup is one block.
+end. A page without any markup is one block. A column named as the result is
+replaced; all others pass through.
 """
 
 from __future__ import annotations
@@ -31,10 +37,11 @@ from caselight.llm import text as T
 
 WINDOW = 3
 SURGE = 80
+BONUS = 40
 
 # What elements are, and what authors call those beside the text.
 RAW = "script style template textarea"
-UNSEEN = "noscript select svg iframe object canvas title button math"
+UNSEEN = "noscript select svg iframe object canvas title button"
 # Of these, unclosed ones hold their text up to the next block.
 LABELS = frozenset("title select button".split())
 BESIDE = frozenset("nav footer aside form menu dialog".split())
@@ -44,6 +51,7 @@ BREAKS = frozenset(
     " footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td"
     " tfoot th thead tr ul".split()
 )
+CONTAINERS = frozenset("article main section div body td blockquote details".split())
 # Elements whose end tag may be left out, and what begins after their end; lists
 # and tables within them hold others of the kind.
 ENDED_BY = {
@@ -59,6 +67,11 @@ BESIDE_NAMES = (
     "header", "masthead", "topbar", "toolbar", "comment", "comments", "disqus", "respond", "social", "share",
     "sharing", "related", "recommended", "pagination", "pager", "login", "signup", "search",
 )
+# Words that say no more than where or what a part of a page is.
+NEUTRAL_NAMES = (
+    "site", "page", "main", "global", "top", "bottom", "left", "right", "inner", "outer", "box", "block", "wrap", "wrapper",
+    "container", "content", "section", "area", "slot", "unit", "bar", "list", "item", "items", "links", "panel", "row", "col",
+)
 BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu form".split())
 
 _RAW = re.compile(
@@ -71,10 +84,25 @@ _HEAD = re.compile(r"<head(?=[\s/>])[^>]*>", re.IGNORECASE)
 _HEAD_END = re.compile(r"</head\s*>", re.IGNORECASE)
 _UNQUOTED = re.compile(r"""=\s*[^\s"']+/$""")
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^"'<>]|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""")
-_NAMED = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_ROLE = re.compile(r"""\brole\s*=\s*["']?([\w-]+)""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
-_NAMES = frozenset(BESIDE_NAMES)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""")
+_NONE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+_NAMES, _NEUTRAL = frozenset(BESIDE_NAMES), frozenset(NEUTRAL_NAMES)
+
+
+def attributes(told: str) -> dict[str, str]:
+    """What a tag says, by name; of a name given twice, the first value."""
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(told):
+        found.setdefault(name.lower(), references.unescape(a or b or c))
+    return found
+
+
+def names_beside(one: str) -> bool:
+    """Whether a class or id names something beside the text: by one such word, or
+    several put together with neutral ones or numbers only."""
+    parts = [x for x in re.split(r"[-_]+", one) if x]
+    named = [x in _NAMES for x in parts]
+    return any(named) and all(k or x in _NEUTRAL or x.isdigit() for k, x in zip(named, parts))
 
 
 def _is_beside(name: str, told: str, within: bool) -> bool:
@@ -86,15 +114,13 @@ def _is_beside(name: str, told: str, within: bool) -> bool:
         return not within
     if not told or name in ("html", "body"):
         return False
-    role = _ROLE.search(told)
-    if role and role[1].lower() in BESIDE_ROLES or _HIDDEN.search(told):
+    said = attributes(told)
+    if "hidden" in said or said.get("aria-hidden", "").lower() == "true" or _NONE.search(said.get("style", "")):
+        return True
+    if said.get("role", "").lower() in BESIDE_ROLES:
         return True
-    for a, b, c in _NAMED.findall(told):
-        for one in (a or b or c).lower().split():
-            parts = re.split(r"[-_]+", one)
-            if (parts[0] in _NAMES or parts[-1] in _NAMES) and not (within and parts[-1] in ("header", "main")):
-                return True
-    return False
+    tokens = f"{said.get('class', '')} {said.get('id', '')}".lower().split()
+    return any(names_beside(x) and not (within and x.endswith(("header", "main"))) for x in tokens)
 
 
 def _is_empty(told: str) -> bool:
@@ -143,15 +169,17 @@ def _seen(page: str) -> str:
     return "".join(kept) + page[at:]
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int]], bool]:
-    """Text and weight of every block in page order; and whether the page marks
-    its main part. Blocks beside the main text have weight -1."""
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """Text, weight and container of every block in page order. Blocks beside the
+    main text have weight -1. A container is the innermost open element that holds
+    blocks, by the order in which these begin."""
     page = _seen(page)
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, int, int]] = []
+    open_: list[tuple[str, int]] = [("", 0)]
+    begun = 0
     words: list[str] = []
     linked = 0
     in_link = main_depth = 0
-    marked = False
     outside, depth = None, 0
     inner: Counter[str] = Counter()
 
@@ -161,7 +189,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int]], bool]:
             text = " ".join(references.unescape("".join(words)).split())
             if text:
                 weight = len(text) - linked if 2 * linked < len(text) else 0
-                lines.append((text, -1 if beside else weight, main_depth > 0))
+                lines.append((text, -1 if beside else weight + BONUS * (main_depth > 0), open_[-1][1]))
         words.clear()
         linked = 0
 
@@ -180,6 +208,13 @@ def lines_of(page: str) -> tuple[list[tuple[str, int]], bool]:
                 words.append(" ")
             else:
                 end(outside is not None)
+        if name in CONTAINERS and not _is_empty(told):
+            if not closing:
+                begun += 1
+                open_.append((name, begun))
+            elif any(x == name for x, _ in open_):
+                while open_.pop()[0] != name:
+                    pass
         if name == "a":
             in_link = 0 if closing else 1
         if outside in ENDED_BY and name in BREAKS:
@@ -209,13 +244,10 @@ def lines_of(page: str) -> tuple[list[tuple[str, int]], bool]:
             outside, depth = name, 1
             inner.clear()
         elif name in MAIN:
-            marked = marked or not closing
             main_depth = max(0, main_depth + (-1 if closing else 1))
     words.append(page[last:])
     end(outside is not None)
-    if marked:
-        return [(text, weight if weight < 0 or within else -1) for text, weight, within in lines], True
-    return [(text, weight) for text, weight, _ in lines], False
+    return lines
 
 
 def surges(weights: list[int], least: float, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -236,24 +268,25 @@ def surges(weights: list[int], least: float, window: int = WINDOW) -> list[tuple
     return found
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, window: int = WINDOW) -> str:
     """The blocks of the main text, joined by an empty line."""
-    lines, marked = lines_of(page or "")
-    weights = [max(0, w) for _, w in lines]
-    if marked:
-        # The page says which lines are its text, links within it included.
-        weights = [len(text) if w >= 0 else 0 for text, w in lines]
-    top = max((sum(weights[k : k + WINDOW]) for k in range(len(weights))), default=0)
-    least = 1 if marked else max(1, min(SURGE, top / 2))
-    kept = [
-        lines[k][0] for first, last in surges(weights, least) for k in range(first, last) if lines[k][1] >= 0
-    ]
-    return "\n\n".join(kept)
+    lines = lines_of(page or "")
+    weights = [max(0, w) for _, w, _ in lines]
+    top = max((sum(weights[k : k + window]) for k in range(len(weights))), default=0)
+    kept: set[int] = set()
+    for first, last in surges(weights, max(1, min(SURGE, top / 2)), window):
+        while first and weights[first - 1]:
+            first -= 1
+        kept.update(range(first, last))
+    held = {lines[k][2] for k in kept if weights[k]}
+    kept.update(k for k, (_, w, container) in enumerate(lines) if w > 0 and container in held)
+    return "\n\n".join(lines[k][0] for k in sorted(kept) if lines[k][1] >= 0)
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the main text of ``html`` in ``out``."""
-    schema = t.StructType([*(f for f in pages.schema.fields if f.name != out), t.StructField(out, t.StringType())])
+    others = [f for f in pages.schema.fields if f.name.lower() != out.lower()]
+    schema = t.StructType([*others, t.StructField(out, t.StringType())])
     names = schema.names[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

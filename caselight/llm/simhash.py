@@ -27,12 +27,13 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from caselight.llm import text as T
 from caselight.llm.components import connected_components
+from caselight.llm.line_dedup import fresh
 from caselight.storage import written
 
 BITS = 64
@@ -209,12 +210,8 @@ def links(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     return bucketed.groupBy("bucket").applyInArrow(run, "u long, v long")
 
 
-def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, tile: int = TILE
-) -> DataFrame:
-    """Per document: its key, ``fingerprint`` (16 hex digits), and
-    ``component_id``, the least key of those reachable over links."""
-    prints = written(fingerprints(docs, [key], text, shingle), "fingerprints")
+def _components(prints: DataFrame, key: Column, radius: int, tile: int) -> DataFrame:
+    """(fp, least): of each fingerprint the least ``key`` of those reachable."""
     # Documents of a fingerprint are counted as one from here on.
     classes = written(prints.groupBy("fp").agg(F.min(key).alias("first")), "fingerprint-classes")
     # The order of signed longs does not matter: the root only names a group.
@@ -222,18 +219,41 @@ def near_duplicates(
     rooted = classes.join(found, classes["fp"] == found["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = rooted.join(least, "root").select("fp", "component_id")
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    return rooted.join(least, "root").select("fp", "least")
+
+
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, tile: int = TILE
+) -> DataFrame:
+    """Per document: its key, ``fingerprint`` (16 hex digits), and
+    ``component_id``, the least key of those reachable over links."""
+    prints = written(fingerprints(docs, [key], text, shingle), "fingerprints")
+    by_print = _components(prints, F.col(key), radius, tile)
     return prints.join(by_print, "fp").select(
-        key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id")
     )
 
 
 def representatives(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, tile: int = TILE
 ) -> DataFrame:
-    """The rows of ``docs`` whose key is the least of their group. A row without
-    a key is in no group of others' and stays."""
-    groups = near_duplicates(docs.where(F.col(key).isNotNull()), key, text, shingle, radius, tile)
-    gone = groups.where(F.col(key) != F.col("component_id")).select(F.col(key)).distinct()
-    return docs.join(gone.hint("shuffle_hash"), key, "left_anti").select(*docs.columns)
+    """One row of ``docs`` for each group: the one of least (key, hash of the whole
+    row). Rows are told apart by both, so two texts under one key are judged each
+    by itself; of a repeated row one stays. A row without a key is in no group of
+    others' and stays."""
+    names = docs.columns
+    row, n = fresh(docs, "row", "n")
+    marked = docs.withColumn(row, F.xxhash64(*names))
+    prints = written(fingerprints(marked.where(F.col(key).isNotNull()), [key, row], text, shingle), "fingerprints")
+    place = F.struct(F.col(key).alias("key"), F.col(row).alias("row"))
+    by_print = _components(prints, place, radius, tile)
+    counted = prints.groupBy("fp", key, row).agg(F.count("*").alias(n)).join(by_print, "fp")
+    stays = place == F.col("least")
+    # 0: goes; more: so many rows of which one stays.
+    told = counted.select(key, row, F.when(stays, F.col(n)).otherwise(0).alias(n)).where(F.col(n) != 1)
+    told = written(told, "not-alone")
+    alone = marked.join(told.select(key, row).hint("shuffle_hash"), [key, row], "left_anti").select(*names)
+    many = marked.join(told.where(F.col(n) > 1).select(key, row), [key, row])
+    one = many.groupBy(key, row).agg(F.any_value(F.struct(*names)).alias(n)).select(f"{n}.*")
+    return alone.unionByName(one)

@@ -10,11 +10,15 @@ equal text goes in once, with its count:
    What occurs twice is told by a filter of fixed size; it may keep too much,
    never too little, so a corpus that fills it up costs time and nothing else.
 2. The windows left are cut into pieces at places that content names, their
-   outermost ones into pieces of their own. Equal pieces are counted as one.
-   A piece that has no anchor in common with a different one is alone with its
+   outermost ones into pieces of their own. Equal pieces are counted as one. A
+   piece that has no anchor in common with a different one is alone with its
    strings: they are repeated if the piece is, as its count says.
-3. The suffixes of all other pieces are sorted, and the prefixes of neighbours
-   compared. A string's count is the sum of the pieces it starts in.
+3. The other pieces are cut into groups, the windows that share an anchor, and
+   equal groups are counted as one. What is left are groups that have an anchor in
+   common with a different one, where a passage begins, ends or was changed. Of
+   these go the windows that a third filter, of whole windows, knows to be single.
+4. The suffixes of these groups are sorted, and the prefixes of neighbours
+   compared. A string's count is the sum of the groups it starts in.
 
 What is found goes back by piece to all places where the piece stands, and by a
 digest of the text to the documents. Only texts that lose something are shuffled.
@@ -99,13 +103,24 @@ def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)], dtype=np.int64)
 
 
-def _fine_anchors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hash and owner of the fine anchors of pieces."""
+def _groups_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]]:
+    """Of pieces, the windows that share a fine anchor: hash of the anchor, owner,
+    place of the first in the piece, how many, and all bytes; some at a time."""
     data, bounds = _joined(column)
     for at, s in A.slices(data, bounds, LENGTH):
         h, places = s.anchors(FINE)
-        first, _ = A.groups(places, s.usable)
-        yield h[places[first]], np.searchsorted(bounds, at + first, side="right") - 1
+        first, last = A.groups(places, s.usable)
+        owner = np.searchsorted(bounds, at + first, side="right") - 1
+        yield h[places[first]], owner, at + first - bounds[owner], last - first + 1, s.data[first[0] :].tobytes()
+
+
+def _window_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, owner and place of every window of short texts."""
+    data, bounds = _joined(column)
+    at = np.arange(len(data))
+    owner = np.searchsorted(bounds, at, side="right") - 1
+    at, owner = at[bounds[owner + 1] - at >= LENGTH], owner[bounds[owner + 1] - at >= LENGTH]
+    return T.span_hashes(data, at, at + LENGTH), owner, at - bounds[owner]
 
 
 def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -161,32 +176,115 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
     # Equal bytes, not only equal names, are one piece.
     distinct = written(pieces.groupBy("piece", "bytes").agg(F.count("*").alias("n")), "distinct-pieces")
-    told = distinct.agg(F.count("*"), F.sum(F.octet_length("bytes"))).first()
+    release_shuffles(spark)
+    found = _found_in(distinct)
+    places = pieces.select("mark_1", "mark_2", "first", "starts", "piece").distinct().join(found, "piece")
+    each = F.struct("first", "starts", "runs")
+    return places.groupBy("mark_1", "mark_2").agg(F.collect_set(each).alias("found"))
 
-    def piece_anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for h, _ in _fine_anchors(batch.column("bytes")):
+
+def _shared_anchors(texts: DataFrame, total: int) -> A.Filter:
+    """Fine anchors that stand at two places of ``bytes`` or more."""
+
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for h, *_ in _groups_of(batch.column("bytes")):
             yield h
 
-    shared = spark.sparkContext.broadcast(A.repeated(distinct.select("bytes"), piece_anchors, (told[1] or 0) // FINE))
+    return A.repeated(texts.select("bytes"), hashes, total // FINE)
+
+
+def _found_in(distinct: DataFrame) -> DataFrame:
+    """(piece, runs): pieces that have repeated windows, and which; all where
+    ``runs`` is NULL. ``distinct`` has each piece once, with its count."""
+    spark = distinct.sparkSession
+    size = distinct.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    shared = spark.sparkContext.broadcast(_shared_anchors(distinct, size))
 
-    def with_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The groups of pieces that have an anchor in common with others."""
         for batch in batches:
-            hit = np.zeros(batch.num_rows, dtype=bool)
-            for h, owner in _fine_anchors(batch.column("bytes")):
-                hit[owner[shared.value.may_hold(h)]] = True
-            columns = [batch.column(k) for k in ("piece", "bytes", "n")]
-            columns[1] = pa.array([x if k else None for k, x in zip(hit, columns[1].to_pylist())], pa.binary())
-            yield pa.RecordBatch.from_arrays(columns, names=["piece", "bytes", "n"])
-
-    sorted_out = written(distinct.mapInArrow(with_others, "piece binary, bytes binary, n long"), "pieces-with-others")
+            known = list(_groups_of(batch.column("bytes")))
+            hard = np.zeros(batch.num_rows, dtype=bool)
+            for h, owner, *_ in known:
+                hard[owner[shared.value.may_hold(h)]] = True
+            held = batch.column("bytes").to_pylist()
+            for h, owner, first, n, _ in known:
+                keep = hard[owner]
+                h, owner, first, n = h[keep], owner[keep], first[keep], n[keep]
+                spans = zip(owner.tolist(), first.tolist(), n.tolist())
+                names = [xxhash.xxh3_128_digest(held[o][a : a + m + LENGTH - 1]) for o, a, m in spans]
+                place = pa.array(owner)
+                columns = [
+                    pa.array(names, pa.binary()), pa.array(h.view(np.int64)), batch.column("piece").take(place),
+                    pa.array(first), pa.array(n), batch.column("n").take(place),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["name", "anchor", "piece", "first", "size", "n"])
+
+    schema = "name binary, anchor long, piece binary, first long, size long, n long"
+    grouped = written(distinct.select("piece", "bytes", "n").mapInArrow(groups, schema), "anchor-groups")
+    one = F.min(F.struct("piece", "first", "size", "anchor")).alias("one")
+    counted = written(grouped.groupBy("name").agg(F.sum("n").alias("weight"), one), "equal-groups")
     release_shuffles(spark)
-    many = sorted_out.where("bytes is not null")
-    size = many.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    alone = sorted_out.where("bytes is null and n > 1").select("piece", F.lit(None).cast("binary").alias("runs"))
-    found = alone.unionByName(repeated_starts(many, size)) if size else alone
-    places = pieces.select("mark_1", "mark_2", "first", "starts", "piece").distinct().join(found, "piece")
-    each = F.struct("first", "starts", "runs")
-    return places.groupBy("mark_1", "mark_2").agg(F.collect_set(each).alias("found"))
+
+    # Of a group that stands twice every window is repeated.
+    again = grouped.where("n = 1").join(counted.where("weight > 1").select("name"), "name")
+    again = again.select("piece", "first", (F.col("first") + F.col("size") - 1).alias("last"))
+
+    def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield batch.column("anchor").to_numpy().view(np.uint64)
+
+    unlike = counted.select("name", "weight", "one.*")
+    contested = spark.sparkContext.broadcast(A.repeated(unlike.select("anchor"), anchors, size // FINE))
+
+    def still(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(contested.value.may_hold(batch.column("anchor").to_numpy().view(np.uint64))))
+
+    asked = unlike.mapInArrow(still, unlike.schema)
+    # One row of bytes a group, and no piece has more groups than it is long.
+    texts = asked.join(distinct.select("piece", F.col("bytes").alias("whole")), "piece")
+    begin = F.substring("whole", F.col("first").cast("int") + 1, F.col("size").cast("int") + LENGTH - 1)
+    texts = written(texts.select("name", "weight", "piece", "first", begin.alias("bytes")), "contested-groups")
+
+    def windows(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield _window_hashes(batch.column("bytes"))[0]
+
+    many = texts.agg(F.sum(F.octet_length("bytes") - LENGTH + 1)).first()[0] or 0
+    twice = spark.sparkContext.broadcast(A.repeated(texts.select("bytes"), windows, many))
+
+    names = texts.columns
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups from the first to the last window that may stand in another."""
+        for batch in batches:
+            h, owner, place = _window_hashes(batch.column("bytes"))
+            keep = twice.value.may_hold(h)
+            owner, place = owner[keep], place[keep]
+            edges = np.flatnonzero(np.diff(owner, prepend=-1, append=batch.num_rows))
+            rows, first, last = owner[edges[:-1]], place[edges[:-1]], place[edges[1:] - 1]
+            held = batch.column("bytes").to_pylist()
+            cut = [held[o][a : z + LENGTH] for o, a, z in zip(rows.tolist(), first.tolist(), last.tolist())]
+            at = pa.array(rows)
+            columns = [batch.column(c).take(at) for c in ("name", "weight", "piece")]
+            begins = pa.array(batch.column("first").to_numpy()[rows] + first)
+            yield pa.RecordBatch.from_arrays([*columns, begins, pa.array(cut, pa.binary())], names=names)
+
+    left = written(texts.mapInArrow(trimmed, texts.schema), "trimmed-groups")
+    release_shuffles(spark)
+    size = left.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    parts = again
+    if size:
+        found = repeated_starts(left.selectExpr("name as piece", "bytes", "weight as n"), size)
+        # What stands twice as a whole needs no answer.
+        mine = left.where("weight = 1").select("name", "piece", "first")
+        told = mine.join(found.select(F.col("piece").alias("name"), "runs"), "name")
+        each = told.select("piece", F.explode("runs").alias("run"), F.col("first").alias("at"))
+        spans = each.selectExpr("piece", "at + run.first as first", "at + run.last as last")
+        parts = parts.unionByName(spans)
+    runs = parts.groupBy("piece").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    kind = runs.schema["runs"].dataType
+    whole = distinct.where("n > 1").select("piece", F.lit(None).cast(kind).alias("runs"))
+    return written(whole.unionByName(runs), "found-pieces")
 
 
 def _marks(text: str):
@@ -241,7 +339,7 @@ def _removed(pieces: list[dict]) -> list[tuple[int, int]]:
     """Byte spans that the repeated windows cover, joined where they touch."""
     spans = []
     for p in pieces:
-        runs = [(0, p["starts"] - 1)] if p["runs"] is None else np.frombuffer(p["runs"], "<i4").reshape(-1, 2).tolist()
+        runs = [(0, p["starts"] - 1)] if p["runs"] is None else [(r["first"], r["last"]) for r in p["runs"]]
         spans.extend((p["first"] + a, p["first"] + z + LENGTH) for a, z in runs)
     out: list[tuple[int, int]] = []
     for a, z in sorted(spans):

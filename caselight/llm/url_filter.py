@@ -5,29 +5,31 @@ subdomains, and the longest that fits decides. A url no rule fits takes the
 decision of its equivalents: urls joined by redirects and canonical links,
 directly or through others. One explicit allow among them outweighs any block.
 
-Spellings of one address (scheme, www and mobile hosts, fragments, tracking
-parameters, a closing slash) are folded before links are followed, so a popular
-address is one node. Links are read off the pages themselves - a refresh, or a
-link named canonical - and resolved against the page's base or url; components
-are found by joins and grouped minima.
+Urls that differ in scheme, host case or fragment only are one address. With
+``fold=True`` so are www and mobile hosts, tracking parameters and a closing
+slash, which some sites use for different pages. Links are read off the pages
+themselves - every refresh, and every link that has canonical among its relations
+- but not out of comments, scripts, styles or templates; they are resolved
+against the page's base or url. Components are found by joins and grouped minima.
 
-Everything is a DataFrame expression. Rules become one expression, so they are a
-short list; MOST_RULES is checked.
+Everything is a DataFrame expression. Rules are a table, joined by host and the
+beginning of the path, so there may be any number; only the lengths their paths
+have are told to every task, a few hundred numbers at most, as a path is a line.
 
 Defined results: a NULL url, or one without ``://``, has an empty host and path,
 fits no rule, has no equivalents and is allowed. Rows are judged one by one, so
-repeated rows repeat.
+repeated rows repeat. Of two rules that say the same of one host and path, an
+allow counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselight.llm.components import connected_components
 from caselight.storage import written
 
-MOST_RULES = 1_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Parameters that name where a reader came from, and host prefixes
@@ -35,7 +37,10 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TRACKING = ("utm_[^=&]*", "ref", "gclid", "fbclid", "mc_cid", "mc_eid", "igshid")
 SITE_PREFIX = "^(www|m|mobile|amp)[.]"
 
-_CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
+# What a page's text is not read for links in, and tags that name an address.
+_DEAD = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|textarea|noscript)\b[^>]*>.*?(?:</\1\s*>|\z)"
+_RELATION = r"""(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]))"""
+_CANONICAL = rf"""(?i)<link\s(?:[^>]*\s)?rel\s*=\s*{_RELATION}[^>]*>"""
 _REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 _HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 _BASE = r"""(?i)<base\s[^>]*>"""
@@ -56,25 +61,37 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(after_scheme(url), "^[^/?#]*([^?#]*)", 1)
 
 
-def _fits(host: Column, path: Column, rule_host: str, rule_path: str) -> Column:
-    named = (host == rule_host) | F.endswith(host, F.lit("." + rule_host))
-    return named & F.startswith(path, F.lit(rule_path))
-
-
-def matched_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
-    """Name and verdict of the longest rule that fits; NULL if none does. Of two
-    as long, the first in the list."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    ordered = sorted(rules, key=lambda r: -len(r[0] + r[1]))
-    fits = [_fits(host, path, h, p) for h, p, _ in ordered]
-    name = F.coalesce(F.lit(None).cast("string"), *(F.when(f, h + p) for f, (h, p, _) in zip(fits, ordered)))
-    verdict = F.coalesce(F.lit(None).cast("string"), *(F.when(f, v) for f, (_, _, v) in zip(fits, ordered)))
-    return name, verdict
-
-
-def address(url: Column) -> Column:
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
+    return spark.createDataFrame(rules, "host string, path string, verdict string")
+
+
+def matched_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, rule, ruled): of each distinct (host, path) of ``urls`` that a
+    rule fits, the longest such rule and its verdict."""
+    rules = rules.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
+    sizes = [r[0] for r in rules.select(F.length("path")).distinct().collect()]
+    asked = urls.where("host <> ''").select("host", "path").distinct()
+    labels = F.split("host", "[.]")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    heads = F.filter(F.array(*(F.lit(n) for n in sizes)).cast("array<int>"), lambda n: n <= F.length("path"))
+    each = asked.select("host", "path", F.explode(suffixes).alias("r_host"), heads.alias("heads"))
+    each = each.select("host", "path", "r_host", F.explode("heads").alias("n"))
+    each = each.withColumn("r_path", F.expr("substring(path, 1, n)"))
+    told = rules.select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), "verdict")
+    found = each.join(told, ["r_host", "r_path"])
+    # Of two as long, that of the longer host.
+    size = F.length("r_host") + F.length("r_path")
+    longest = F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), "verdict"), F.struct(size, F.length("r_host")))
+    best = found.groupBy("host", "path").agg(longest.alias("best"))
+    return best.select("host", "path", "best.rule", F.col("best.verdict").alias("ruled"))
+
+
+def address(url: Column, fold: bool = False) -> Column:
     """One spelling for all urls of an address; NULL if there is no host."""
+    if not fold:
+        rest = F.regexp_extract(after_scheme(url), "(?s)^[^/?#]*([^#]*)", 1)
+        rest = F.when(rest == "", "/").otherwise(rest)
+        return F.when(host_of(url) != "", F.concat(host_of(url), rest))
     host, path = F.regexp_replace(host_of(url), SITE_PREFIX, ""), F.regexp_replace(path_of(url), "/+$", "")
     query = F.regexp_extract(after_scheme(url), r"^[^?#]*[?]([^#]*)", 1)
     told = F.filter(F.split(query, "&"), lambda x: (x != "") & ~F.rlike(x, F.lit("^(" + "|".join(TRACKING) + ")=")))
@@ -83,10 +100,10 @@ def address(url: Column) -> Column:
     return F.when(host != "", whole)
 
 
-def link_of(html: Column, tag: str, value: str) -> Column:
-    """What the first such tag of a page names; empty if it has none."""
-    to = F.regexp_extract(F.regexp_extract(html, tag, 0), value, 1)
-    return F.replace(to, F.lit("&amp;"), F.lit("&"))
+def links_of(html: Column, tag: str, value: str) -> Column:
+    """What all such tags of a page name."""
+    named = F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, value, 1))
+    return F.transform(named, lambda to: F.replace(to, F.lit("&amp;"), F.lit("&")))
 
 
 def without_dots(path: Column) -> Column:
@@ -127,49 +144,55 @@ def resolved(to: Column, base: Column) -> Column:
 
 def judge(
     pages: DataFrame,
-    rules: list[tuple[str, str, str]],
+    rules: list[tuple[str, str, str]] | DataFrame,
     key: str = "page_id",
     url: str = "url",
     html: str = "html",
     default: str = "allow",
+    fold: bool = False,
 ) -> DataFrame:
     """Per page: its key, ``host``, ``path``, ``rule`` and ``verdict``. Rules
-    are (host, path, ``allow`` or ``block``)."""
+    are (host, path, ``allow`` or ``block``), as a list or a table of these
+    columns."""
+    if not isinstance(rules, DataFrame):
+        rules = rule_table(pages.sparkSession, rules)
     at, page = F.col("url"), F.col("html")
-    given = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
+    given = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.regexp_replace(F.col(html), _DEAD, " ").alias("html"))
     linked = given.select(
         "key",
         "url",
-        F.array(link_of(page, _CANONICAL, _HREF), link_of(page, _REFRESH, _TO)).alias("named"),
-        link_of(page, _BASE, _HREF).alias("base"),
+        F.concat(links_of(page, _CANONICAL, _HREF), links_of(page, _REFRESH, _TO)).alias("named"),
+        F.get(links_of(page, _BASE, _HREF), F.lit(0)).alias("base"),
     )
     based = F.coalesce(resolved(F.col("base"), at), at)
-    host, path = host_of(F.coalesce(at, F.lit(""))), path_of(F.coalesce(at, F.lit("")))
-    name, verdict = matched_rule(host, path, rules)
+    known = F.coalesce(at, F.lit(""))
     parsed = written(
         linked.select(
             "key",
-            host.alias("host"),
-            path.alias("path"),
-            name.alias("rule"),
-            verdict.alias("ruled"),
-            address(at).alias("node"),
+            host_of(known).alias("host"),
+            path_of(known).alias("path"),
+            address(at, fold).alias("node"),
             F.array_compact(F.transform("named", lambda to: resolved(to, based))).alias("targets"),
         ),
         "parsed-urls",
     )
-    links = parsed.select("node", F.explode("targets").alias("to")).withColumn("target", address(F.col("to")))
-    links = links.where("node is not null and target is not null")
-    _, target_verdict = matched_rule(host_of(F.col("to")), path_of(F.col("to")), rules)
-    told = parsed.select("node", "ruled").unionByName(links.select(F.col("target").alias("node"), target_verdict.alias("ruled")))
+    links = parsed.select("node", F.explode("targets").alias("to")).select(
+        "node", address(F.col("to"), fold).alias("target"), host_of(F.col("to")).alias("host"), path_of(F.col("to")).alias("path")
+    )
+    links = written(links.where("node is not null and target is not null").distinct(), "links")
+    asked = parsed.select("host", "path").unionByName(links.select("host", "path"))
+    ruled = written(matched_rules(asked, rules), "ruled-urls")
+    urls = parsed.select("node", "host", "path").unionByName(links.select(F.col("target").alias("node"), "host", "path"))
+    told = urls.where("node is not null").distinct().join(ruled, ["host", "path"], "left")
     flags = [F.max((F.col("ruled") == v).cast("int")).alias(v) for v in ("allow", "block")]
-    nodes = told.where("node is not null").groupBy("node").agg(*flags)
+    nodes = told.groupBy("node").agg(*flags)
     roots = connected_components(links.where("node <> target").select("node", "target"), "node", "target")
     joined = nodes.join(roots, "node", "left").select("node", "allow", "block", F.coalesce("root", "node").alias("root"))
     groups = joined.groupBy("root").agg(F.max("allow").alias("allow"), F.max("block").alias("block"))
     decision = F.when(F.col("allow") == 1, "allow").when(F.col("block") == 1, "block")
     decided = joined.select("node", "root").join(groups.select("root", decision.alias("shared")), "root")
-    out = parsed.join(decided.where("shared is not null").select("node", "shared"), "node", "left")
+    out = parsed.join(ruled, ["host", "path"], "left")
+    out = out.join(decided.where("shared is not null").select("node", "shared"), "node", "left")
     return out.select(
         F.col("key").alias(key), "host", "path", "rule", F.coalesce("ruled", "shared", F.lit(default)).alias("verdict")
     )

@@ -1,6 +1,7 @@
 """Quality rules, url decisions and page texts, by hand and by brute force."""
 
 import collections
+import os
 import random
 import re
 
@@ -75,9 +76,9 @@ def test_clean_lines(spark):
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
-def judged(spark, rows):
+def judged(spark, rows, rules=RULES, **how):
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, verdict string")
-    return {r["page_id"]: r for r in url_filter.judge(pages, RULES).collect()}
+    return {r["page_id"]: r for r in url_filter.judge(pages, rules, **how).collect()}
 
 
 def test_hosts_paths_and_rules(spark):
@@ -117,7 +118,7 @@ def test_decisions_go_over_links(spark):
         (11, "http://plain.com/", to("relative")),
         (11, "http://plain.com/", to("relative")),
     ]
-    got = judged(spark, rows)
+    got = judged(spark, rows, fold=True)
     # Blocked over two links, under other spellings too.
     assert [got[k]["verdict"] for k in (1, 2, 3)] == ["block"] * 3
     # One explicit allow outweighs the block; a rule of a url's own stands.
@@ -128,11 +129,80 @@ def test_decisions_go_over_links(spark):
     assert judged(spark, []) == {}
 
 
-def test_too_many_rules():
-    from pyspark.sql import functions as F
+def test_addresses_are_not_folded_unless_asked(spark):
+    def to(target):
+        return f'<link rel="canonical" href="{target}">'
 
-    with pytest.raises(ValueError):
-        url_filter.matched_rule(F.lit("a"), F.lit("b"), RULES * 300)
+    rows = [
+        (1, "http://m.site.com/p", to("http://bad.net/")),
+        (2, "http://www.site.com/p", None),
+        (3, "http://m.site.com/p/", None),
+        (4, "https://M.site.com/p#x", None),
+        (5, "http://m.site.com/p?ref=1", None),
+    ]
+    got = judged(spark, rows)
+    assert [got[k]["verdict"] for k in range(1, 6)] == ["block", "allow", "allow", "block", "allow"]
+    got = judged(spark, rows, fold=True)
+    assert [got[k]["verdict"] for k in range(1, 6)] == ["block"] * 5
+
+
+def test_links_that_count_and_those_that_do_not(spark):
+    evil = "http://evil.net/"
+    rows = [
+        (1, "http://a.com/1", f'<!-- <link rel="canonical" href="{evil}"> -->'),
+        (2, "http://a.com/2", f"<script>x = '<link rel=\"canonical\" href=\"{evil}\">'</script>"),
+        (3, "http://a.com/3", f'<template><link rel=canonical href={evil}></template>'),
+        (4, "http://a.com/4", f'<link rel="alternate canonical" href="{evil}">'),
+        (5, "http://a.com/5", f'<link href="/x" rel="canonical"><link rel=canonical href="{evil}">'),
+        (6, "http://a.com/6", f'<link rel="canonical-not" href="{evil}">'),
+        (7, "http://a.com/7", f"<!-- x --><link rel='canonical' href='{evil}'><!-- y -->"),
+        (8, "http://a.com/8", f'<!-- open <link rel="canonical" href="{evil}">'),
+    ]
+    got = judged(spark, rows)
+    assert {k for k, r in got.items() if r["verdict"] == "block"} == {4, 5, 7}
+
+
+def test_any_number_of_rules(spark):
+    rules = [(f"h{k}.com", f"/{'a' * (k % 7)}", "block") for k in range(100_000)] + [("com", "/", "allow")]
+    table = spark.range(100_000).selectExpr(
+        "concat('h', id, '.com') as host", "concat('/', repeat('a', int(id % 7))) as path", "'block' as verdict"
+    ).unionByName(spark.createDataFrame([("com", "/", "allow")], "host string, path string, verdict string"))
+    rows = [(k, f"http://x.h{k}.com/aaa", None) for k in range(0, 100_000, 9973)]
+    got = judged(spark, rows, table)
+    for k, _, _ in rows:
+        fits = "aaa".startswith(rules[k][1][1:])
+        assert got[k]["verdict"] == ("block" if fits else "allow")
+        assert got[k]["rule"] == ("".join(rules[k][:2]) if fits else "com/")
+
+
+def test_sql_agrees_on_pages_with_links(spark, tmp_path):
+    import duckdb
+
+    from caselight.llm.oracles import OP8
+
+    rng = random.Random(5)
+    hosts = ["a.com", "b.example.com", "c.net", "example.net", "d.org", "e.com"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['de', 'en', 'fr', 'x'])}/{k}" for k in range(120)]
+    rows = []
+    for k, url in enumerate(urls):
+        to = rng.choice(urls)
+        kinds = [None, f'<link rel="canonical" href="{to}">', f'<meta http-equiv="refresh" content="0; url={to}">',
+                 f'<!-- <link rel="canonical" href="{to}"> -->', '<link rel=canonical href="5">', '<link rel=canonical href="/x/7">']
+        rows.append((k, url, rng.choice(kinds)))
+    # A chain, a star and a loop.
+    rows += [(200 + k, f"http://chain.com/{k}", f'<link rel=canonical href="/{k + 1}">') for k in range(12)]
+    rows += [(300, "http://chain.com/12", '<link rel=canonical href="http://z.net/">')]
+    rows += [(400 + k, f"http://star.com/{k}", '<link rel=canonical href="http://hub.com/">') for k in range(20)]
+    rows += [(500, "http://hub.com/", '<link rel=canonical href="http://k.org/fr/">')]
+    rows += [(600, "http://l.com/1", '<link rel=canonical href="2">'), (601, "http://l.com/2", '<link rel=canonical href="1">')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages"))
+    engine = duckdb.connect()
+    engine.sql(f"create view pages as select * from read_parquet('{tmp_path}/pages/*.parquet')")
+    want = {r[0]: r[1:] for r in engine.sql(OP8).fetchall()}
+    got = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge(pages, RULES).collect()}
+    assert got == want and {"allow", "block"} == {r[-1] for r in got.values()}
+    assert got[200][-1] == "block" and got[400][-1] == "allow" and got[600][-1] == "allow"
 
 
 ARTICLE = "<p>%s</p><p>It is <b>bold</b>ly said &amp; done.<br>Next &lt;line&gt;</p>" % PROSE
@@ -179,7 +249,7 @@ def test_surges():
         f"<head><title>no</title></head><title-bar></title-bar><article><h1>Title</h1>{ARTICLE}</article>",
         *(
             f"<article><h1>Title</h1><{x} a='b'/>{ARTICLE}</article><{x}>no</{x}>"
-            for x in ("svg", "iframe", "object", "canvas", "math", "button", "select")
+            for x in ("svg", "iframe", "object", "canvas", "button", "select")
         ),
         *(f"<article><h1>Title</h1><{x} a='b'>{ARTICLE}</article>" for x in ("svg", "iframe", "object", "canvas", "noscript")),
         f"<article><h1>Title</h1><object><object>no</object>no</object><button>no{ARTICLE}</article><button>no</button>",
@@ -194,6 +264,72 @@ def test_omitted_end_tags(page):
     assert html_text.main_text(page) == WANTED
 
 
+@pytest.mark.parametrize(
+    "line",
+    [
+        '<p title="the hidden cost">kept line</p>', '<p data-id="share-12">kept line</p>',
+        '<section id="side-effects"><p>kept line</p></section>', '<h2 class="related-work">kept line</h2>',
+        '<div class="search-theory">kept line</div>', '<p class="alert-level">kept line</p>',
+        '<p class="widget-x">kept line</p>', "<p><math>kept line</math></p>", "<p data-x='hidden'>kept line</p>",
+    ],
+)
+def test_no_text_of_an_article_is_lost(line):
+    assert html_text.main_text(f"<article><h1>Title</h1>{ARTICLE}{line}</article>") == WANTED + "\n\nkept line"
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "<div class=cookie-banner>no</div>", "<div id=site-footer>no</div>", "<div class='box ad-slot-2'>no</div>",
+        "<p hidden>no</p>", "<p style='display: none'>no</p>", "<div class='sidebar-left'>no</div>", "<p aria-hidden=true>no</p>",
+    ],
+)
+def test_what_is_beside_goes(line):
+    assert html_text.main_text(f"<article><h1>Title</h1>{ARTICLE}{line}</article>") == WANTED
+
+
+def test_density_decides_where_markup_says_little_or_wrong():
+    # The text lies outside the marked element, and in an unmarked page.
+    assert html_text.main_text(f"<main><h1>Title</h1></main><div>{ARTICLE}</div>") == WANTED
+    page = f"<body><h1>Title</h1>{ARTICLE}<ul>{'<li><a href=x>one</a>' * 6}</ul><p>Last.</p></body>"
+    assert html_text.main_text(page) == WANTED + "\n\nLast."
+    assert html_text.main_text(f"<h1>Short</h1><p>By me</p><p>1 May</p>{ARTICLE}").startswith("Short\n\nBy me\n\n1 May\n\n")
+
+
+def test_windows_decide():
+    far = "<div><p>Ten words.</p></div>" + "<div><a href=x>link</a></div>" * 4
+    page = f"{far}<div>{ARTICLE}</div>"
+    assert "Ten words." not in html_text.main_text(page)
+    assert "Ten words." in html_text.main_text(page, window=6)
+
+
+def plain_main_text(page, window=html_text.WINDOW):
+    """The rule of the windows said again, line by line."""
+    lines = html_text.lines_of(page)
+    weight = [max(0, w) for _, w, _ in lines]
+    sums = [sum(weight[k : k + window]) for k in range(len(lines))]
+    least = max(1, min(html_text.SURGE, max(sums, default=0) / 2))
+    inside, keep = False, [False] * len(lines)
+    for k in range(len(lines)):
+        inside = sums[k] > 0 if inside else sums[k] >= least and weight[k] > 0
+        keep[k] = inside
+    for k in reversed(range(len(lines) - 1)):
+        if keep[k + 1] and weight[k] and not keep[k] and weight[k + 1]:
+            keep[k] = True
+    held = {c for (_, _, c), w, x in zip(lines, weight, keep) if x and w}
+    return "\n\n".join(t for (t, w, c), x in zip(lines, keep) if w >= 0 and (x or w > 0 and c in held))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no driver tables")
+def test_main_text_is_what_the_windows_say(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    rng = random.Random(2)
+    odd = ["".join(rng.choice(["<div>", "</div>", "<p>word word</p>", "<a href=x>link</a>", ARTICLE, "<article>", "</article>", "<nav>x</nav>"])
+                   for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    for page in [r["html"] for r in pages] + odd:
+        assert html_text.main_text(page) == plain_main_text(page)
+
+
 def test_li_after_an_advert_is_kept():
     assert html_text.main_text("<article><ul><li class=ad>buy<li>one<li>two</ul>three</article>") == "one\n\ntwo\n\nthree"
 

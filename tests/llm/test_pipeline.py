@@ -70,7 +70,7 @@ def test_stage_names():
 
 def test_every_operator_has_one_query():
     names = sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert set(oracles.oracle_sql()) <= set(names)
 
 
@@ -82,16 +82,20 @@ def test_query_on_driver_tables(spark, name):
     if sql:
         assert difference(spark, sql_engine(SF_DIR), SF_DIR, name, query, sql) == ""
     else:
+        if name == "op13_conversation_trie":
+            assert query(spark, SF_DIR).count() > 0
+            return
         source = "pages" if name in ("op8_url_filter", "op9_html_text") else "documents"
         key = "page_id" if source == "pages" else "doc_id"
         want = [r[0] for r in spark.read.parquet(f"{SF_DIR}/{source}.parquet").select(key).collect()]
         assert sorted(r[key] for r in query(spark, SF_DIR).collect()) == sorted(want)
 
 
-def test_entry_works_without_this_folder(tmp_path):
+@pytest.mark.parametrize("missing", ["caselight.llm", "corpus_pipeline", "xxhash", "public_tokenizers"])
+def test_entry_works_without(missing):
     code = (
-        "import importlib.util as u; real = u.find_spec\n"
-        "u.find_spec = lambda n, *a: None if n == 'caselight.llm' else real(n, *a)\n"
+        "import sys\n"
+        f"sys.modules[{missing!r}] = None\n"
         "import __spark_entry__ as e; assert e.queries() and not any(n.startswith('op') for n in e.queries())\n"
         "assert 'pipeline' not in e.queries() and e.oracle_sql()"
     )

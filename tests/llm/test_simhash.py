@@ -91,10 +91,21 @@ def test_repeated_rows_missing_keys_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e")], "doc_id long, text string")
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == 3 and {r["component_id"] for r in got} == {1}
-    assert simhash.representatives(docs).count() == 3
+    assert simhash.representatives(docs).count() == 2
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_key_are_judged_each_by_itself(spark):
+    p, u = "a b c d e f g h", "quite another text that has nothing in common with it"
+    rows = [(1, p, "x"), (2, p, "x"), (2, u, "x"), (3, u + " y z", "x"), (3, "so far from all", "x")] + [(4, "thrice told", "x")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n string").repartition(4)
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash.representatives(docs).collect())
+    assert (1, p) in kept and (2, p) not in kept and (2, u) in kept and (3, "so far from all") in kept
+    assert kept.count((4, "thrice told")) == 1
+    assert simhash.representatives(docs).columns == docs.columns
+    assert simhash.representatives(docs.limit(0)).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 100 + k) for k in range(1, 40)]
