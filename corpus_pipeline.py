@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from caselight.llm import bpe, decontaminate, line_dedup, simhash, toxicity
 from caselight.llm.queries import VOCABULARY, table
-from caselight.storage import written
+from caselight.storage import delete, scoped, scratch_path
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +59,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of ``sf_dir``. What a stage writes on its way is
+    deleted when its result is stored, and that when the next one's is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        with scoped(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        if before is not None:
+            delete(spark, before)
+        docs, before = spark.read.schema(kept.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
