@@ -1,5 +1,5 @@
-"""Special functions: log-gamma and digamma as SQL expressions, and the
-regularised incomplete gamma function on numpy arrays.
+"""Special functions: log-gamma and its first two derivatives as SQL expressions,
+and the regularised incomplete gamma function on numpy arrays.
 
 The expressions use the Stirling series after moving the argument up by eight,
 so they stay inside generated code. They are built as text for ``F.expr`` and
@@ -53,11 +53,61 @@ def digamma(x: str) -> str:
     return f"(ln({y}) - 0.5D / {y} - {w} * {series} - ({steps}))"
 
 
+def trigamma(x: str) -> str:
+    """SQL text for the derivative of ``digamma`` at ``x`` > 0."""
+    x = f"cast({x} as double)"
+    y = f"({x} + {_SHIFT})"
+    w = f"(1 / ({y} * {y}))"
+    steps = " + ".join(f"1 / (({x} + {i}) * ({x} + {i}))" for i in range(_SHIFT))
+    series = _series(w, (1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66))
+    return f"(1 / {y} + {w} * (0.5D + {series} / {y}) + {steps})"
+
+
 def ln_choose(n: str, k: str) -> str:
     """SQL text for the log of the binomial coefficient."""
     return f"({ln_gamma(f'{n} + 1')} - {ln_gamma(f'{k} + 1')} - {ln_gamma(f'({n}) - ({k}) + 1')})"
 
 
+def _stirling_rest(n: str) -> str:
+    """SQL text for what Stirling's formula leaves of the log of n factorial, n >= 1."""
+    series = _series(f"(1 / ({n} * {n}))", (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188))
+    exact = f"{ln_gamma(f'{n} + 1')} - ({n} + 0.5D) * ln({n}) + {n} - {number(_HALF_LOG_TWO_PI)}"
+    return f"(case when {n} < 16 then {exact} else {series} / {n} end)"
+
+
+def _deviance(x: str, mean: str) -> str:
+    """SQL text for x ln(x / mean) + mean - x, exact where x is near the mean."""
+    v = f"(({x} - {mean}) / ({x} + {mean}))"
+    near = _series(f"({v} * {v})", tuple(1 / (2 * j + 1) for j in range(1, 9)))
+    return (
+        f"(case when abs({x} - {mean}) < 0.1D * ({x} + {mean}) "
+        f"then ({x} - {mean}) * {v} + 2 * {x} * {v} * {v} * {v} * {near} "
+        f"else {x} * ln({x} / {mean}) + {mean} - {x} end)"
+    )
+
+
+def ln_binomial(x: str, n: str, p: str) -> str:
+    """SQL text for the log chance of ``x`` hits in ``n`` draws, 0 < p < 1, by its
+    saddle point: big terms cancel before they are rounded."""
+    x, n, rest = f"cast({x} as double)", f"cast({n} as double)", f"(cast({n} as double) - cast({x} as double))"
+    return (
+        f"(case when {x} = 0 then {n} * log1p(-{p}) when {x} = {n} then {n} * ln({p}) else "
+        f"{_stirling_rest(n)} - {_stirling_rest(x)} - {_stirling_rest(rest)} "
+        f"- {_deviance(x, f'({n} * {p})')} - {_deviance(rest, f'({n} * (1 - {p}))')} "
+        f"+ 0.5D * ln({n} / ({x} * {rest})) - {number(_HALF_LOG_TWO_PI)} end)"
+    )
+
+
+def ln_hypergeom(x: str, big_m: str, big_n: str, n: str) -> str:
+    """SQL text for the log chance of ``x`` marked ones among n drawn from big_n
+    that hold big_m, where 0 < n < big_n and that chance is not zero."""
+    p = f"(cast({n} as double) / {big_n})"
+    return (
+        f"({ln_binomial(x, big_m, p)} + {ln_binomial(f'({n} - ({x}))', f'({big_n} - {big_m})', p)} "
+        f"- {ln_binomial(n, big_n, p)})"
+    )
+
+
 # --- numpy side: used inside Arrow batches only -----------------------------
 
 _QUADRATURE_FROM = 100.0  # shape above which series get long

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselight.functions.special import ln_choose
+from caselight.functions.special import ln_hypergeom
 from caselight.operators.ordering import running
 from caselight.storage import written
 
@@ -27,28 +27,37 @@ def unmapped_ids(df: DataFrame, id_map: DataFrame, source: str) -> DataFrame:
 
 def hypergeom_sf(k: str, big_m: str, big_n: str, n: str) -> Column:
     """P(X >= k) where X marked items are among n drawn from big_n that hold
-    big_m marked ones. Terms are added up in logs from k on, each from the one
-    before. Above the largest possible number it is 0, at the smallest and below
-    it 1; NULL for a NULL."""
-    first = (
-        f"{ln_choose(big_m, k)} + {ln_choose(f'({big_n} - {big_m})', f'({n} - {k})')} "
-        f"- {ln_choose(big_n, n)}"
-    )
-    # greatest(.., 1) only acts after the last term, whose successor is zero.
-    ratio = (
-        f"ln(greatest(({big_m} - i) * ({n} - i), 1)) "
-        f"- ln(greatest((i + 1) * ({big_n} - {big_m} - {n} + i + 1), 1))"
-    )
+    big_m marked ones. Above the largest possible number it is 0, at the smallest
+    and below it 1; NULL for a NULL.
+
+    The tail that leads away from the mean is summed, from its largest term on,
+    each term from the one before. X is a sum of independent trials, so past nine
+    standard deviations and sixty terms less than 1e-17 of it is left; a row costs
+    that many terms, however large the numbers are.
+    """
     missing = " or ".join(f"{x} is null" for x in (k, big_m, big_n, n))
+    of = {"m": f"cast({big_m} as double)", "t": f"cast({big_n} as double)", "n": f"cast({n} as double)"}
+    share = f"({of['m']} / {of['t']})"
+    spread = f"sqrt({of['n']} * {share} * (1 - {share}) * ({of['t']} - {of['n']}) / greatest({of['t']} - 1, 1))"
+    terms = f"cast(ceil(9 * {spread}) as int) + 60"
+    up = f"({of['m']} - x) * ({of['n']} - x) / ((x + 1) * ({of['t']} - {of['m']} - {of['n']} + x + 1))"
+    down = f"x * ({of['t']} - {of['m']} - {of['n']} + x) / (({of['m']} - x + 1) * ({of['n']} - x + 1))"
+
+    def tail(first: str, last: str, at: str, ratio: str) -> str:
+        # The term behind the last possible one is zero, and so are all after it.
+        return f"""exp({ln_hypergeom(first, big_m, big_n, n)}) * aggregate(
+            sequence(0, least({last}, {terms})), named_struct('term', 1D, 'total', 0D),
+            (a, i) -> named_struct('term', a.term * {ratio.replace('x', f'({at})')}, 'total', a.total + a.term),
+            a -> a.total)"""
+
+    upper = tail(k, f"least({n}, {big_m}) - {k}", f"{k} + i", up)
+    lower = tail(f"{k} - 1", f"{k} - 1", f"{k} - 1 - i", down)
     return F.expr(
         f"""case when {missing} then null
             when {k} > least({n}, {big_m}) then 0D
             when {k} <= greatest(0, {n} + {big_m} - {big_n}) then 1D
-            else aggregate(
-            sequence({k}, least({n}, {big_m})),
-            named_struct('term', {first}, 'total', 0D),
-            (a, i) -> named_struct('term', a.term + {ratio}, 'total', a.total + exp(a.term)),
-            a -> least(a.total, 1D)) end"""
+            when {k} > {of['n']} * {share} then least({upper}, 1D)
+            else greatest(1 - {lower}, 0D) end"""
     )
 
 

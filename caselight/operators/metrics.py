@@ -113,7 +113,7 @@ def accuracy(
     return pred.agg(F.avg(right).alias("accuracy"))
 
 
-def _loss(label: str, score: str) -> Column:
+def loss_of(label: str, score: str) -> Column:
     """Cross-entropy of a row; NULL if its label or score is missing."""
     chance = F.greatest(F.lit(_SMALLEST), F.least(F.lit(1 - _SMALLEST), F.col(score)))
     given = F.when(F.col(label) == 1, chance).otherwise(1 - chance)
@@ -123,7 +123,7 @@ def _loss(label: str, score: str) -> Column:
 
 def log_loss(pred: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Mean cross-entropy over rows; probabilities are kept off 0 and 1."""
-    return pred.agg(F.avg(_loss(label, score)).alias("log_loss"))
+    return pred.agg(F.avg(loss_of(label, score)).alias("log_loss"))
 
 
 def evaluate(
@@ -131,7 +131,7 @@ def evaluate(
 ) -> DataFrame:
     """Loss and accuracy in one pass, each over the rows it can be told for."""
     right = (F.col(label) == F.col(prediction)).cast("double")
-    return pred.agg(F.avg(_loss(label, score)).alias("log_loss"), F.avg(right).alias("accuracy"))
+    return pred.agg(F.avg(loss_of(label, score)).alias("log_loss"), F.avg(right).alias("accuracy"))
 
 
 def prediction_share(pred: DataFrame, prediction: str = "prediction") -> DataFrame:

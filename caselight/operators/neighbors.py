@@ -1,17 +1,29 @@
-"""Exact k nearest neighbours within each class, without comparing all pairs.
-
-Points are assigned to the nearest of a bounded number of pivots of their
-class. A point first looks inside its own cell; the distance of the k-th point
-found there then rules out every cell that lies farther away, and only the
-others are visited. Cells and visitors are cut into chunks, so one task never
-holds more than a chunk of each, however dense a cell is. Equal points are
-merged beforehand and carry their number of copies.
+"""k nearest neighbours within each class, exact unless asked otherwise.
+
+Points are split by a metric tree: a cell with more points than a chunk gets
+pivots and each of its points goes to the nearest, again and again until every
+cell holds at most a chunk. The tree is a table; a row has a cell's pivot, the
+least and largest distance of its points from it, and the cell above. Pivots are
+joined to the points they concern, so nothing is held on the driver and there is
+no bound on cells.
+
+A point first looks inside its own cell; the distance of the k-th point found
+there then rules out whole branches from the root on, by their rings and by the
+planes between pivots. Cells that are left are visited the nearest first, in a few
+passes, and the k-th distance shrinks between them. Visits name points by id;
+vectors are fetched where two cells are compared. Cells and visitors are cut into
+chunks, so one task never holds more than a chunk of each, however dense a cell
+is. Equal points are merged beforehand and carry their number of copies.
+
+``method="lsh"`` compares only points that share a bucket of signs of random
+projections, in any of several tables, near buckets included. What it finds is
+measured exactly; it may miss neighbours. It is never chosen for the caller.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,9 +32,9 @@ from pyspark.sql import functions as F
 
 from caselight.storage import written
 
-_CHUNK = 8192  # points per side of one comparison task
-_MAX_PIVOTS = 512  # per class ...
-_ALL_PIVOTS = 4096  # ... and in all; they are held on the driver and in every task
+_CHUNK = 8192  # points per side of one comparison task, and in a cell
+_FAN = 16  # cells a cell is split into at a time
+_PASSES = (1, 4, 16, 64)  # cells visited by the end of each pass, then all that are left
 _BLOCK = 512  # visitors compared at a time inside a task
 
 
@@ -43,11 +55,6 @@ def point_id(vector: Column) -> Column:
     return F.md5(F.array_join(F.transform(vector, lambda x: x.cast("string")), ",").cast("binary"))
 
 
-def class_sizes(df: DataFrame, label: str) -> dict:
-    """Number of rows of each class; one number for each."""
-    return {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
-
-
 def distinct_points(df: DataFrame, features: Sequence[str], label: str, key: str) -> DataFrame:
     """(label, point, vec, copies, first_key) per distinct vector of a class."""
     return (
@@ -125,9 +132,6 @@ def _compare(
         F.ceil(F.col("size") / chunk).alias("host_chunks"),
         F.ceil(F.col("guests") / chunk).alias("guest_chunks"),
     )
-    # One row per cell, and cells are bounded by the number of pivots.
-    grid = F.broadcast(grid)
-
     def chunked(df: DataFrame, mine: str, theirs: str) -> DataFrame:
         return df.join(grid, place).select(
             *df.columns,
@@ -162,12 +166,135 @@ def _compare(
     )
 
 
+def _dealt(df: DataFrame, sizes: DataFrame, chunk: int) -> DataFrame:
+    """Cut the rows of each cell into parts of about a chunk."""
+    parts = F.ceil(F.col("size") / chunk)
+    return df.join(sizes, ["label", "cell"]).withColumn("part", F.pmod(F.xxhash64("point"), parts)).drop("size")
+
+
+def _to_all_parts(pivots: DataFrame, sizes: DataFrame, chunk: int) -> DataFrame:
+    """A cell's pivots, once for each of its parts; under names of their own."""
+    last = F.ceil(F.col("size") / chunk) - 1
+    dealt = pivots.join(sizes, ["label", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    return dealt.select(*[F.col(c).alias(f"pivot_{c}") for c in ("label", "cell", "part", *pivots.columns[2:])])
+
+
+def _tree(points: DataFrame, chunk: int, fan: int) -> tuple[DataFrame, DataFrame | None]:
+    """The points with the ``cell`` each ends up in; and the cells with ``parent``,
+    pivot ``at``, ``inner`` and ``outer`` distance and ``leaf``, or None if no
+    class is larger than a chunk."""
+    open_ = points.withColumn("cell", F.lit(""))
+    done, level, levels = None, None, []
+    place = ["label", "cell"]
+    types = {f.name: f.dataType.simpleString() for f in open_.schema}
+    schema = ", ".join(f"{c} {types[c]}" for c in open_.columns) + ", child int, away double"
+    while True:
+        sizes = written(open_.groupBy(*place).agg(F.count(F.lit(1)).alias("size")), "cell-sizes")
+        large = sizes.where(F.col("size") > chunk)
+        small = open_.join(sizes.where(F.col("size") <= chunk).select(*place), place, "left_semi").select(*open_.columns)
+        done = small if done is None else done.unionByName(small)
+        if level is not None:
+            leaf = sizes.select(*place, (F.col("size") <= chunk).alias("leaf"))
+            levels.append(written(level.join(leaf, place), "tree-level"))
+        if large.isEmpty():
+            return written(done, "cells"), reduce(DataFrame.unionByName, levels) if levels else None
+        split = open_.join(large.select(*place), place, "left_semi").select(*open_.columns)
+        # Ids are hashes, so the least are a random, repeatable choice.
+        rank = F.row_number().over(Window.partitionBy(*place).orderBy("point"))
+        pivots = split.select(*place, "point", "vec").withColumn("child", rank).where(F.col("child") <= fan)
+        pivots = written(pivots.select(*place, "child", F.col("vec").alias("at")), "pivots")
+
+        def assign(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+            mine = mine.drop(columns="part")
+            if not len(mine) or not len(theirs):
+                return mine.iloc[:0].assign(child=0, away=0.0)
+            pivots = _stack(theirs["pivot_at"])
+            apart = _distances(_stack(mine["vec"]), pivots)
+            # Pivots too near to one another to tell apart share what is nearest to
+            # them, so that a dense clump is split all the same.
+            same = apart <= apart.min(1)[:, None] + 1e-9 * (1 + np.abs(pivots).max())
+            draw = mine["point"].map(lambda x: int(x[:12], 16)).to_numpy() % same.sum(1)
+            chosen = ((np.cumsum(same, axis=1) == (draw + 1)[:, None]) & same).argmax(1)
+            return mine.assign(child=theirs["pivot_child"].to_numpy()[chosen], away=apart[np.arange(len(mine)), chosen])
+
+        key = [*place, "part"]
+        dealt = _dealt(split, large, chunk).select(*open_.columns, "part")
+        spread = _to_all_parts(pivots, large, chunk)
+        near = dealt.groupBy(*key).cogroup(spread.groupBy(*[f"pivot_{c}" for c in key])).applyInPandas(assign, schema)
+        near = written(near, "assigned")
+        below = F.concat_ws("/", "cell", "child")
+        level = (
+            near.groupBy(*place, "child")
+            .agg(F.min("away").alias("inner"), F.max("away").alias("outer"))
+            .join(pivots, [*place, "child"])
+            .select("label", below.alias("cell"), F.col("cell").alias("parent"), "at", "inner", "outer")
+        )
+        open_ = near.withColumn("cell", below).select(*open_.columns)
+
+
+def _visits(guests: DataFrame, points: DataFrame, tree: DataFrame, chunk: int) -> DataFrame:
+    """(label, cell, point, bound) of every cell that may hold one of a guest's k
+    nearest, beside its own. ``guests`` has (label, point, home, reach)."""
+    visits = None
+    at = guests.select("label", F.lit("").alias("cell"), "point", "home", "reach")
+    types = {f.name: f.dataType.simpleString() for f in guests.schema}
+    schema = f"label {types['label']}, cell string, point string, home string, reach double, bound double, leaf boolean"
+    children = tree.select("label", F.col("parent").alias("cell"), F.col("cell").alias("child"), "at", "inner", "outer", "leaf")
+    while True:
+        at = written(at.join(children.select("label", "cell").distinct(), ["label", "cell"], "left_semi"), "frontier")
+        if at.isEmpty():
+            return visits
+        sizes = at.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("size"))
+
+        def descend(mine: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+            names = ["label", "cell", "point", "home", "reach", "bound", "leaf"]
+            if not len(mine) or not len(cells):
+                return pd.DataFrame(columns=names)
+            pivots = _stack(cells["pivot_at"])
+            inner, outer = cells["pivot_inner"].to_numpy(), cells["pivot_outer"].to_numpy()
+            between = _distances(pivots, pivots)
+            reach = mine["reach"].to_numpy(dtype=float)
+            limit = np.where(np.isnan(reach), np.inf, reach) * (1 + 1e-9)
+            slack = 1e-6 * (1 + np.abs(pivots).max())  # distances are off by rounding
+            rows, columns, bounds = [], [], []
+            for first in range(0, len(mine), _BLOCK):
+                apart = _distances(_stack(mine["vec"].iloc[first : first + _BLOCK]), pivots)
+                bound = np.maximum(np.maximum(apart - outer, inner - apart), 0)
+                for i in range(len(pivots)):
+                    # Who belongs to j is no nearer to i.
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        plane = (apart**2 - apart[:, [i]] ** 2) / (2 * between[i])
+                    bound = np.fmax(bound, np.where(between[i] > 0, plane, 0))
+                bound = np.maximum(bound - slack, 0)
+                row, column = np.nonzero(bound <= limit[first : first + _BLOCK, None])
+                rows.append(row + first)
+                columns.append(column)
+                bounds.append(bound[row, column])
+            row, column = np.concatenate(rows), np.concatenate(columns)
+            out = mine[["label", "point", "home", "reach"]].iloc[row].reset_index(drop=True)
+            return out.assign(
+                cell=cells["pivot_child"].to_numpy()[column],
+                bound=np.concatenate(bounds),
+                leaf=cells["pivot_leaf"].to_numpy()[column],
+            )[names]
+
+        key = ["label", "cell", "part"]
+        with_vectors = at.join(points.select("label", "point", "vec"), ["label", "point"])
+        dealt = _dealt(with_vectors, sizes, chunk).select(*at.columns, "vec", "part")
+        spread = _to_all_parts(children, sizes, chunk)
+        found = dealt.groupBy(*key).cogroup(spread.groupBy(*[f"pivot_{c}" for c in key])).applyInPandas(descend, schema)
+        found = written(found, "descended")
+        leaves = found.where("leaf and cell <> home").select("label", "cell", "point", "bound")
+        visits = leaves if visits is None else visits.unionByName(leaves)
+        at = found.where("not leaf").select("label", "cell", "point", "home", "reach")
+
+
 def nearest_points(
     points: DataFrame,
     k: int,
     wanted: DataFrame | None = None,
     chunk: int = _CHUNK,
-    max_pivots: int = _MAX_PIVOTS,
+    fan: int = _FAN,
 ) -> DataFrame:
     """The k nearest neighbours of each distinct point, copies counted singly:
     ``(label, point, slot, neighbour, distance)`` with slots 0..k-1 in order of
@@ -175,98 +302,89 @@ def nearest_points(
     distance 0. ``wanted(label, point)`` limits whose neighbours are sought.
     ``points`` is read several times and should be a stored table.
     """
-    sizes = class_sizes(points, "label")
-
-    def pivots_for(n: int) -> int:
-        most = min(max_pivots, max(1, _ALL_PIVOTS // len(sizes)))
-        # Cells of about a chunk: should nothing be ruled out, a point is still
-        # sent no farther than a plain grid of chunks would send it.
-        return min(most, math.ceil(n / chunk))
-
-    # Ids are hashes, so the smallest are a random, repeatable choice. The rank
-    # limit is applied before the shuffle as well as after it.
-    most = max(map(pivots_for, sizes.values()), default=1)
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("point"))
-    chosen: dict = {}
-    picked = (
-        points.select("label", "point", "vec")
-        .withColumn("rank", rank)
-        .filter(F.col("rank") <= most)
-        .orderBy("label", "rank")
-        .collect()
-    )
-    for r in picked:
-        mine = chosen.setdefault(r["label"], [])
-        if len(mine) < pivots_for(sizes[r["label"]]):
-            mine.append(r["vec"])
-    pivots = {c: np.array(v, dtype=float) for c, v in chosen.items()}
-
-    @F.pandas_udf("struct<cell: int, reach: double>")
-    def assign(label: pd.Series, vec: pd.Series) -> pd.DataFrame:
-        cell, reach = np.zeros(len(label), dtype="int32"), np.zeros(len(label))
-        for c, at in label.groupby(label).indices.items():
-            apart = _distances(_stack(vec.iloc[at]), pivots[c])
-            cell[at] = apart.argmin(1)
-            reach[at] = apart.min(1)
-        return pd.DataFrame({"cell": cell, "reach": reach})
-
-    cells = written(
-        points.withColumn("_a", assign("label", "vec")).select("*", "_a.cell", "_a.reach").drop("_a"),
-        "cells",
-    )
-    cell_sizes = cells.groupBy("label", "cell").agg(
-        F.count(F.lit(1)).alias("size"),
-        F.max("reach").alias("outer"),
-        F.min("reach").alias("inner"),
-    )
+    cells, tree = _tree(points, chunk, fan)
     guests = cells if wanted is None else cells.join(
         wanted.select("label", "point").distinct(), ["label", "point"], "left_semi"
     )
-    place_only = cell_sizes.select("label", "cell", "size")
-    at_home = _compare(guests.select("label", "cell", "point", "vec"), cells, place_only, k, chunk)
-    if all(len(p) == 1 for p in pivots.values()):
-        found = at_home
-    else:
-        at_home = written(at_home, "own-cell")
-        rings = {(r["label"], r["cell"]): (r["inner"], r["outer"]) for r in cell_sizes.collect()}
-
-        @F.pandas_udf("array<int>")
-        def elsewhere(label: pd.Series, vec: pd.Series, cell: pd.Series, reach: pd.Series) -> pd.Series:
-            out: list = [[]] * len(label)
-            for c, at in label.groupby(label).indices.items():
-                mine = pivots[c]
-                # A pivot whose cell is empty has no ring and is never visited.
-                ring = np.array([rings.get((c, j), (np.inf, -np.inf)) for j in range(len(mine))])
-                home = cell.to_numpy()[at]
-                apart = _distances(_stack(vec.iloc[at]), mine)
-                own = apart[np.arange(len(home)), home]
-                between = _distances(mine, mine)[home]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = (apart**2 - own[:, None] ** 2) / (2 * between)
-                bound = np.fmax(plane, np.maximum(apart - ring[:, 1], ring[:, 0] - apart))
-                limit = reach.to_numpy(dtype=float)[at]
-                limit = np.where(np.isnan(limit), np.inf, limit)
-                scale = 1e-6 * (1 + np.abs(mine).max())
-                open_ = (bound <= limit[:, None] * (1 + 1e-9) + scale) & (ring[:, 1] >= 0)
-                open_[np.arange(len(home)), home] = False
-                for i, flags in zip(at, open_):
-                    out[i] = np.nonzero(flags)[0].tolist()
-            return pd.Series(out)
-
-        reach = _kth_distance(at_home, k)
-        visits = written(
-            guests.select("label", "cell", "point", "vec")
-            .join(reach, ["label", "point"], "left")
-            .select(
-                "label", "point", "vec",
-                F.explode(elsewhere("label", "vec", "cell", "reach")).alias("cell"),
-            ),
-            "visits",
-        )
-        found = at_home.unionByName(_compare(visits, cells, place_only, k, chunk))
+    sizes = cells.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("size"))
+    found = _compare(guests.select("label", "cell", "point", "vec"), cells, sizes, k, chunk)
+    if tree is None:
+        return _slots(guests.select("label", "point", "copies"), found, k)
+    sizes = written(sizes, "leaf-sizes")
+    found = written(found, "own-cell")
+    homes = guests.select("label", "point", F.col("cell").alias("home"))
+    homes = homes.join(_kth_distance(found, k), ["label", "point"], "left")
+    visits = written(_visits(homes, points, tree, chunk), "visits")
+    for most in (*_PASSES, None):
+        if visits.isEmpty():
+            break
+        order = Window.partitionBy("label", "point").orderBy("bound", "cell")
+        ranked = visits.withColumn("rank", F.row_number().over(order))
+        now = ranked if most is None else ranked.where(F.col("rank") <= most)
+        with_vectors = now.select("label", "cell", "point").join(points.select("label", "point", "vec"), ["label", "point"])
+        more = _compare(with_vectors, cells, sizes, k, chunk)
+        found = written(_k_least(found.unionByName(more), k), "found")
+        if most is None:
+            break
+        # What is farther than the k-th found by now is not visited any more.
+        reach = _kth_distance(found, k)
+        rest = ranked.where(F.col("rank") > most).drop("rank").join(reach, ["label", "point"], "left")
+        near = F.col("reach").isNull() | (F.col("bound") <= F.col("reach") * (1 + 1e-9))
+        visits = written(rest.where(near).drop("reach"), "visits")
     return _slots(guests.select("label", "point", "copies"), found, k)
 
 
+def nearest_points_lsh(
+    points: DataFrame,
+    k: int,
+    wanted: DataFrame | None = None,
+    chunk: int = _CHUNK,
+    tables: int = 8,
+    bits: int = 3,
+    probes: int = 3,
+    seed: int = 0,
+) -> DataFrame:
+    """As ``nearest_points``, of the points only that share a bucket with the one
+    asked for. A bucket is the signs of ``bits`` random projections; a point is
+    put into one bucket of each of ``tables`` tables and looks into that and the
+    ``probes`` ones behind the planes nearest to it. More tables and probes find
+    more, more bits compare less. Centre the features first: planes go through 0.
+    """
+    size = points.select(F.size("vec").alias("size")).first()
+    if size is None:
+        return nearest_points(points, k, wanted, chunk)
+    planes = np.random.default_rng(seed).normal(size=(tables * bits, size["size"]))
+
+    @F.pandas_udf("array<struct<cell: string, own: boolean>>")
+    def buckets(vec: pd.Series) -> pd.Series:
+        side = _stack(vec) @ planes.T
+        out = []
+        for row in side.reshape(len(side), tables, bits):
+            mine = []
+            for table, margins in enumerate(row):
+                code = sum(1 << i for i in range(bits) if margins[i] > 0)
+                mine.append({"cell": f"{table}:{code}", "own": True})
+                for i in np.argsort(np.abs(margins))[:probes]:
+                    mine.append({"cell": f"{table}:{code ^ (1 << int(i))}", "own": False})
+            out.append(mine)
+        return pd.Series(out)
+
+    dealt = written(points.select("*", F.explode(buckets("vec")).alias("b")).select("*", "b.cell", "b.own").drop("b"), "buckets")
+    cells = dealt.where("own").drop("own")
+    guests = dealt if wanted is None else dealt.join(
+        wanted.select("label", "point").distinct(), ["label", "point"], "left_semi"
+    )
+    sizes = cells.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("size"))
+    found = _compare(guests.select("label", "cell", "point", "vec"), cells, sizes, k, chunk).distinct()
+    return _slots(guests.where("own").select("label", "point", "copies").distinct(), found, k)
+
+
+def _k_least(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each point so far."""
+    order = Window.partitionBy("label", "point").orderBy("distance", "first_key")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+
+
 def _kth_distance(found: DataFrame, k: int) -> DataFrame:
     """The k-th smallest distance of each point; NULL while fewer are known."""
     order = Window.partitionBy("label", "point").orderBy("distance", "first_key")
@@ -306,14 +424,22 @@ def _slots(points: DataFrame, found: DataFrame, k: int) -> DataFrame:
 
 
 def knn_within_class(
-    df: DataFrame, features: Sequence[str], label: str, key: str, k: int = 5, **sizes: int
+    df: DataFrame,
+    features: Sequence[str],
+    label: str,
+    key: str,
+    k: int = 5,
+    method: str = "exact",
+    **sizes: int,
 ) -> DataFrame:
     """k nearest same-class neighbours of every distinct point, named by the
-    smallest key among equal points: ``(label, key, slot, neighbour, distance)``."""
+    smallest key among equal points: ``(label, key, slot, neighbour, distance)``.
+    ``method`` is ``exact`` or, if neighbours may be missed, ``lsh``."""
+    nearest = {"exact": nearest_points, "lsh": nearest_points_lsh}[method]
     points = written(distinct_points(df, features, label, key), "distinct-points")
     names = points.select("label", "point", "first_key")
     return (
-        nearest_points(points, k, **sizes)
+        nearest(points, k, **sizes)
         .join(names.withColumnRenamed("first_key", "key"), ["label", "point"])
         .join(
             names.select("label", F.col("point").alias("neighbour"), F.col("first_key").alias("neighbour_key")),

@@ -13,20 +13,21 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
 )
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from caselight.functions.hashing import seeded_hash
 from caselight.operators.boosting import VECTOR, assemble, score
 from caselight.operators.columns import feature_subset, union_tables
 from caselight.operators.folds import fold_split
-from caselight.operators.metrics import evaluate
+from caselight.operators.metrics import evaluate, loss_of
 
 # Two hidden layers, passes, seed, feature subsets. A pass over
 # minibatches becomes one step over all rows, so 20 steps are far fewer updates.
 HIDDEN = (23, 23)
 EPOCHS = 20
-PARTITIONS = 8
 SEED = 42
 SUBSETS = ((16, 17, 18, 19, 20), (13, 15, 17, 18, 19))
 
@@ -61,8 +62,9 @@ def _measures(
     return out
 
 
-def mixed(df: DataFrame, key: str, seed: int, partitions: int = PARTITIONS) -> DataFrame:
-    """Rows dealt out and ordered by a seeded hash of their key.
+def mixed(df: DataFrame, key: str, seed: int, partitions: int | None = None) -> DataFrame:
+    """Rows dealt out and ordered by a seeded hash of their key, over as many
+    partitions as the session shuffles into unless told otherwise.
 
     The solver averages over blocks of rows, a short last one weighing as much
     as a full one, so rows that lie sorted by class would pull the fit to the
@@ -70,6 +72,7 @@ def mixed(df: DataFrame, key: str, seed: int, partitions: int = PARTITIONS) -> D
     the input lies makes no difference.
     """
     place = seeded_hash(seed, f"`{key}`")
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.withColumn("_place", place).repartition(partitions, "_place").sortWithinPartitions("_place").drop("_place")
 
 
@@ -129,31 +132,92 @@ def sweep(
     parallelism: int = 4,
     fold: str = "fold",
     key: str | None = None,
+    hidden: Sequence[int] = HIDDEN,
+    initial_weights: Sequence[float] | None = None,
 ) -> DataFrame:
     """Train one network per fold and feature subset:
     ``(fold, subset, step, side, metric, value)``.
 
-    The trainings do not depend on each other and are submitted side by side;
-    only their measures come back.
+    The trainings do not depend on each other and are submitted side by side. The
+    measures of all of them, at all steps, come out of one aggregate over one
+    table that has the scores of all networks side by side.
     """
     rows = (mixed(df.select(key, fold, label, *features), key, seed) if key else df).persist()
 
-    def run(job: tuple[int, int]) -> list[tuple]:
+    def run(job: tuple[int, int]) -> list[tuple[int, int, int, MultilayerPerceptronClassificationModel]]:
         k, s = job
+        train, _ = fold_split(rows, k, fold)
         names = feature_subset(features, subsets[s])
-        train, valid = fold_split(rows, k, fold)
-        _, history = fit_mlp(
-            train, names, label, valid, max_iter=max_iter, seed=seed, history_every=history_every
-        )
-        return [(k, s, *r) for r in history.collect()]
+        return [
+            (k, s, step, model)
+            for step, model in _trained(train, names, label, hidden, max_iter, seed, history_every, initial_weights)
+        ]
 
     jobs = [(k, s) for k in range(folds) for s in range(len(subsets))]
     try:
         with ThreadPool(parallelism) as pool:
-            measured = [r for part in pool.map(run, jobs) for r in part]
+            models = [m for part in pool.map(run, jobs) for m in part]
+        return _compared(rows, models, features, subsets, label, fold)
     finally:
         rows.unpersist()
-    return df.sparkSession.createDataFrame(measured, f"fold int, subset int, {_HISTORY}")
+
+
+def _trained(
+    train: DataFrame,
+    names: Sequence[str],
+    label: str,
+    hidden: Sequence[int],
+    max_iter: int,
+    seed: int,
+    every: int,
+    initial_weights: Sequence[float] | None = None,
+) -> list[tuple[int, MultilayerPerceptronClassificationModel]]:
+    """The network after every so many steps, and after the last."""
+    known = assemble(train.select(label, *names), names).select(label, VECTOR).persist()
+    try:
+        network = _network(names, label, hidden, seed, "gd", 0.03)
+        if initial_weights is not None:
+            network = network.setInitialWeights(Vectors.dense(list(initial_weights)))
+        out, done = [], 0
+        while done < max_iter or not out:
+            stride = min(every or max_iter, max_iter - done)
+            model = network.setMaxIter(stride).fit(known)
+            done += stride
+            out.append((done, model))
+            network = network.setInitialWeights(model.weights)
+        return out
+    finally:
+        known.unpersist()
+
+
+def _compared(
+    rows: DataFrame,
+    models: Sequence[tuple[int, int, int, MultilayerPerceptronClassificationModel]],
+    features: Sequence[str],
+    subsets: Sequence[Sequence[int]],
+    label: str,
+    fold: str,
+) -> DataFrame:
+    """Loss and accuracy of every network on either side of its fold."""
+    table = rows
+    for s, subset in enumerate(subsets):
+        table = assemble(table, feature_subset(features, subset)).withColumnRenamed(VECTOR, f"_in{s}")
+    for i, (_, s, _, model) in enumerate(models):
+        scored = model.setFeaturesCol(f"_in{s}").setProbabilityCol("_p").setPredictionCol(f"_said{i}").setRawPredictionCol("")
+        table = scored.transform(table).withColumn(f"_score{i}", vector_to_array("_p")[1]).drop("_p")
+    sums = []
+    for i, (k, _, _, _) in enumerate(models):
+        right = (F.col(label) == F.col(f"_said{i}")).cast("double")
+        for side, here in (("train", F.col(fold) != k), ("valid", F.col(fold) == k)):
+            sums.append(F.avg(F.when(here, loss_of(label, f"_score{i}"))).alias(f"{i}:{side}:loss"))
+            sums.append(F.avg(F.when(here, right)).alias(f"{i}:{side}:accuracy"))
+    measured = table.agg(*sums).first().asDict()
+    out = []
+    for name, value in measured.items():
+        i, side, metric = name.split(":")
+        k, s, step, _ = models[int(i)]
+        out.append((k, s, step, side, metric, value))
+    return rows.sparkSession.createDataFrame(out, f"fold int, subset int, {_HISTORY}")
 
 
 def score_both_sides(

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselight.functions.special import ln_gamma, number
+from caselight.functions.special import digamma, ln_gamma, number, trigamma
 from caselight.operators.ordering import running
 from caselight.operators.signals import THETA_INIT, Theta
 from caselight.storage import written
@@ -104,50 +104,46 @@ def squash(
     return rest.unionByName(new)
 
 
-def neg_log_lik(squashed: DataFrame, thetas: Sequence[Theta]) -> DataFrame:
-    """Weighted negative log-likelihood, zero-truncated, for every theta.
+def _log_parts(theta: Theta, suffix: str = "") -> list[str]:
+    """Per row: the log weight of either part, and the chance of a count above
+    zero. expm1 keeps that exact where it is tiny."""
+    a1, b1, a2, b2, p = (number(v) for v in theta.astuple())
 
-    The thetas are parameters, a few dozen at most. They are laid beside each
-    row as a literal array and summed in the same pass, so one scan and one
-    small shuffle serve them all.
-    """
-    names = ("theta_id", *_THETA, "lg1", "lg2")
-    trial = ", ".join(
-        "named_struct("
-        + ", ".join(
-            f"'{name}', {value if name == 'theta_id' else number(value)}"
-            for name, value in zip(
-                names, (i, *t.astuple(), math.lgamma(t.alpha1), math.lgamma(t.alpha2))
-            )
-        )
-        + ")"
-        for i, t in enumerate(thetas)
-    )
-
-    def log_binomial(a: str, b: str, lga: str) -> str:
+    def log_part(a: str, b: str, log_share: float) -> str:
         return (
-            f"{ln_gamma(f'{a} + N')} - {lga} - lgn "
+            f"{number(log_share)} + {ln_gamma(f'{a} + N')} - {number(math.lgamma(float(a[:-1])))} - lgn "
             f"- {a} * log1p(E / {b}) + N * (ln(E) - ln({b} + E))"
         )
 
-    # expm1 keeps the chance of a non-zero count exact where it is tiny.
-    seen = (
-        "-(p * expm1(-alpha1 * log1p(E / beta1)) + (1 - p) * expm1(-alpha2 * log1p(E / beta2)))"
-    )
-    parts = (
-        squashed.selectExpr("N", "E", "double(weight) as w", f"{ln_gamma('N + 1')} as lgn")
-        .selectExpr("*", f"inline(array({trial}))")
-        .selectExpr(
-            "theta_id", *_THETA, "w",
-            f"ln(p) + {log_binomial('alpha1', 'beta1', 'lg1')} as part1",
-            f"ln(1 - p) + {log_binomial('alpha2', 'beta2', 'lg2')} as part2",
-            f"ln({seen}) as log_seen",
-        )
-    )
-    term = (
-        "w * (greatest(part1, part2) + log1p(exp(-abs(part1 - part2))) - log_seen)"
-    )
-    return parts.groupBy("theta_id", *_THETA).agg(F.expr(f"-sum({term})").alias("neg_log_lik"))
+    return [
+        f"{log_part(a1, b1, math.log(theta.p))} as part1{suffix}",
+        f"{log_part(a2, b2, math.log1p(-theta.p))} as part2{suffix}",
+        f"-({p} * expm1(-{a1} * log1p(E / {b1})) + (1 - {p}) * expm1(-{a2} * log1p(E / {b2}))) as seen{suffix}",
+    ]
+
+
+def _log_mixture(suffix: str = "") -> str:
+    one, two = f"part1{suffix}", f"part2{suffix}"
+    return f"(greatest({one}, {two}) + log1p(exp(-abs({one} - {two}))))"
+
+
+def _weighted(squashed: DataFrame) -> DataFrame:
+    return squashed.selectExpr("N", "E", "double(weight) as w", f"{ln_gamma('N + 1')} as lgn")
+
+
+def neg_log_lik(squashed: DataFrame, thetas: Sequence[Theta]) -> DataFrame:
+    """Weighted negative log-likelihood, zero-truncated, for every theta.
+
+    The thetas are parameters, a few dozen at most. Each has a sum of its own in
+    one aggregate without keys, so no row is copied and every task sends one row.
+    """
+    columns = [c for i, t in enumerate(thetas) for c in _log_parts(t, f"_{i}")]
+    parts = _weighted(squashed).selectExpr("w", *columns)
+    sums = [f"-sum(w * ({_log_mixture(f'_{i}')} - ln(seen_{i})))" for i in range(len(thetas))]
+    found = parts.selectExpr(f"array({', '.join(sums)}) as sums")
+    rows = [(i, *map(float, t.astuple())) for i, t in enumerate(thetas)]
+    trial = squashed.sparkSession.createDataFrame(rows, "theta_id int, " + ", ".join(f"{c} double" for c in _THETA))
+    return trial.withColumn("neg_log_lik", F.get(found.scalar(), F.col("theta_id")))
 
 
 def _to_free(theta: Theta) -> np.ndarray:
@@ -159,99 +155,165 @@ def _to_theta(x: np.ndarray) -> Theta:
     return Theta(*(math.exp(v) for v in x[:4]), 1 / (1 + math.exp(-x[4])))
 
 
-def _values(table: DataFrame, points: Sequence[np.ndarray]) -> np.ndarray:
-    rows = neg_log_lik(table, [_to_theta(x) for x in points]).collect()
-    found = {r["theta_id"]: r["neg_log_lik"] for r in rows}
-    values = [found.get(i) for i in range(len(points))]
-    return np.array([math.inf if v is None or math.isnan(v) else v for v in values])
+def slopes(squashed: DataFrame, theta: Theta) -> DataFrame:
+    """One row: the value of ``neg_log_lik`` at ``theta``, its slopes and its
+    curvatures, exact, in (ln alpha1, ln beta1, ln alpha2, ln beta2, logit p).
 
-
-def _stencil(x: np.ndarray, h: float) -> list[np.ndarray]:
-    """x, then both neighbours per axis, then both diagonal ones per axis pair."""
-    unit = np.eye(len(x)) * h
-    points = [x]
-    for i in range(len(x)):
-        points += [x + unit[i], x - unit[i]]
-    for i in range(len(x)):
-        for j in range(i):
-            points += [x + unit[i] + unit[j], x - unit[i] - unit[j]]
-    return points
+    All 21 numbers are sums of one aggregate. Columns: ``value``, ``slope_i``
+    and ``curve_i_j`` for i >= j.
+    """
+    p = number(theta.p)
+    staged = _weighted(squashed).selectExpr("w", "N", "E", *_log_parts(theta))
+    # Of either part, for its own two parameters: u, v slopes of the log weight,
+    # uu, uv, vv curvatures; z, zv, zvv those of the log chance of zero.
+    parts = []
+    for j, a, b in (("1", theta.alpha1, theta.beta1), ("2", theta.alpha2, theta.beta2)):
+        a, b = number(a), number(b)
+        share, log1p = f"(E / ({b} + E))", f"log1p(E / {b})"
+        parts += [
+            f"{a} * ({digamma(f'{a} + N')} - {digamma(a)} - {log1p}) as u{j}",
+            f"{a} * {a} * ({trigamma(f'{a} + N')} - {trigamma(a)}) as bent{j}",
+            f"{a} * {share} as zv{j}",
+            f"N * {b} / ({b} + E) as left{j}",
+            f"-{a} * {share} * {b} / ({b} + E) as zvv{j}",
+            f"-({a} + N) * {share} * {b} / ({b} + E) as vv{j}",
+            f"-{a} * {log1p} as z{j}",
+        ]
+    one = staged.selectExpr("w", "part1", "part2", "seen", *parts)
+    two = one.selectExpr(
+        "*",
+        "1 / (1 + exp(part2 - part1)) as r",
+        f"{p} * exp(z1) / seen as q1",
+        f"(1 - {p}) * exp(z2) / seen as q2",
+        "u1 + bent1 as uu1", "u2 + bent2 as uu2",
+        "zv1 - left1 as v1", "zv2 - left2 as v2",
+    )
+    first = ["u1", "v1", None, None, f"(1 - {p})"]
+    second = [None, None, "u2", "v2", f"(-{p})"]
+    zero_first = ["z1", "zv1", None, None, f"(1 - {p})"]
+    zero_second = [None, None, "z2", "zv2", f"(-{p})"]
+
+    def mixed(x: str, a: str | None, y: str, b: str | None) -> str:
+        return " + ".join(f"{weight} * {c}" for weight, c in ((x, a), (y, b)) if c) or "0D"
+
+    told = two.selectExpr(
+        "*",
+        *[f"{mixed('r', first[i], '(1 - r)', second[i])} as g{i}" for i in range(5)],
+        *[f"{mixed('q1', zero_first[i], 'q2', zero_second[i])} as k{i}" for i in range(5)],
+    )
+    own = {(0, 0): ("uu1", "z1"), (1, 0): ("zv1", "zv1"), (1, 1): ("vv1", "zvv1"),
+           (2, 2): ("uu2", "z2"), (3, 2): ("zv2", "zv2"), (3, 3): ("vv2", "zvv2")}
+
+    def curve(i: int, j: int) -> str:
+        terms = [f"k{i} * k{j}"]
+        apart = [f"({first[k] or '0D'} - {second[k] or '0D'})" for k in (i, j)]
+        terms.append(f"r * (1 - r) * {apart[0]} * {apart[1]}")
+        for weight, zero in (("q1", zero_first), ("q2", zero_second)):
+            if zero[i] and zero[j]:
+                terms.append(f"{weight} * {zero[i]} * {zero[j]}")
+        if (i, j) in own:
+            bent, zero_bent = own[i, j]
+            mine, of_zero = ("r", "q1") if i < 2 else ("(1 - r)", "q2")
+            terms.append(f"{mine} * {bent} + {of_zero} * {zero_bent}")
+        if i == j == 4:
+            terms.append(f"-{p} * (1 - {p}) * (1 + q1 + q2)")
+        return f"-sum(w * ({' + '.join(terms)})) as curve_{i}_{j}"
+
+    return told.selectExpr(
+        f"-sum(w * ({_log_mixture()} - ln(seen))) as value",
+        *[f"-sum(w * (g{i} + k{i})) as slope_{i}" for i in range(5)],
+        *[curve(i, j) for i in range(5) for j in range(i + 1)],
+    )
 
 
-def _derivatives(f: np.ndarray, size: int, h: float) -> tuple[np.ndarray, np.ndarray]:
-    here, up, down = f[0], f[1 : 2 * size + 1 : 2], f[2 : 2 * size + 2 : 2]
-    gradient = (up - down) / (2 * h)
-    hessian = np.diag((up - 2 * here + down) / h**2)
-    at = 2 * size + 1
+def _at(table: DataFrame, x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Value, slopes and curvatures; the value is infinite where they are not known."""
+    row = slopes(table, _to_theta(x)).first()
+    size = len(x)
+    gradient = np.array([row[f"slope_{i}"] for i in range(size)], dtype=float)
+    hessian = np.zeros((size, size))
     for i in range(size):
-        for j in range(i):
-            both = f[at] + f[at + 1]
-            cross = both - up[i] - up[j] - down[i] - down[j] + 2 * here
-            hessian[i, j] = hessian[j, i] = cross / (2 * h**2)
-            at += 2
-    return gradient, hessian
+        for j in range(i + 1):
+            hessian[i, j] = hessian[j, i] = math.nan if row[f"curve_{i}_{j}"] is None else row[f"curve_{i}_{j}"]
+    known = row["value"] is not None and np.isfinite(gradient).all() and np.isfinite(hessian).all()
+    return (row["value"] if known else math.inf), gradient, hessian
 
 
-def _steps(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray) -> list[np.ndarray]:
-    """Where downhill steps of growing damping lead, the undamped one first."""
+def _step(gradient: np.ndarray, hessian: np.ndarray, radius: float) -> np.ndarray:
+    """The lowest point of the quadratic within ``radius``, by its axes."""
     size, axes = np.linalg.eigh(hessian)
-    size = np.maximum(np.abs(size), 1e-8 * max(1.0, np.abs(size).max()))
-    out = []
-    for damping in (0.0, 1e-4, 1e-3, 1e-2, 0.1, 0.3, 1.0, 3.0, 10.0, 100.0):
-        step = -axes @ ((axes.T @ gradient) / (size + damping * np.abs(size).mean()))
-        length = np.linalg.norm(step)
-        out.append(x + step * min(1.0, 2.0 / length if length else 1.0))
-    return out
+    along = axes.T @ gradient
+    least = max(0.0, -size[0] + 1e-10 * max(1.0, abs(size[-1])))
+
+    def length(damping: float) -> float:
+        return float(np.linalg.norm(along / (size + damping)))
+
+    low, high = least, max(least * 2, 1e-10)
+    if size[0] > 0 and length(0.0) <= radius:
+        return -axes @ (along / size)
+    while length(high) > radius:
+        high *= 4
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if length(middle) > radius else (low, middle)
+    return -axes @ (along / (size + high))
 
 
 def fit_prior(
     squashed: DataFrame, theta_init: Theta = THETA_INIT, tolerance: float = 1e-6, most: int = 500
 ) -> DataFrame:
     """Minimise ``neg_log_lik`` from ``theta_init``; one row: theta, its value,
-    steps, the gradient's largest part for a unit of value, and ``converged``.
+    steps, the gradient's largest part for a unit of value, ``converged``, and the
+    standard error of each parameter (``se_...``; NULL where the likelihood is
+    flat in some direction).
 
     The fit goes on until that is below ``tolerance``, or until no step leads
     further down; in the latter case ``converged`` is false. A fit that is still
     on its way after ``most`` steps is an error, not a result.
 
-    One Spark job tries downhill steps of several dampings, and the points
-    around the undamped one that the next slopes and curvatures come from. Only
-    if a damped step is the best does a second job look around that one. Logs
-    and a logit keep the parameters in range.
+    Newton steps within a trust region. One Spark job a step gives value, slopes
+    and curvatures of the point tried, all exact; the region shrinks where they
+    foretold badly. Standard errors come from the inverse of the last curvatures.
+    Logs and a logit keep the parameters in range.
     """
     spark = squashed.sparkSession
     table = squashed.groupBy("N", "E").agg(F.sum("weight").alias("weight")).persist()
     try:
-        x, h, steps = _to_free(theta_init), 1e-3, 0
-        around = _values(table, _stencil(x, h))
-        value = around[0]
-        while True:
-            gradient, hessian = _derivatives(around, len(x), h)
-            known = bool(np.isfinite(gradient).all() and np.isfinite(hessian).all())
-            slope = float(np.abs(gradient).max() / (1 + abs(value))) if known else math.inf
-            if not known or slope <= tolerance:
+        x, radius, steps = _to_free(theta_init), 1.0, 0
+        value, gradient, hessian = _at(table, x)
+        slope = math.inf
+        while math.isfinite(value):
+            slope = float(np.abs(gradient).max() / (1 + abs(value)))
+            step = _step(gradient, hessian, radius)
+            told = float(-(gradient @ step) - step @ hessian @ step / 2)
+            # Past the tolerance steps go on while they still tell in the value.
+            if slope <= tolerance and (told <= 1e-13 * (1 + abs(value)) or slope <= 1e-4 * tolerance):
                 break
             if steps >= most:
                 raise ArithmeticError(f"the prior has not settled after {most} steps")
             steps += 1
-            newton, *damped = _steps(x, gradient, hessian)
-            stencil = _stencil(newton, h)
-            tried = _values(table, [*stencil, *damped])
-            ahead, others = tried[: len(stencil)], tried[len(stencil) :]
-            best = int(np.argmin(others))
-            if min(ahead[0], others[best]) >= value:
+            tried = _at(table, x + step)
+            kept = (value - tried[0]) / told if told > 0 else -1.0
+            length = float(np.linalg.norm(step))
+            if kept > 0.75 and length > 0.9 * radius:
+                radius = min(4.0, 2 * radius)
+            elif not kept > 0.25:
+                radius = length / 4
+            if kept > 1e-4:
+                x, (value, gradient, hessian) = x + step, tried
+            elif radius < 1e-9:
                 break
-            if ahead[0] <= others[best]:
-                x, around = newton, ahead
-            else:
-                x = damped[best]
-                around = _values(table, _stencil(x, h))
-            value = around[0]
-        row = (*_to_theta(x).astuple(), float(value), steps, slope, slope <= tolerance)
+        theta = _to_theta(x)
+        errors: list[float | None] = [None] * 5
+        if math.isfinite(value) and np.linalg.eigvalsh(hessian)[0] > 0:
+            scale = np.array([*theta.astuple()[:4], theta.p * (1 - theta.p)])
+            errors = [float(e) for e in scale * np.sqrt(np.diag(np.linalg.inv(hessian)))]
+        row = (*theta.astuple(), float(value), steps, slope, slope <= tolerance, *errors)
         return spark.createDataFrame(
             [row],
-            "alpha1 double, beta1 double, alpha2 double, beta2 double, p double, "
-            "neg_log_lik double, steps int, gradient double, converged boolean",
+            ", ".join(f"{c} double" for c in _THETA)
+            + ", neg_log_lik double, steps int, gradient double, converged boolean, "
+            + ", ".join(f"se_{c} double" for c in _THETA),
         )
     finally:
         table.unpersist()

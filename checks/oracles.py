@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from caselight.operators.neural import SUBSETS
 from caselight.operators.signals import THETA_INIT
 from caselight.sources.layouts import LAYOUTS
@@ -87,21 +89,36 @@ twice as (
   union all select 2, avg(E), 10 from cut2 where place < thinned group by place // 10)"""
 
 
-def _likelihood() -> str:
-    rows = ", ".join(
-        f"({i}, {', '.join(repr(v) for v in t.astuple())})" for i, t in enumerate(THETAS)
-    )
+def _likelihood(thetas=tuple(t.astuple() for t in THETAS), digits: int | None = 4) -> str:
+    rows = ", ".join(f"({i}, {', '.join(repr(v) for v in t)})" for i, t in enumerate(thetas))
 
     def nb(a: str, b: str) -> str:
         return f"""exp(lgamma({a} + N) - lgamma({a}) - lgamma(N + 1)
             + {a} * ln({b} / ({b} + E)) + N * ln(E / ({b} + E)))"""
 
-    return f"""select theta_id::int as theta_id,
-      round(-sum(weight * ln((p * {nb('a1', 'b1')} + (1 - p) * {nb('a2', 'b2')})
-        / (1 - p * pow(b1 / (b1 + E), a1) - (1 - p) * pow(b2 / (b2 + E), a2)))), 4) as neg_log_lik
+    value = f"""-sum(weight * ln((p * {nb('a1', 'b1')} + (1 - p) * {nb('a2', 'b2')})
+        / (1 - p * pow(b1 / (b1 + E), a1) - (1 - p) * pow(b2 / (b2 + E), a2))))"""
+    told = value if digits is None else f"round({value}, {digits})"
+    return f"""select theta_id::int as theta_id, {told} as neg_log_lik
     from twice, (values {rows}) as t(theta_id, a1, b1, a2, b2, p) group by theta_id"""
 
 
+def _slopes(step: float = 1e-4) -> str:
+    """By differences, in the logs of the four and the logit of the share."""
+    start = THETAS[0].astuple()
+    free = [*map(math.log, start[:4]), math.log(start[4] / (1 - start[4]))]
+    points = [free]
+    for i in range(5):
+        for sign in (1, -1):
+            points.append([x + sign * step * (i == j) for j, x in enumerate(free)])
+    thetas = [(*map(math.exp, x[:4]), 1 / (1 + math.exp(-x[4]))) for x in points]
+    at = "max(neg_log_lik) filter (where theta_id = {})"
+    slopes = ", ".join(
+        f"round(({at.format(2 * i + 1)} - {at.format(2 * i + 2)}) / {2 * step!r}, 1) as slope_{i}" for i in range(5)
+    )
+    return f"select round({at.format(0)}, 4) as value, {slopes} from ({_likelihood(thetas, None)})"
+
+
 _FOLD_ORDER = """with firsts as (select {label} as c, min({key}) as first from {table} group by 1),
 numbered as (
   select {columns}, (row_number() over (
@@ -123,6 +140,8 @@ _LISTED = """query as (
   select p_partkey as gene_id from part
   where p_type = (select min(p_type) from part) or p_brand = 'Brand#13')"""
 
+_LISTED_SIZES = "query as (select p_partkey as gene_id from part where p_size <= 40)"
+
 _WORD_PAIRS = r"""pairs as (
   select * from (
     select doc_id as id, concat(source, '/', lang) as var1, unnest(string_split_regex(text, '[ \n]+')) as var2
@@ -231,6 +250,36 @@ made as (
   select vec_id::varchar, label, {", ".join(EMBEDDED)}, false from vectors)"""
 
 
+_STUMPED = """parts as (
+  select p_partkey, case when p_size + 3 * length(p_type) + p_partkey % 13 > 52 then 1.0::double else -1.0::double end as y,
+    [p_size // 2, length(p_type), length(p_name), replace(p_brand, 'Brand#', '')::int % 25] as x
+  from part)"""
+
+
+def _best_cut(name: str, table: str, y: str, each: str = "1") -> str:
+    """The feature f and value v whose cut leaves least of the variance of y, with
+    count and sum below it and of all; one for each value of ``each``."""
+    return f"""cells_{name} as (
+  select part, f, v, count(*) as n, sum(y) as s
+  from (select {each} as part, unnest(x) as v, unnest([0, 1, 2, 3]) as f, {y} as y from {table}) group by all),
+cuts_{name} as (
+  select part, f, v, sum(n) over w as nl, sum(s) over w as sl,
+    sum(n) over (partition by part, f) as n, sum(s) over (partition by part, f) as s
+  from cells_{name} window w as (partition by part, f order by v)),
+{name} as (
+  select * from cuts_{name} where nl < n
+  qualify row_number() over (partition by part order by sl * sl / nl + (s - sl) * (s - sl) / (n - nl) desc) = 1)"""
+
+
+_LEAF = "case when x[{b}.f + 1] <= {b}.v then {b}.sl / {b}.nl else ({b}.s - {b}.sl) / ({b}.n - {b}.nl) end"
+
+
+def _given_score(subset) -> str:
+    """Chance of class 1 by the network of given weights, on a row's embedding."""
+    hidden = f"(1 / (1 + exp(-(0.5 + {' + '.join(f'embedding[{i + 1}]::double' for i in subset)}))))"
+    return f"(1 / (1 + exp(0.25 - (2 * {hidden} - 0.25))))"
+
+
 def _described(select: str) -> str:
     return " union all ".join(select.format(c=c) for c in _NUMBERS)
 
@@ -347,6 +396,8 @@ _SQL: dict[str, str] = {
         select N, round(E, 9) as E, weight::bigint as weight from twice""",
     "neg_log_lik": f"""with {_PART_PAIRS}, {_COUNTED}, {_SQUASH_ONE}, {_SQUASH_TWO}
         {_likelihood()}""",
+    "prior_slopes": f"""with {_PART_PAIRS}, {_COUNTED}, {_SQUASH_ONE}, {_SQUASH_TWO}
+        {_slopes()}""",
     "fit_prior": f"""with {_WORD_PAIRS}, {_COUNTED}, {_SQUASH_ONE}, {_SQUASH_TWO}
         select neg_log_lik as start, true as lower, true as settled, true as in_range
         from ({_likelihood()}) where theta_id = 0""",
@@ -372,6 +423,14 @@ _SQL: dict[str, str] = {
           case when k is null then null when k > least(n, big_m) then 0
                when k <= greatest(0, n + big_m - big_n) then 1
                else round({_TAIL}, 9) end as pvalue from urns""",
+    "hypergeom_large": f"""with urns as (
+          select p_partkey, 4000000 as big_n, 1000000 as big_m, 1000000 as n, 250000 + (p_size - 25) * 40 as k
+          from part),
+        tails as (select k, least(1, list_sum(list_transform(range(k, k + 6000), lambda i: exp(
+            {_log_choose('big_m', 'i')} + {_log_choose('(big_n - big_m)', '(n - i)')}
+            - {_log_choose('big_n', 'n')})))) as tail
+          from (select distinct k, big_n, big_m, n from urns))
+        select p_partkey, k::bigint as k, round(tail, 6) as pvalue from urns join tails using (k)""",
     "bh_adjust": f"with {_P_VALUES} select id, pvalue, round(p_adjust, 9) as p_adjust from adjusted",
     "q_value": f"""with {_P_VALUES},
         nulls as (select least(1, avg((pvalue >= 0.05)::int) / 0.95) as share from p)
@@ -392,6 +451,17 @@ _SQL: dict[str, str] = {
         select term_id as node_id, 'term' as kind, round(pvalue, 9) as size from shown
         union all select gene_id::varchar, 'gene', count(*)::double
         from (select unnest(genes) as gene_id from shown) group by 1""",
+    "top_terms_cut": f"""with {_enriched(_LISTED_SIZES)}
+        select term_id, k as count, round(p_adjust, 9) as p_adjust
+        from enriched order by pvalue, term_id limit 35""",
+    "term_gene_edges_cut": f"""with {_enriched(_LISTED_SIZES)}
+        select term_id, unnest(genes) as gene_id
+        from (select * from enriched order by pvalue, term_id limit 5)""",
+    "term_gene_nodes_cut": f"""with {_enriched(_LISTED_SIZES)},
+        shown as (select * from enriched order by pvalue, term_id limit 30)
+        select term_id as node_id, 'term' as kind, round(pvalue, 9) as size from shown
+        union all select gene_id::varchar, 'gene', count(*)::double
+        from (select unnest(genes) as gene_id from shown) group by 1""",
     # metrics
     "accuracy": f"with {_QUALITY} select round(avg((label = prediction)::int), 9) as accuracy from pred",
     "classification_report": f"""with {_QUALITY}, c as (
@@ -461,20 +531,40 @@ _SQL: dict[str, str] = {
           from embeddings),
         out as (select vec_id, 1 / (1 + exp(0.25 - (2 * h - 0.25))) as p from hidden)
         select vec_id, round(p, 9) as score, (p > 0.5)::int as prediction from out""",
-    "gbt_stump": """with parts as (
-          select p_partkey, case when p_retailprice > 1500 then 1.0 else -1.0 end as y,
-            [p_size // 2, length(p_type), length(p_name), replace(p_brand, 'Brand#', '')::int % 25] as x
-          from part),
-        cells as (select f, v, count(*) as n, sum(y) as s
-                  from (select unnest(x) as v, unnest([0, 1, 2, 3]) as f, y from parts) group by all),
-        cuts as (select f, v, sum(n) over w as nl, sum(s) over w as sl,
-                   sum(n) over (partition by f) as n, sum(s) over (partition by f) as s
-                 from cells window w as (partition by f order by v)),
-        best as (select * from cuts where nl < n
-                 order by sl * sl / nl + (s - sl) * (s - sl) / (n - nl) desc limit 1)
+    "gbt_stump": f"""with {_STUMPED}, {_best_cut("best", "parts", "y")}
         select p_partkey, round(1 / (1 + exp(-2 * m)), 9) as score, (m > 0)::int as prediction
-        from (select p_partkey, case when x[f + 1] <= v then sl / nl else (s - sl) / (n - nl) end as m
-              from parts, best)""",
+        from (select p_partkey, {_LEAF.format(b="best")} as m from parts, best)""",
+    "gbt_two_rounds": f"""with {_STUMPED}, {_best_cut("best", "parts", "y")},
+        after as (select *, {_LEAF.format(b="best")} as m from parts, best),
+        left_over as (select p_partkey, x, m, 4 * y / (1 + exp(2 * y * m)) as y2 from after),
+        {_best_cut("second", "left_over", "y2")}
+        select p_partkey, round(1 / (1 + exp(-2 * t)), 6) as score, (t > 0)::int as prediction
+        from (select p_partkey, m + 0.5 * {_LEAF.format(b="second")} as t from left_over, second)""",
+    "grid_search_stump": f"""with {_STUMPED}, {_FOLD_ORDER.removeprefix("with ").format(
+            label="y", key="p_partkey", table="parts", columns="p_partkey, x, y", k=5)},
+        trains as (select t.k as side, p_partkey, x, y from numbered, (values (0), (1), (2), (3), (4)) t(k) where fold <> t.k),
+        {_best_cut("best", "trains", "y", "side")},
+        told as (select n.fold, ({_LEAF.format(b="best")} > 0) = (y > 0) as hit from numbered n, best where best.part = n.fold),
+        mean as (select avg(share) as accuracy from (select avg(hit::int) as share from told group by fold))
+        select 1 as rounds, rate::double as rate, round(accuracy, 9) as accuracy, rate = 0.1 as best
+        from mean, (values (0.1), (0.5)) r(rate)""",
+    "feature_importance_stump": f"""with {_STUMPED}, {_best_cut("best", "parts", "y")}
+        select name as feature, (f = place)::int::double as importance
+        from best, (values ('half', 0), ('wide', 1), ('long', 2), ('brand', 3)) n(name, place)""",
+    "mlp_sweep_given": f"""with vectors as (
+          select vec_id, (label = 0)::int as label, embedding from embeddings),
+        {_FOLD_ORDER.removeprefix("with ").format(
+            label="label", key="vec_id", table="vectors", columns="vec_id, label, embedding", k=5)},
+        scored as ({" union all ".join(f"select fold, label, {s} as subset, {_given_score(subset)} as p from numbered"
+                                       for s, subset in enumerate(SUBSETS))}),
+        sided as (select t.k as fold, subset, case when fold = t.k then 'valid' else 'train' end as side, label, p
+                  from scored, (values (0), (1), (2), (3), (4)) t(k)),
+        told as (select fold, subset, side, avg(-ln(case when label = 1 then p else 1 - p end)) as loss,
+                   avg(((p > 0.5)::int = label)::int) as accuracy from sided group by all)
+        select fold, subset, 0 as step, side, metric, round(value, 9) as value
+        from (select fold, subset, side, unnest(['loss', 'accuracy']) as metric, unnest([loss, accuracy]) as value from told)""",
+    "mlp_untrained_given": f"""with said as (select ({_given_score(SUBSETS[0])} > 0.5)::int as prediction from embeddings)
+        select prediction, count(*) as count, round(count(*) / sum(count(*)) over (), 9) as share from said group by 1""",
     "feature_file_boosted": " union all ".join(
         f"""select '{name}' as feature, count({sql}) as count, round(avg({sql}), 4) as mean,
         round(var_samp({sql}), 4) as variance from embeddings"""

@@ -434,6 +434,13 @@ def _thinned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(scoring.thin_pairs(_word_pairs(spark, sf_dir)), "thinned")
 
 
+def prior_slopes(spark, sf_dir):
+    """Value and slopes of the likelihood at the starting prior."""
+    told = prior.slopes(_thinned(spark, sf_dir), signals.THETA_INIT)
+    told = _rounded(told, 4, "value")
+    return _rounded(told, 1, *[f"slope_{i}" for i in range(5)]).select("value", *[f"slope_{i}" for i in range(5)])
+
+
 def fit_prior(spark, sf_dir):
     """The start value, which SQL can say, and that the fit has settled lower, in range."""
     thinned = _thinned_words(spark, sf_dir)
@@ -512,6 +519,15 @@ def hypergeom_edges(spark, sf_dir):
     return urns.withColumn("pvalue", F.round(enrichment.hypergeom_sf("k", "big_m", "big_n", "n"), 9))
 
 
+def hypergeom_large(spark, sf_dir):
+    """Tails of a million marked ones and a million drawn, about the mean."""
+    urns = _table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "4000000L as big_n", "1000000L as big_m", "1000000L as n", "250000L + (p_size - 25) * 40 as k"
+    )
+    tail = enrichment.hypergeom_sf("k", "big_m", "big_n", "n")
+    return urns.select("p_partkey", "k", F.round(tail, 6).alias("pvalue"))
+
+
 def bh_adjust(spark, sf_dir):
     return _rounded(enrichment.bh_adjust(_p_values(spark, sf_dir), "pvalue"), 9, "p_adjust")
 
@@ -540,6 +556,27 @@ def term_gene_nodes(spark, sf_dir):
     return _rounded(nodes, 9, "size")
 
 
+def _enriched_sizes(spark, sf_dir):
+    """Terms of a list of all parts of the forty smallest sizes: more terms pass
+    than a chart shows."""
+    listed = _table(spark, sf_dir, "part").where("p_size <= 40").selectExpr("p_partkey as gene_id")
+    return written(enrichment.enrich(listed, _gene_sets(spark, sf_dir)), "enriched")
+
+
+def top_terms_cut(spark, sf_dir):
+    top = enrichment.top_terms(_enriched_sizes(spark, sf_dir), 35).select("term_id", "count", "p_adjust")
+    return _rounded(top, 9, "p_adjust")
+
+
+def term_gene_edges_cut(spark, sf_dir):
+    return enrichment.term_gene_edges(_enriched_sizes(spark, sf_dir), 5)[0]
+
+
+def term_gene_nodes_cut(spark, sf_dir):
+    nodes = enrichment.term_gene_edges(_enriched_sizes(spark, sf_dir), 30, "pvalue")[1]
+    return _rounded(nodes, 9, "size")
+
+
 # --- metrics -----------------------------------------------------------------------------
 
 
@@ -603,6 +640,17 @@ def knn_within_class(spark, sf_dir):
     return _rounded(near, 6, "distance")
 
 
+def knn_lsh_recall(spark, sf_dir):
+    """What share of the exact neighbours random projections find, by their rank."""
+    vectors = written(_vectors(spark, sf_dir), "vectors")
+    both = [
+        neighbors.knn_within_class(vectors, EMBEDDED, "label", "vec_id", 5, method=method) for method in ("exact", "lsh")
+    ]
+    found = both[1].select("key", "neighbour", F.lit(1).alias("found"))
+    joined = both[0].join(found, ["key", "neighbour"], "left")
+    return joined.groupBy("slot").agg(F.round(F.count("found") / F.count("*"), 4).alias("recall"))
+
+
 def smote_rows(spark, sf_dir):
     made = smote(_vectors(spark, sf_dir), EMBEDDED, "label", "vec_id")
     return _rounded(made, 6, *EMBEDDED)
@@ -777,18 +825,71 @@ def feature_file_neural(spark, sf_dir):
     return _rounded(folds.split_report(folded, 0, "Label"), 9, "share", "positive_rate")
 
 
-def gbt_stump(spark, sf_dir):
-    """One round of one split: feature and leaves can be said in SQL."""
-    parts = _table(spark, sf_dir, "part").selectExpr(
-        "p_partkey", "cast(p_retailprice > 1500 as int) as label", "p_size div 2 as half",
+STUMPED = ["half", "wide", "long", "brand"]
+
+
+def _stumped(spark, sf_dir):
+    return _table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "cast(p_size + 3 * length(p_type) + p_partkey % 13 > 52 as int) as label", "p_size div 2 as half",
         "length(p_type) as wide", "length(p_name) as long", "int(replace(p_brand, 'Brand#', '')) % 25 as brand",
     )
-    names = ["half", "wide", "long", "brand"]
-    model = boosting.fit_gbt(parts, names, "label", boosting.BoostParams(rounds=1, depth=1))
-    scored = boosting.score(model, parts, names).select("p_partkey", "score", "prediction")
+
+
+def gbt_stump(spark, sf_dir):
+    """One round of one split: feature and leaves can be said in SQL."""
+    parts = _stumped(spark, sf_dir)
+    model = boosting.fit_gbt(parts, STUMPED, "label", boosting.BoostParams(rounds=1, depth=1))
+    scored = boosting.score(model, parts, STUMPED).select("p_partkey", "score", "prediction")
     return _rounded(scored, 9, "score")
 
 
+def gbt_two_rounds(spark, sf_dir):
+    """Two rounds of one split: the second one learns what the first has left."""
+    parts = written(_stumped(spark, sf_dir), "parts")
+    model = boosting.fit_gbt(parts, STUMPED, "label", boosting.BoostParams(rounds=2, depth=1, rate=0.5))
+    scored = boosting.score(model, parts, STUMPED).select("p_partkey", "score", "prediction")
+    return _rounded(scored, 6, "score")
+
+
+def grid_search_stump(spark, sf_dir):
+    """Mean accuracy over folds, of one round of one split."""
+    parts = written(_stumped(spark, sf_dir), "parts")
+    base = boosting.BoostParams(rounds=1, depth=1)
+    found = boosting.grid_search(
+        parts, STUMPED, "label", "p_partkey", {"rate": [0.1, 0.5]}, base, k=5, oversample="none"
+    )[1]
+    return _rounded(found, 9, "accuracy").select("rounds", "rate", "accuracy", "best")
+
+
+def feature_importance_stump(spark, sf_dir):
+    """How often each feature splits, of one split."""
+    parts = written(_stumped(spark, sf_dir), "parts")
+    model = boosting.fit_gbt(parts, STUMPED, "label", boosting.BoostParams(rounds=1, depth=1))
+    return boosting.feature_importance(model, parts, STUMPED)
+
+
+def _given_weights() -> list[float]:
+    return [1.0] * len(FIVE) + [0.5] + [0.0, 2.0] + [0.25, -0.25]
+
+
+def mlp_sweep_given(spark, sf_dir):
+    """The sweep's measures of a network whose weights are given."""
+    folded = written(folds.stratified_folds(_vectors(spark, sf_dir), "label", 5, FOLD_SEED, "vec_id"), "folded")
+    found = neural.sweep(
+        folded, EMBEDDED, "label", 5, max_iter=0, key="vec_id", hidden=(1,), initial_weights=_given_weights()
+    )
+    return _rounded(found, 9, "value")
+
+
+def mlp_untrained_given(spark, sf_dir):
+    """What a network that has not learned predicts, from given weights."""
+    vectors = _vectors(spark, sf_dir)
+    model, _ = neural.fit_mlp(
+        vectors, FIVE, "label", hidden=(1,), max_iter=0, key="vec_id", initial_weights=_given_weights()
+    )
+    return _rounded(metrics.prediction_share(boosting.score(model, vectors, FIVE)), 9, "share")
+
+
 _QUERIES = (
     fixed_width_parse, fixed_width_errors, fixed_width_short_missing, fixed_width_short_truncate,
     fixed_width_latin1, load_extracts_report,
@@ -798,14 +899,16 @@ _QUERIES = (
     shape, value_counts, class_share, describe_features, fit_scaler, standardize,
     stratified_folds, stratified_folds_five, fold_split_train, fold_split_valid, split_report,
     disproportionality, disproportionality_parts, mixture_weight, ebgm, posterior_quantile,
-    signal_scores, squash_once, squash, neg_log_lik, fit_prior, fit_prior_improves,
+    signal_scores, squash_once, squash, neg_log_lik, prior_slopes, fit_prior, fit_prior_improves,
     map_ids, unmapped_ids, enrich, enrich_all_tested, hypergeom_sf, bh_adjust, q_value,
-    hypergeom_edges, set_readable, top_terms, term_gene_edges, term_gene_nodes,
+    hypergeom_edges, hypergeom_large, set_readable, top_terms, term_gene_edges, term_gene_nodes,
+    top_terms_cut, term_gene_edges_cut, term_gene_nodes_cut,
     accuracy, classification_report, prediction_share, log_loss, evaluate, measures_with_missing, roc_auc, pr_curve, auprc,
-    knn_within_class, smote_rows, smote_balance, smote_missing_is_refused,
+    knn_within_class, knn_lsh_recall, smote_rows, smote_balance, smote_missing_is_refused,
     gbt_scores, grid_search_gbt, grid_search_within_fold, feature_importance,
-    gbt_scores_sound, boosted_measures, gbt_stump, feature_file_boosted, feature_file_neural,
+    gbt_scores_sound, boosted_measures, gbt_stump, gbt_two_rounds, grid_search_stump, feature_importance_stump, feature_file_boosted, feature_file_neural,
     mlp_sweep, mlp_history, mlp_final, mlp_untrained, mlp_final_sound, mlp_forward,
+    mlp_sweep_given, mlp_untrained_given,
 )
 
 

@@ -132,3 +132,36 @@ def test_tail_outside_what_is_possible(spark):
     assert all(r["p"] == pytest.approx(r["want"]) for r in got)
     none = spark.createDataFrame([(None, 4, 10, 3)], "k int, big_m int, big_n int, n int")
     assert none.select(enrichment.hypergeom_sf("k", "big_m", "big_n", "n")).first()[0] is None
+
+
+def test_tail_is_exact_and_its_work_bounded(spark):
+    import random
+    import time
+    from fractions import Fraction
+    from math import comb
+
+    from caselight.operators.enrichment import hypergeom_sf
+
+    rnd, rows = random.Random(2), []
+    for _ in range(300):
+        big_n = rnd.randint(1, rnd.choice([5, 20, 300, 3000]))
+        big_m, n = rnd.randint(0, big_n), rnd.randint(0, big_n)
+        rows.append((rnd.randint(-1, min(big_m, n) + 1), big_m, big_n, n))
+    urns = spark.createDataFrame(rows, "k bigint, big_m bigint, big_n bigint, n bigint")
+    for r in urns.withColumn("p", hypergeom_sf("k", "big_m", "big_n", "n")).collect():
+        k, big_m, big_n, n, p = r
+        ways = sum(comb(big_m, i) * comb(big_n - big_m, n - i) for i in range(max(0, k), min(big_m, n) + 1) if n - i <= big_n - big_m)
+        want = float(Fraction(ways, comb(big_n, n)))
+        assert p == pytest.approx(want, rel=1e-10, abs=1e-300)
+
+    def took(scale):
+        table = spark.range(400).selectExpr(
+            f"{scale}L as big_m", f"1000L * {scale} as big_n", "1000000L as n", f"{scale} div 1000 + id % 3 as k"
+        )
+        table = table.selectExpr("big_m", "greatest(big_n, 4000000L) as big_n", "n", "greatest(k, 1L) as k")
+        began = time.time()
+        assert table.select(hypergeom_sf("k", "big_m", "big_n", "n").alias("p")).where("p between 0 and 1").count() == 400
+        return time.time() - began
+
+    took(10_000)
+    assert took(100_000_000) < 20 * took(10_000) + 5

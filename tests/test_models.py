@@ -63,6 +63,14 @@ def test_grid_search(spark, data, oversample):
     assert len(model.trees) == best["rounds"]
 
 
+def test_first_rounds_are_the_shorter_fit(spark, data):
+    grown = boosting.fit_gbt(data, NAMES, "label", FAST)
+    for rounds in (1, 2, 4):
+        alone = boosting.fit_gbt(data, NAMES, "label", BoostParams(rounds=rounds, rate=0.3, depth=2))
+        both = [boosting.score(m, data, NAMES).select("row_id", "score", "prediction") for m in (boosting.first_rounds(grown, rounds), alone)]
+        assert both[0].exceptAll(both[1]).count() == 0
+
+
 def test_grid_search_option(spark, data):
     with pytest.raises(ValueError):
         boosting.grid_search(data, NAMES, "label", "row_id", {}, FAST, oversample="later")

@@ -218,3 +218,78 @@ def test_jobs_leave_no_scratch(spark, tmp_path):
     assert got.columns[:3] == ["var1", "var2", "N"] and got.where("N > 0").count() == got.count() > 1000
     assert scoring.prior_of(pairs).first()["p"] > 0
     assert stored() == before
+
+
+@pytest.fixture(scope="module")
+def thinned(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for _ in range(3000):
+        e = float(rng.gamma(0.7, 1.0) + 0.01)
+        lam = rng.gamma(0.3, 10.0) if rng.random() < 0.3 else rng.gamma(2.0, 0.25)
+        n = int(rng.poisson(lam * e))
+        if n:
+            rows.append((n, e, 1 + len(rows) % 3))
+    return spark.createDataFrame(rows, "N bigint, E double, weight bigint").persist()
+
+
+def nll(thinned, points):
+    rows = prior.neg_log_lik(thinned, [prior._to_theta(x) for x in points]).collect()
+    return [r["neg_log_lik"] for r in sorted(rows, key=lambda r: r["theta_id"])]
+
+
+@pytest.mark.parametrize("theta", [THETA_INIT, signals.Theta(1.0, 1.0, 1.0, 2.0, 0.5), signals.Theta(30.0, 9.0, 0.01, 0.02, 0.99)])
+def test_slopes_and_curvatures_are_those_of_the_value(thinned, theta):
+    x, h = prior._to_free(theta), 1e-4
+    value, gradient, hessian = prior._at(thinned, x)
+    steps = [x + s * h * np.eye(5)[i] for i in range(5) for s in (1, -1)]
+    f = nll(thinned, [x, *steps])
+    assert value == pytest.approx(f[0], rel=1e-13)
+    by_step = [(f[1 + 2 * i] - f[2 + 2 * i]) / (2 * h) for i in range(5)]
+    assert gradient == pytest.approx(by_step, rel=1e-5, abs=1e-4)
+    slopes = [prior._at(thinned, p)[1] for p in steps]
+    bent = np.array([(slopes[2 * i] - slopes[2 * i + 1]) / (2 * h) for i in range(5)])
+    assert np.allclose(bent, hessian, rtol=1e-5, atol=1e-5 * np.abs(hessian).max())
+
+
+def test_fitted_prior_is_flat_where_sql_says_so(thinned, tmp_path):
+    """The reported theta goes into another engine's formula, and its slopes there
+    are next to nothing for a unit of value."""
+    import duckdb
+
+    fitted = prior.fit_prior(thinned).first()
+    assert fitted["converged"] and fitted["steps"] < 40
+    thinned.write.parquet(str(tmp_path / "thinned"))
+    engine = duckdb.connect()
+
+    def value(x):
+        a1, b1, a2, b2, p = (repr(float(v)) + "::double" for v in prior._to_theta(x).astuple())
+        nb = (
+            "exp(lgamma({a} + N) - lgamma({a}) - lgamma(N + 1) + {a} * ln({b} / ({b} + E)) + N * ln(E / ({b} + E)))"
+        )
+        sql = f"""select -sum(weight * ln(({p} * {nb.format(a=a1, b=b1)} + (1 - {p}) * {nb.format(a=a2, b=b2)})
+            / (1 - {p} * pow({b1} / ({b1} + E), {a1}) - (1 - {p}) * pow({b2} / ({b2} + E), {a2}))))
+            from read_parquet('{tmp_path}/thinned/*.parquet')"""
+        return engine.sql(sql).fetchall()[0][0]
+
+    x = prior._to_free(prior.theta_of(thinned.sparkSession.createDataFrame([fitted])))
+    here = value(x)
+    assert here == pytest.approx(fitted["neg_log_lik"], rel=1e-10)
+    for i in range(5):
+        up, down = (value(x + s * 1e-4 * np.eye(5)[i]) for s in (1, -1))
+        assert abs(up - down) / 2e-4 / (1 + here) < 1e-6
+        assert min(up, down) >= here - 1e-9 * here
+
+
+def test_standard_errors_are_those_of_the_curvature(thinned):
+    fitted = prior.fit_prior(thinned)
+    row, theta = fitted.first(), prior.theta_of(fitted)
+    hessian = prior._at(thinned, prior._to_free(theta))[2]
+    spread = np.sqrt(np.diag(np.linalg.inv(hessian)))
+    assert row["se_alpha1"] == pytest.approx(theta.alpha1 * spread[0], rel=1e-6)
+    assert row["se_p"] == pytest.approx(theta.p * (1 - theta.p) * spread[4], rel=1e-6)
+
+
+def test_likelihoods_are_sums_of_one_pass(thinned):
+    plan = prior.neg_log_lik(thinned, [THETA_INIT] * 12)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange SinglePartition") == 1

@@ -35,16 +35,62 @@ def brute(rows, k):
     return out
 
 
-@pytest.mark.parametrize("clumps", [False, True])
-@pytest.mark.parametrize("sizes", [{}, {"chunk": 40, "max_pivots": 9}])
+@pytest.mark.parametrize("clumps, sizes", [(False, {}), (True, {}), (False, {"chunk": 60, "fan": 5}), (True, {"chunk": 16, "fan": 4})])
 def test_neighbours_are_exact(spark, clumps, sizes):
-    df, rows = cloud(spark, {0: 300, 1: 90, 2: 3}, clumps=clumps)
+    df, rows = cloud(spark, {0: 200, 1: 60, 2: 3}, clumps=clumps)
     got = {}
     for r in knn_within_class(df, NAMES, "label", "id", 5, **sizes).orderBy("key", "slot").collect():
         got.setdefault(r["key"], []).append(r["neighbour"])
     assert got == brute(rows, 5)
 
 
+def test_cells_are_split_until_they_hold_a_chunk(spark):
+    df, _ = cloud(spark, {0: 200, 1: 60, 2: 3})
+    points = written(distinct_points(df, NAMES, "label", "id"), "points")
+    cells, tree = neighbors._tree(points, 16, 3)
+    assert cells.groupBy("label", "cell").count().agg(F.max("count")).first()[0] <= 16
+    assert cells.count() == 263
+    levels = {r["cell"].count("/") + 1 for r in tree.collect()}
+    assert len(levels) >= 3
+    small = written(points.where("label = 2"), "few")
+    assert neighbors._tree(small, 16, 3)[1] is None
+
+
+def test_a_clump_too_dense_to_tell_apart_is_split(spark):
+    rows = [(i, 0, 1.0 + i * 1e-13, 2.0, 3.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, label int, x double, y double, z double")
+    points = written(distinct_points(df, NAMES, "label", "id"), "points")
+    cells, tree = neighbors._tree(points, 16, 4)
+    assert cells.groupBy("cell").count().agg(F.max("count")).first()[0] <= 16
+    assert max(r["cell"].count("/") for r in tree.collect()) < 5
+
+
+def test_clumps_are_not_compared_with_one_another(spark):
+    df, rows = cloud(spark, {0: 200}, clumps=True)
+    points = written(distinct_points(df, NAMES, "label", "id"), "points")
+    cells, tree = neighbors._tree(points, 16, 4)
+    sizes = cells.groupBy("label", "cell").agg(F.count("*").alias("size"))
+    own = neighbors._compare(cells, cells, sizes, 5, 16)
+    homes = cells.select("label", "point", F.col("cell").alias("home"))
+    homes = homes.join(neighbors._kth_distance(own, 5), ["label", "point"], "left")
+    visits = neighbors._visits(homes, points, tree, 16)
+    assert visits.count() < cells.count() * sizes.count() / 2
+
+
+def test_projections_find_nearly_all(spark):
+    df, rows = cloud(spark, {0: 300, 1: 90})
+    want = {r["key"]: set() for r in df.select(F.col("id").alias("key")).collect()}
+    for key, near in brute(rows, 5).items():
+        want[key] = set(near)
+    got = {k: set() for k in want}
+    for r in knn_within_class(df, NAMES, "label", "id", 5, method="lsh").collect():
+        got[r["key"]].add(r["neighbour"])
+    found = sum(len(got[k] & want[k]) for k in want) / sum(map(len, want.values()))
+    assert found >= 0.9
+    with pytest.raises(KeyError):
+        knn_within_class(df, NAMES, "label", "id", 5, method="auto")
+
+
 def test_copies_are_each_others_neighbours(spark):
     rows = [(i, 0, 1.0, 2.0, 3.0) for i in range(40)]  # one hot group of copies
     rows += [(100, 0, 5.0, 5.0, 5.0), (101, 0, 5.0, 5.0, 5.0), (102, 0, 9.0, 9.0, 9.0)]
