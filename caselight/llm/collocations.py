@@ -142,7 +142,7 @@ def _suffixes(w: _Words, frequent: Filter) -> np.ndarray:
     n = len(w.ids)
     out = np.zeros((n, DEPTH), dtype=np.uint64)
     out[:, 0] = np.where(usable, w.ids, np.uint64(0))
-    for k in range(1, DEPTH):
+    for k in range(1, min(DEPTH, n)):
         goes_on = (out[: n - k, k - 1] != 0) & ~w.begins[k:] & usable[k:]
         out[: n - k, k] = np.where(goes_on, w.ids[k:], np.uint64(0))
     return out[out[:, 1] != 0]

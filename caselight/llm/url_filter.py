@@ -100,10 +100,9 @@ def address(url: Column, fold: bool = False) -> Column:
     return F.when(host != "", whole)
 
 
-def links_of(html: Column, tag: str, value: str) -> Column:
-    """What all such tags of a page name."""
-    named = F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, value, 1))
-    return F.transform(named, lambda to: F.replace(to, F.lit("&amp;"), F.lit("&")))
+def named_in(tags: Column, value: str) -> Column:
+    """What each of the tags names."""
+    return F.transform(tags, lambda x: F.replace(F.regexp_extract(x, value, 1), F.lit("&amp;"), F.lit("&")))
 
 
 def without_dots(path: Column) -> Column:
@@ -156,14 +155,14 @@ def judge(
     columns."""
     if not isinstance(rules, DataFrame):
         rules = rule_table(pages.sparkSession, rules)
-    at, page = F.col("url"), F.col("html")
-    given = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.regexp_replace(F.col(html), _DEAD, " ").alias("html"))
-    linked = given.select(
-        "key",
-        "url",
-        F.concat(links_of(page, _CANONICAL, _HREF), links_of(page, _REFRESH, _TO)).alias("named"),
-        F.get(links_of(page, _BASE, _HREF), F.lit(0)).alias("base"),
-    )
+    at = F.col("url")
+    # Written, so that a page is cleaned once and plans stay short.
+    shown = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.regexp_replace(F.col(html), _DEAD, " ").alias("html"))
+    canonical, refresh, base = (F.regexp_extract_all("html", F.lit(x), F.lit(0)) for x in (_CANONICAL, _REFRESH, _BASE))
+    tags = written(shown.select("key", "url", canonical.alias("canonical"), refresh.alias("refresh"), base.alias("base")), "page-tags")
+    named = F.concat(named_in(F.col("canonical"), _HREF), named_in(F.col("refresh"), _TO))
+    linked = tags.select("key", "url", named.alias("named"), F.get(named_in(F.col("base"), _HREF), F.lit(0)).alias("base"))
+    linked = written(linked, "page-links")
     based = F.coalesce(resolved(F.col("base"), at), at)
     known = F.coalesce(at, F.lit(""))
     parsed = written(
