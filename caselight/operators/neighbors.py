@@ -22,6 +22,7 @@ measured exactly; it may miss neighbours. It is never chosen for the caller.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 from functools import reduce
 
@@ -78,6 +79,11 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def _rounding(points: np.ndarray) -> float:
+    """By how much squares of ``_distances`` to these points may be off."""
+    return 1e-12 * points.shape[1] * (1 + float((points * points).sum(1).max()))
+
+
 def _nearest(visitors: pd.DataFrame, hosts: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k hosts nearest to each visitor, itself left out.
 
@@ -211,9 +217,11 @@ def _tree(points: DataFrame, chunk: int, fan: int) -> tuple[DataFrame, DataFrame
             pivots = _stack(theirs["pivot_at"])
             apart = _distances(_stack(mine["vec"]), pivots)
             # Pivots too near to one another to tell apart share what is nearest to
-            # them, so that a dense clump is split all the same.
-            same = apart <= apart.min(1)[:, None] + 1e-9 * (1 + np.abs(pivots).max())
-            draw = mine["point"].map(lambda x: int(x[:12], 16)).to_numpy() % same.sum(1)
+            # them, so that a dense clump is split all the same, each time anew.
+            square = apart * apart
+            same = square <= square.min(1)[:, None] + _rounding(pivots)
+            place = mine["cell"] + mine["point"]
+            draw = place.map(lambda x: zlib.crc32(x.encode())).to_numpy() % same.sum(1)
             chosen = ((np.cumsum(same, axis=1) == (draw + 1)[:, None]) & same).argmax(1)
             return mine.assign(child=theirs["pivot_child"].to_numpy()[chosen], away=apart[np.arange(len(mine)), chosen])
 
@@ -263,7 +271,7 @@ def _visits(guests: DataFrame, points: DataFrame, tree: DataFrame, chunk: int) -
                 for i in range(len(pivots)):
                     # Who belongs to j is no nearer to i.
                     with np.errstate(divide="ignore", invalid="ignore"):
-                        plane = (apart**2 - apart[:, [i]] ** 2) / (2 * between[i])
+                        plane = (apart**2 - apart[:, [i]] ** 2 - 2 * _rounding(pivots)) / (2 * between[i])
                     bound = np.fmax(bound, np.where(between[i] > 0, plane, 0))
                 bound = np.maximum(bound - slack, 0)
                 row, column = np.nonzero(bound <= limit[first : first + _BLOCK, None])
