@@ -226,6 +226,13 @@ def slopes(squashed: DataFrame, theta: Theta) -> DataFrame:
     )
 
 
+def _values(table: DataFrame, points: Sequence[np.ndarray]) -> np.ndarray:
+    rows = neg_log_lik(table, [_to_theta(x) for x in points]).collect()
+    found = {r["theta_id"]: r["neg_log_lik"] for r in rows}
+    values = [found.get(i) for i in range(len(points))]
+    return np.array([math.inf if v is None or math.isnan(v) else v for v in values])
+
+
 def _at(table: DataFrame, x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Value, slopes and curvatures; the value is infinite where they are not known."""
     row = slopes(table, _to_theta(x)).first()
@@ -239,24 +246,17 @@ def _at(table: DataFrame, x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]
     return (row["value"] if known else math.inf), gradient, hessian
 
 
-def _step(gradient: np.ndarray, hessian: np.ndarray, radius: float) -> np.ndarray:
-    """The lowest point of the quadratic within ``radius``, by its axes."""
+def _steps(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray) -> list[np.ndarray]:
+    """Where downhill steps of growing damping lead, the undamped one first. Axes
+    that bend down count as bent up, so a step leads away from a saddle."""
     size, axes = np.linalg.eigh(hessian)
-    along = axes.T @ gradient
-    least = max(0.0, -size[0] + 1e-10 * max(1.0, abs(size[-1])))
-
-    def length(damping: float) -> float:
-        return float(np.linalg.norm(along / (size + damping)))
-
-    low, high = least, max(least * 2, 1e-10)
-    if size[0] > 0 and length(0.0) <= radius:
-        return -axes @ (along / size)
-    while length(high) > radius:
-        high *= 4
-    for _ in range(80):
-        middle = (low + high) / 2
-        low, high = (middle, high) if length(middle) > radius else (low, middle)
-    return -axes @ (along / (size + high))
+    size = np.maximum(np.abs(size), 1e-8 * max(1.0, np.abs(size).max()))
+    out = []
+    for damping in (0.0, 1e-4, 1e-3, 1e-2, 0.1, 0.3, 1.0, 3.0, 10.0, 100.0):
+        step = -axes @ ((axes.T @ gradient) / (size + damping * np.abs(size).mean()))
+        length = np.linalg.norm(step)
+        out.append(x + step * min(1.0, 2.0 / length if length else 1.0))
+    return out
 
 
 def fit_prior(
@@ -271,38 +271,34 @@ def fit_prior(
     further down; in the latter case ``converged`` is false. A fit that is still
     on its way after ``most`` steps is an error, not a result.
 
-    Newton steps within a trust region. One Spark job a step gives value, slopes
-    and curvatures of the point tried, all exact; the region shrinks where they
-    foretold badly. Standard errors come from the inverse of the last curvatures.
-    Logs and a logit keep the parameters in range.
+    Newton steps of bounded length. One Spark job a step gives value, slopes and
+    curvatures, all exact; one more tries steps of several dampings side by side
+    and takes the lowest, as the likelihood has flat valleys and more than one low.
+    Standard errors come from the inverse of the last curvatures. Logs and a logit
+    keep the parameters in range.
     """
     spark = squashed.sparkSession
     table = squashed.groupBy("N", "E").agg(F.sum("weight").alias("weight")).persist()
     try:
-        x, radius, steps = _to_free(theta_init), 1.0, 0
+        x, steps = _to_free(theta_init), 0
         value, gradient, hessian = _at(table, x)
         slope = math.inf
         while math.isfinite(value):
             slope = float(np.abs(gradient).max() / (1 + abs(value)))
-            step = _step(gradient, hessian, radius)
-            told = float(-(gradient @ step) - step @ hessian @ step / 2)
-            # Past the tolerance steps go on while they still tell in the value.
-            if slope <= tolerance and (told <= 1e-13 * (1 + abs(value)) or slope <= 1e-4 * tolerance):
+            if slope <= tolerance:
                 break
             if steps >= most:
                 raise ArithmeticError(f"the prior has not settled after {most} steps")
             steps += 1
-            tried = _at(table, x + step)
-            kept = (value - tried[0]) / told if told > 0 else -1.0
-            length = float(np.linalg.norm(step))
-            if kept > 0.75 and length > 0.9 * radius:
-                radius = min(4.0, 2 * radius)
-            elif not kept > 0.25:
-                radius = length / 4
-            if kept > 1e-4:
-                x, (value, gradient, hessian) = x + step, tried
-            elif radius < 1e-9:
+            points = _steps(x, gradient, hessian)
+            values = _values(table, points)
+            best = int(np.argmin(values))
+            if values[best] >= value:
+                break
+            tried = _at(table, points[best])
+            if not tried[0] < value:
                 break
+            x, (value, gradient, hessian) = points[best], tried
         theta = _to_theta(x)
         errors: list[float | None] = [None] * 5
         if math.isfinite(value) and np.linalg.eigvalsh(hessian)[0] > 0:
