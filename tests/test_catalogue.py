@@ -9,8 +9,9 @@ from checks.oracles import oracle_sql
 from checks.queries import queries
 
 SF_DIR = "/root/testdata/sf0.001"
-# Too few pairs at this size to be thinned; see test_signals.
-TOO_SMALL = {"squash_once", "squash", "neg_log_lik"}
+# Too few pairs at this size to be thinned (see test_signals), and sets of too few genes to be tested.
+TOO_SMALL = {"squash_once", "squash", "neg_log_lik", "prior_slopes"}
+TOO_SMALL |= {"top_terms_cut", "term_gene_edges_cut", "term_gene_nodes_cut"}
 QUERIES, SQL = queries(), oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no driver tables")
