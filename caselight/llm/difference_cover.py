@@ -106,6 +106,11 @@ class _Sort:
     names: tuple[int, ...] = ()
     sums = 0
 
+    def dealt(self, keys: np.ndarray) -> np.ndarray:
+        """What decides the part of a key: the shortest prefix that is named, as
+        equal ones must meet to get one name."""
+        return keys[:, : min(self.names)] if self.names else keys
+
     def keys(self, b: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places, a row of numbers for each, and the weights to be added up."""
         raise NotImplementedError
@@ -191,12 +196,13 @@ def _mixed(keys: np.ndarray) -> np.ndarray:
     return mixed
 
 
-def _distinct(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _distinct(keys: np.ndarray, dealt: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order of the rows by part in which equal keys are neighbours, the place
-    of the first of each distinct key in it, and the parts of those."""
+    of the first of each distinct key in it, and the parts of those. ``dealt`` are
+    the columns that decide the part."""
     mixed = _mixed(keys)
-    part = (mixed % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(mixed if parts == 1 else mixed // np.uint64(parts) + part.astype(np.uint64) * np.uint64((1 << 64) // parts))
+    part = (_mixed(dealt) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(mixed) if parts == 1 else np.lexsort((mixed, part))
     same = mixed[order[1:]] == mixed[order[:-1]]
     new = np.ones(len(keys), dtype=bool)
     new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
@@ -217,7 +223,7 @@ def _sorted(blocks: DataFrame, sort: _Sort, parts: int) -> DataFrame:
                 places, keys, weights = sort.keys(_Block(row))
                 if not len(places):
                     continue
-                order, first, owner = _distinct(keys, parts)
+                order, first, owner = _distinct(keys, sort.dealt(keys), parts)
                 rows = keys[order[first]]
                 sums = np.add.reduceat(weights[order], first, axis=0) if sort.sums else weights[: len(first)]
                 edges = np.flatnonzero(np.diff(owner, prepend=-1, append=parts))
@@ -267,7 +273,7 @@ def _sorted(blocks: DataFrame, sort: _Sort, parts: int) -> DataFrame:
         (row,) = left.to_pylist()
         b = _Block(row)
         places, keys, weights = sort.keys(b)
-        order, first, owner = _distinct(keys, parts)
+        order, first, owner = _distinct(keys, sort.dealt(keys), parts)
         width = len(sort.names) + sort.sums
         counts = np.bincount(owner, minlength=parts)
         answers = sorted(zip(right.column("part").to_pylist(), right.column("told").to_pylist()))

@@ -119,6 +119,25 @@ def test_sorted_suffixes(spark, parts, monkeypatch):
         assert got.get(name, set()) == {k for k in range(len(x) - LENGTH + 1) if seen[x[k : k + LENGTH]] > 1}
 
 
+@pytest.mark.parametrize("shift", [0, 8, 16, 3])
+def test_equal_strings_with_different_ends_meet_in_any_part(spark, shift, monkeypatch):
+    """Strings of just 200 bytes at other places of their texts, which go on
+    differently: what stands behind them must not decide who compares them."""
+    from caselight.llm import difference_cover
+
+    monkeypatch.setattr(difference_cover, "BLOCK", 2000)
+    monkeypatch.setattr(difference_cover, "PART", 500)
+    rng = random.Random(7)
+    shared = [prose(rng, 80)[:LENGTH] for _ in range(20)]
+    texts = [f"{k:08d}{x}A{prose(rng, 9)}" for k, x in enumerate(shared)]
+    texts += [f"{k:04d}{'z' * (4 + shift)}{x}B{prose(rng, 9)}" for k, x in enumerate(shared)]
+    rows = [(k.to_bytes(16, "big"), x.encode(), 1) for k, x in enumerate(texts)]
+    table = spark.createDataFrame(rows, "piece binary, bytes binary, n long")
+    found = repeated_starts(table, sum(len(x) for x in texts)).collect()
+    got = {int.from_bytes(r["piece"], "big"): [tuple(s) for s in r["runs"]] for r in found}
+    assert got == {k: [(8, 8)] if k < 20 else [(8 + shift, 8 + shift)] for k in range(40)}
+
+
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 101, 5000, dtype=np.uint8)
