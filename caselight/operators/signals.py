@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselight.functions.special import digamma, gamma_cdf, gamma_log_density, ln_gamma, number
-from caselight.storage import written
+from caselight.storage import dealt_to, written
 
 
 @dataclass(frozen=True)
@@ -30,6 +30,7 @@ class Theta:
 
 
 _PAIR, _VAR1, _VAR2, _ALL = range(4)  # what a count in the pair-count table is of
+_ROWS = 250_000  # rows a task counts
 
 # The starting prior, which is also the one the scores use.
 THETA_INIT = Theta(alpha1=0.2, beta1=0.1, alpha2=2.0, beta2=4.0, p=1 / 3)
@@ -40,22 +41,24 @@ def disproportionality(
 ) -> DataFrame:
     """N, E, RR and PRR of every observed (var1, var2) pair, counting distinct ids.
 
-    Rows with a NULL id or variable belong to no pair. (id, var1, var2) triples
-    are made distinct first; that one shuffle of the rows, with map-side
-    combining, feeds all counts. Pairs are counted from it directly. For the
-    margins each triple gives three keys - var1, var2 and none - whose ids are
-    made distinct again. The id is part of every shuffle key until only counts
-    are left, so a variable found in most reports does not fill one task. The
-    counts are written once; pairs and margins are then read from there.
+    Rows with a NULL id or variable belong to no pair. One shuffle brings the
+    rows of an id together, in as many parts as the rows need, so that what a
+    task holds does not grow with the table; all that follows within an id needs
+    no other. (id, var1, var2) triples are made distinct, and pairs counted from
+    them. For the margins each triple gives three keys - var1, var2 and none -
+    whose ids are made distinct again. Rows are dealt by id alone, so a variable
+    found in most reports does not fill one task; only counts meet by variable.
+    The counts are written once and joined from there, in parts of that number
+    too; the joined table is stored, as callers read it several times.
 
     PRR is infinite when only var1's reports have var2, and NULL when every
     report has var1.
     """
-    triples = (
-        df.select(F.col(id).alias("id"), F.col(var1).alias("var1"), F.col(var2).alias("var2"))
-        .filter("id is not null and var1 is not null and var2 is not null")
-        .distinct()
-    )
+    rows = df.select(
+        F.col(id).alias("id"), F.col(var1).alias("var1"), F.col(var2).alias("var2")
+    ).filter("id is not null and var1 is not null and var2 is not null")
+    parts = rows.count() // _ROWS + 1
+    triples = rows.repartition(parts, "id").distinct()
     none1, none2 = (F.lit(None).cast(triples.schema[c].dataType) for c in ("var1", "var2"))
 
     def key(kind: int, first: Column, second: Column) -> Column:
@@ -69,16 +72,18 @@ def disproportionality(
     margins = (
         triples.select("id", F.inline(keys)).distinct().groupBy("kind", "var1", "var2").agg(ids)
     )
-    counts = written(pairs.unionByName(margins), "pair-counts", "kind")
-    of_kind = {kind: counts.filter(F.col("kind") == kind) for kind in (_PAIR, _VAR1, _VAR2, _ALL)}
-    total = of_kind[_ALL].select(F.col("ids").cast("double")).scalar()
-    counted = (
-        of_kind[_PAIR]
-        .select("var1", "var2", F.col("ids").alias("N"))
-        .join(of_kind[_VAR1].select("var1", F.col("ids").cast("double").alias("ids1")), "var1")
-        .join(of_kind[_VAR2].select("var2", F.col("ids").cast("double").alias("ids2")), "var2")
-        .select("*", total.alias("ids"))
-    )
+    with dealt_to(df.sparkSession, parts):
+        counts = written(pairs.unionByName(margins), "pair-counts", "kind")
+        of_kind = {kind: counts.filter(F.col("kind") == kind) for kind in (_PAIR, _VAR1, _VAR2, _ALL)}
+        total = of_kind[_ALL].select(F.col("ids").cast("double")).scalar()
+        counted = (
+            of_kind[_PAIR]
+            .select("var1", "var2", F.col("ids").alias("N"))
+            .join(of_kind[_VAR1].select("var1", F.col("ids").cast("double").alias("ids1")), "var1")
+            .join(of_kind[_VAR2].select("var2", F.col("ids").cast("double").alias("ids2")), "var2")
+            .select("*", total.alias("ids"))
+        )
+        counted = written(counted, "counted-pairs")
     return counted.withColumn("E", F.expr("ids1 * ids2 / ids")).selectExpr(
         "var1",
         "var2",

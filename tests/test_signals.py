@@ -293,3 +293,28 @@ def test_standard_errors_are_those_of_the_curvature(thinned):
 def test_likelihoods_are_sums_of_one_pass(thinned):
     plan = prior.neg_log_lik(thinned, [THETA_INIT] * 12)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and plan.count("Exchange SinglePartition") == 1
+
+
+def test_counting_takes_more_parts_for_more_rows(spark, monkeypatch):
+    """What a task counts must not grow with the table, and counts are the same."""
+    rows = [(k % 90, f"a{k % 7}", f"b{k * k % 11}") for k in range(600)] + [(None, "a1", "b1"), (1, None, "b1")]
+    pairs = spark.createDataFrame(rows, "id int, var1 string, var2 string")
+    known = {r for r in rows if None not in r}
+    want = {}
+    for first, second in {r[1:] for r in known}:
+        ids1, ids2 = ({r[0] for r in known if r[k] == v} for k, v in ((1, first), (2, second)))
+        together = len([r for r in known if r[1:] == (first, second)])
+        want[first, second] = (together, len(ids1) * len(ids2) / 90)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    used, write = [], signals.written
+
+    def spy(df, *names):
+        used.append(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return write(df, *names)
+
+    monkeypatch.setattr(signals, "_ROWS", 40)
+    monkeypatch.setattr(signals, "written", spy)
+    got = {(r["var1"], r["var2"]): (r["N"], r["E"]) for r in signals.disproportionality(pairs).collect()}
+    assert got == want
+    assert used and min(used) == 16
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
