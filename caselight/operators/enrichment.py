@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from caselight.functions.special import ln_hypergeom
 from caselight.operators.ordering import running
@@ -25,6 +28,44 @@ def unmapped_ids(df: DataFrame, id_map: DataFrame, source: str) -> DataFrame:
     return df.join(known, source, "left_anti")
 
 
+def _tail_terms(k: np.ndarray, big_m: np.ndarray, big_n: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The tail that leads away from the mean, in units of its largest term; all
+    rows go on side by side, each until a term no longer counts."""
+    share = big_m / big_n
+    spread = np.sqrt(n * share * (1 - share) * (big_n - n) / np.maximum(big_n - 1, 1))
+    up = k > n * share
+    x = np.where(up, k, k - 1)
+    last = np.minimum(np.where(up, np.minimum(n, big_m) - k, k - 1), np.ceil(9 * spread) + 60)
+    rest = big_n - big_m - n
+    out = np.zeros(len(k))
+    rows, term, total, i = np.arange(len(k)), np.ones(len(k)), np.zeros(len(k)), 0
+    while len(rows):
+        total = total + np.where(i <= last, term, 0)
+        more = np.where(up, (big_m - x) * (n - x), x * (rest + x))
+        term = term * more / np.where(up, (x + 1) * (rest + x + 1), (big_m - x + 1) * (n - x + 1))
+        x = np.where(up, x + 1, x - 1)
+        i += 1
+        if i % 32 == 0 or i > last.max():
+            # Terms fall, so those behind one that is lost in rounding are too.
+            left = (i <= last) & (term > total * 1e-17)
+            out[rows[~left]] = total[~left]
+            rows, term, total, x, last, up, rest, big_m, n = (
+                v[left] for v in (rows, term, total, x, last, up, rest, big_m, n)
+            )
+    return out
+
+
+@F.pandas_udf(DoubleType())
+def _tail(k: pd.Series, big_m: pd.Series, big_n: pd.Series, n: pd.Series) -> pd.Series:
+    rows = np.column_stack([v.to_numpy(float) for v in (k, big_m, big_n, n)])
+    k, big_m, big_n, n = rows.T
+    asked = (k <= np.minimum(n, big_m)) & (k > np.maximum(0, n + big_m - big_n))
+    distinct, back = np.unique(rows[asked], axis=0, return_inverse=True)
+    out = np.full(len(rows), np.nan)
+    out[asked] = _tail_terms(*distinct.T.copy())[back.ravel()]
+    return pd.Series(out)
+
+
 def hypergeom_sf(k: str, big_m: str, big_n: str, n: str) -> Column:
     """P(X >= k) where X marked items are among n drawn from big_n that hold
     big_m marked ones. Above the largest possible number it is 0, at the smallest
@@ -33,31 +74,22 @@ def hypergeom_sf(k: str, big_m: str, big_n: str, n: str) -> Column:
     The tail that leads away from the mean is summed, from its largest term on,
     each term from the one before. X is a sum of independent trials, so past nine
     standard deviations and sixty terms less than 1e-17 of it is left; a row costs
-    that many terms, however large the numbers are.
+    that many terms, however large the numbers are. As they may be thousands, they
+    are summed for all rows of an Arrow batch at a time.
     """
     missing = " or ".join(f"{x} is null" for x in (k, big_m, big_n, n))
-    of = {"m": f"cast({big_m} as double)", "t": f"cast({big_n} as double)", "n": f"cast({n} as double)"}
-    share = f"({of['m']} / {of['t']})"
-    spread = f"sqrt({of['n']} * {share} * (1 - {share}) * ({of['t']} - {of['n']}) / greatest({of['t']} - 1, 1))"
-    terms = f"cast(ceil(9 * {spread}) as int) + 60"
-    up = f"({of['m']} - x) * ({of['n']} - x) / ((x + 1) * ({of['t']} - {of['m']} - {of['n']} + x + 1))"
-    down = f"x * ({of['t']} - {of['m']} - {of['n']} + x) / (({of['m']} - x + 1) * ({of['n']} - x + 1))"
-
-    def tail(first: str, last: str, at: str, ratio: str) -> str:
-        # The term behind the last possible one is zero, and so are all after it.
-        return f"""exp({ln_hypergeom(first, big_m, big_n, n)}) * aggregate(
-            sequence(0, least({last}, {terms})), named_struct('term', 1D, 'total', 0D),
-            (a, i) -> named_struct('term', a.term * {ratio.replace('x', f'({at})')}, 'total', a.total + a.term),
-            a -> a.total)"""
-
-    upper = tail(k, f"least({n}, {big_m}) - {k}", f"{k} + i", up)
-    lower = tail(f"{k} - 1", f"{k} - 1", f"{k} - 1 - i", down)
-    return F.expr(
-        f"""case when {missing} then null
-            when {k} > least({n}, {big_m}) then 0D
-            when {k} <= greatest(0, {n} + {big_m} - {big_n}) then 1D
-            when {k} > {of['n']} * {share} then least({upper}, 1D)
-            else greatest(1 - {lower}, 0D) end"""
+    terms = _tail(*[F.expr(f"cast({x} as double)") for x in (k, big_m, big_n, n)])
+    upper = F.expr(f"exp({ln_hypergeom(k, big_m, big_n, n)})") * terms
+    lower = F.expr(f"exp({ln_hypergeom(f'{k} - 1', big_m, big_n, n)})") * terms
+    return (
+        F.when(F.expr(missing), None)
+        .when(F.expr(f"{k} > least({n}, {big_m})"), 0.0)
+        .when(F.expr(f"{k} <= greatest(0, {n} + {big_m} - {big_n})"), 1.0)
+        .when(
+            F.expr(f"{k} > cast({n} as double) * (cast({big_m} as double) / cast({big_n} as double))"),
+            F.least(upper, F.lit(1.0)),
+        )
+        .otherwise(F.greatest(1 - lower, F.lit(0.0)))
     )
 
 
