@@ -14,6 +14,8 @@ from caselight.sources.fixed_width import CUT, ERROR, read_fixed_width
 from caselight.sources.layouts import LAYOUTS, Layout
 from caselight.storage import scratch_path
 
+_LINES = 500_000  # records a file
+
 # (driver table, whole-number fields, text fields)
 _SOURCES = {
     "lineitem": (
@@ -96,10 +98,16 @@ def record_sql(layout: Layout, spoil: str | None = None) -> str:
     return f"concat({', '.join(parts)})"
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Records as compressed text, as most of one is padding; in files that are
+    small enough to be read side by side, as such a file cannot be split."""
+    lines.write.option("compression", "gzip").option("maxRecordsPerFile", _LINES).text(path)
+
+
 def write_records(spark: SparkSession, sf_dir: str, layout: Layout, record: str) -> str:
     path = scratch_path(spark, "extract")
     table = spark.read.parquet(f"{sf_dir}/{source_of(layout)}.parquet")
-    table.select(F.expr(record).alias("value")).write.text(path)
+    write_lines(table.select(F.expr(record).alias("value")), path)
     return path
 
 

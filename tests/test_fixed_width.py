@@ -137,3 +137,17 @@ def test_parsing_needs_no_shuffle(spark):
     df = spark.range(10).select(F.lit("   1xhello").alias("value"))
     plan = parse_fixed_width(df, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_extracts_are_written_compressed_in_small_files(spark, tmp_path, monkeypatch):
+    from checks import loads
+
+    monkeypatch.setattr(loads, "_LINES", 300)
+    layout = make_layout("check.padded", "padded.txt", "key:11# note:200")
+    path = str(tmp_path / "padded.txt")
+    loads.write_lines(spark.range(1000).coalesce(1).selectExpr("concat(lpad(string(id), 11, ' '), rpad('n', 200, ' ')) as value"), path)
+    files = list((tmp_path / "padded.txt").glob("part-*"))
+    assert len(files) == 4 and all(f.name.endswith(".gz") for f in files)
+    assert sum(f.stat().st_size for f in files) < 1000 * 211 / 10
+    back = read_fixed_width(spark, path, layout)
+    assert sorted((r["key"], r["note"]) for r in back.collect()) == [(k, "n") for k in range(1000)]
