@@ -114,7 +114,7 @@ _QUADRATURE_FROM = 100.0  # shape above which series get long
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(48)
 
 
-def _np_ln_gamma(a: np.ndarray) -> np.ndarray:
+def np_ln_gamma(a: np.ndarray) -> np.ndarray:
     y = a + _SHIFT
     product = np.ones_like(a)
     for i in range(_SHIFT):
@@ -124,6 +124,20 @@ def _np_ln_gamma(a: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + _HALF_LOG_TWO_PI + series - np.log(product)
 
 
+def np_digamma(a: np.ndarray) -> np.ndarray:
+    y = a + _SHIFT
+    w = 1.0 / (y * y)
+    series = 1 / 12 + w * (-1 / 120 + w * (1 / 252 + w * (-1 / 240 + w / 132)))
+    return np.log(y) - 0.5 / y - w * series - sum(1.0 / (a + i) for i in range(_SHIFT))
+
+
+def np_trigamma(a: np.ndarray) -> np.ndarray:
+    y = a + _SHIFT
+    w = 1.0 / (y * y)
+    series = 1 / 6 + w * (-1 / 30 + w * (1 / 42 + w * (-1 / 30 + w * 5 / 66)))
+    return 1 / y + w * (0.5 + series / y) + sum(1.0 / ((a + i) * (a + i)) for i in range(_SHIFT))
+
+
 def gamma_log_density(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Log of the unit-rate gamma density of shape a at x, stable for large a."""
     small = a < 10
@@ -140,7 +154,7 @@ def gamma_log_density(a: np.ndarray, x: np.ndarray) -> np.ndarray:
         - np.log(x)
     )
     small_a = np.where(small, a, 1.0)
-    small_value = (small_a - 1) * np.log(x) - x - _np_ln_gamma(small_a)
+    small_value = (small_a - 1) * np.log(x) - x - np_ln_gamma(small_a)
     return np.where(small, small_value, large_value)
 
 

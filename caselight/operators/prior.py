@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselight.functions.special import digamma, ln_gamma, number, trigamma
+from caselight.functions.special import np_digamma, np_ln_gamma, np_trigamma
 from caselight.operators.ordering import running
 from caselight.operators.signals import THETA_INIT, Theta
 from caselight.storage import written
@@ -104,31 +105,58 @@ def squash(
     return rest.unionByName(new)
 
 
-def _log_parts(theta: Theta, suffix: str = "") -> list[str]:
+def _log_parts(n: np.ndarray, e: np.ndarray, theta: Theta) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per row: the log weight of either part, and the chance of a count above
     zero. expm1 keeps that exact where it is tiny."""
-    a1, b1, a2, b2, p = (number(v) for v in theta.astuple())
+    a1, b1, a2, b2, p = theta.astuple()
 
-    def log_part(a: str, b: str, log_share: float) -> str:
-        return (
-            f"{number(log_share)} + {ln_gamma(f'{a} + N')} - {number(math.lgamma(float(a[:-1])))} - lgn "
-            f"- {a} * log1p(E / {b}) + N * (ln(E) - ln({b} + E))"
-        )
+    def log_part(a: float, b: float, log_share: float) -> np.ndarray:
+        of_n = _of_each(n, lambda x: np_ln_gamma(a + x) - np_ln_gamma(x + 1.0))
+        return log_share + of_n - math.lgamma(a) - a * np.log1p(e / b) + n * (np.log(e) - np.log(b + e))
+
+    seen = -(p * np.expm1(-a1 * np.log1p(e / b1)) + (1 - p) * np.expm1(-a2 * np.log1p(e / b2)))
+    return log_part(a1, b1, math.log(theta.p)), log_part(a2, b2, math.log1p(-theta.p)), seen
+
+
+def _of_each(n: np.ndarray, f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """``f`` of every count, worked out once for equal ones: there are few."""
+    distinct, at = np.unique(n, return_inverse=True)
+    return f(distinct)[at.ravel()]
+
+
+def _value(w: np.ndarray, one: np.ndarray, two: np.ndarray, seen: np.ndarray) -> float:
+    """The sum of a batch; a row whose chance to be seen rounds to nothing is left out."""
+    mixture = np.maximum(one, two) + np.log1p(np.exp(-np.abs(one - two)))
+    return -float(np.sum(np.where(seen <= 0, 0.0, w * (mixture - np.log(seen)))))
 
-    return [
-        f"{log_part(a1, b1, math.log(theta.p))} as part1{suffix}",
-        f"{log_part(a2, b2, math.log1p(-theta.p))} as part2{suffix}",
-        f"-({p} * expm1(-{a1} * log1p(E / {b1})) + (1 - {p}) * expm1(-{a2} * log1p(E / {b2}))) as seen{suffix}",
-    ]
 
+def _summed(
+    squashed: DataFrame, names: Sequence[str], sums: Callable[[np.ndarray, np.ndarray, np.ndarray], Sequence[float]]
+) -> DataFrame:
+    """One row: the totals of what ``sums(N, E, weight)`` says of each batch.
+
+    The formulas run on whole batches: as generated code they would be another
+    program for each theta, and one too long for the JVM to compile.
+    """
+    rows = squashed.selectExpr("double(N) as N", "double(E) as E", "double(weight) as w")
+    known = rows.where("N is not null and E > 0 and w is not null")
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                with np.errstate(all="ignore"):
+                    found = sums(*(rows[c].to_numpy(float) for c in ("N", "E", "w")))
+                yield pd.DataFrame([found], columns=list(names), dtype=float)
+
+    parts = known.mapInPandas(add, ", ".join(f"{c} double" for c in names))
+    return parts.agg(*[F.sum(c).alias(c) for c in names])
 
-def _log_mixture(suffix: str = "") -> str:
-    one, two = f"part1{suffix}", f"part2{suffix}"
-    return f"(greatest({one}, {two}) + log1p(exp(-abs({one} - {two}))))"
 
+def _value_sums(squashed: DataFrame, thetas: Sequence[Theta]) -> DataFrame:
+    def sums(n: np.ndarray, e: np.ndarray, w: np.ndarray) -> list[float]:
+        return [_value(w, *_log_parts(n, e, t)) for t in thetas]
 
-def _weighted(squashed: DataFrame) -> DataFrame:
-    return squashed.selectExpr("N", "E", "double(weight) as w", f"{ln_gamma('N + 1')} as lgn")
+    return _summed(squashed, [f"value_{i}" for i in range(len(thetas))], sums)
 
 
 def neg_log_lik(squashed: DataFrame, thetas: Sequence[Theta]) -> DataFrame:
@@ -137,10 +165,8 @@ def neg_log_lik(squashed: DataFrame, thetas: Sequence[Theta]) -> DataFrame:
     The thetas are parameters, a few dozen at most. Each has a sum of its own in
     one aggregate without keys, so no row is copied and every task sends one row.
     """
-    columns = [c for i, t in enumerate(thetas) for c in _log_parts(t, f"_{i}")]
-    parts = _weighted(squashed).selectExpr("w", *columns)
-    sums = [f"-sum(w * ({_log_mixture(f'_{i}')} - ln(seen_{i})))" for i in range(len(thetas))]
-    found = parts.selectExpr(f"array({', '.join(sums)}) as sums")
+    names = ", ".join(f"value_{i}" for i in range(len(thetas)))
+    found = _value_sums(squashed, thetas).selectExpr(f"array({names}) as sums")
     rows = [(i, *map(float, t.astuple())) for i, t in enumerate(thetas)]
     trial = squashed.sparkSession.createDataFrame(rows, "theta_id int, " + ", ".join(f"{c} double" for c in _THETA))
     return trial.withColumn("neg_log_lik", F.get(found.scalar(), F.col("theta_id")))
@@ -162,75 +188,57 @@ def slopes(squashed: DataFrame, theta: Theta) -> DataFrame:
     All 21 numbers are sums of one aggregate. Columns: ``value``, ``slope_i``
     and ``curve_i_j`` for i >= j.
     """
-    p = number(theta.p)
-    staged = _weighted(squashed).selectExpr("w", "N", "E", *_log_parts(theta))
-    # Of either part, for its own two parameters: u, v slopes of the log weight,
-    # uu, uv, vv curvatures; z, zv, zvv those of the log chance of zero.
-    parts = []
-    for j, a, b in (("1", theta.alpha1, theta.beta1), ("2", theta.alpha2, theta.beta2)):
-        a, b = number(a), number(b)
-        share, log1p = f"(E / ({b} + E))", f"log1p(E / {b})"
-        parts += [
-            f"{a} * ({digamma(f'{a} + N')} - {digamma(a)} - {log1p}) as u{j}",
-            f"{a} * {a} * ({trigamma(f'{a} + N')} - {trigamma(a)}) as bent{j}",
-            f"{a} * {share} as zv{j}",
-            f"N * {b} / ({b} + E) as left{j}",
-            f"-{a} * {share} * {b} / ({b} + E) as zvv{j}",
-            f"-({a} + N) * {share} * {b} / ({b} + E) as vv{j}",
-            f"-{a} * {log1p} as z{j}",
-        ]
-    one = staged.selectExpr("w", "part1", "part2", "seen", *parts)
-    two = one.selectExpr(
-        "*",
-        "1 / (1 + exp(part2 - part1)) as r",
-        f"{p} * exp(z1) / seen as q1",
-        f"(1 - {p}) * exp(z2) / seen as q2",
-        "u1 + bent1 as uu1", "u2 + bent2 as uu2",
-        "zv1 - left1 as v1", "zv2 - left2 as v2",
-    )
-    first = ["u1", "v1", None, None, f"(1 - {p})"]
-    second = [None, None, "u2", "v2", f"(-{p})"]
-    zero_first = ["z1", "zv1", None, None, f"(1 - {p})"]
-    zero_second = [None, None, "z2", "zv2", f"(-{p})"]
-
-    def mixed(x: str, a: str | None, y: str, b: str | None) -> str:
-        return " + ".join(f"{weight} * {c}" for weight, c in ((x, a), (y, b)) if c) or "0D"
-
-    told = two.selectExpr(
-        "*",
-        *[f"{mixed('r', first[i], '(1 - r)', second[i])} as g{i}" for i in range(5)],
-        *[f"{mixed('q1', zero_first[i], 'q2', zero_second[i])} as k{i}" for i in range(5)],
-    )
-    own = {(0, 0): ("uu1", "z1"), (1, 0): ("zv1", "zv1"), (1, 1): ("vv1", "zvv1"),
-           (2, 2): ("uu2", "z2"), (3, 2): ("zv2", "zv2"), (3, 3): ("vv2", "zvv2")}
-
-    def curve(i: int, j: int) -> str:
-        terms = [f"k{i} * k{j}"]
-        apart = [f"({first[k] or '0D'} - {second[k] or '0D'})" for k in (i, j)]
-        terms.append(f"r * (1 - r) * {apart[0]} * {apart[1]}")
-        for weight, zero in (("q1", zero_first), ("q2", zero_second)):
-            if zero[i] and zero[j]:
-                terms.append(f"{weight} * {zero[i]} * {zero[j]}")
-        if (i, j) in own:
-            bent, zero_bent = own[i, j]
-            mine, of_zero = ("r", "q1") if i < 2 else ("(1 - r)", "q2")
-            terms.append(f"{mine} * {bent} + {of_zero} * {zero_bent}")
+    names = ["value", *[f"slope_{i}" for i in range(5)]]
+    names += [f"curve_{i}_{j}" for i in range(5) for j in range(i + 1)]
+    return _summed(squashed, names, lambda n, e, w: _slope_sums(n, e, w, theta))
+
+
+def _slope_sums(n: np.ndarray, e: np.ndarray, w: np.ndarray, theta: Theta) -> list[float]:
+    """The 21 sums over a batch."""
+    p = theta.p
+    one, two, seen = _log_parts(n, e, theta)
+    r = 1 / (1 + np.exp(two - one))
+    nothing = np.zeros_like(e)
+    # Of either part, slopes of the log weight and of the log chance of zero for
+    # all five parameters, and the curvatures for its own two.
+    slope, zero, bent, zero_bent, log_zero = [], [], [], [], []
+    for at, a, b, mixed in ((0, theta.alpha1, theta.beta1, 1 - p), (2, theta.alpha2, theta.beta2, -p)):
+        share, log1p = e / (b + e), np.log1p(e / b)
+        of_n = _of_each(n, lambda x: np_digamma(a + x)) - np_digamma(np.array(a))
+        curved = _of_each(n, lambda x: np_trigamma(a + x)) - np_trigamma(np.array(a))
+        u, z, zv, left = a * (of_n - log1p), -a * log1p, a * share, b / (b + e)
+        slope.append([nothing] * at + [u, zv - n * left] + [nothing] * (2 - at) + [mixed])
+        # d log(chance of zero) / d ln b is a E / (b + E)
+        zero.append([nothing] * at + [z, zv] + [nothing] * (2 - at) + [mixed])
+        bent.append({(at, at): u + a * a * curved, (at + 1, at): zv, (at + 1, at + 1): -(a + n) * share * left})
+        zero_bent.append({(at, at): z, (at + 1, at): zv, (at + 1, at + 1): -a * share * left})
+        log_zero.append(z)
+    q = [p * np.exp(log_zero[0]) / seen, (1 - p) * np.exp(log_zero[1]) / seen]
+    mine = [r, 1 - r]
+    g = [r * slope[0][i] + (1 - r) * slope[1][i] for i in range(5)]
+    k = [q[0] * zero[0][i] + q[1] * zero[1][i] for i in range(5)]
+
+    def curve(i: int, j: int) -> float:
+        apart = (slope[0][i] - slope[1][i]) * (slope[0][j] - slope[1][j])
+        total = k[i] * k[j] + r * (1 - r) * apart
+        for part in range(2):
+            total = total + q[part] * zero[part][i] * zero[part][j]
+            if (i, j) in bent[part]:
+                total = total + mine[part] * bent[part][i, j] + q[part] * zero_bent[part][i, j]
         if i == j == 4:
-            terms.append(f"-{p} * (1 - {p}) * (1 + q1 + q2)")
-        return f"-sum(w * ({' + '.join(terms)})) as curve_{i}_{j}"
+            total = total - p * (1 - p) * (1 + q[0] + q[1])
+        return -float(np.sum(w * total))
 
-    return told.selectExpr(
-        f"-sum(w * ({_log_mixture()} - ln(seen))) as value",
-        *[f"-sum(w * (g{i} + k{i})) as slope_{i}" for i in range(5)],
+    return [
+        _value(w, one, two, seen),
+        *[-float(np.sum(w * (g[i] + k[i]))) for i in range(5)],
         *[curve(i, j) for i in range(5) for j in range(i + 1)],
-    )
+    ]
 
 
 def _values(table: DataFrame, points: Sequence[np.ndarray]) -> np.ndarray:
-    rows = neg_log_lik(table, [_to_theta(x) for x in points]).collect()
-    found = {r["theta_id"]: r["neg_log_lik"] for r in rows}
-    values = [found.get(i) for i in range(len(points))]
-    return np.array([math.inf if v is None or math.isnan(v) else v for v in values])
+    row = _value_sums(table, [_to_theta(x) for x in points]).first()
+    return np.array([math.inf if v is None or math.isnan(v) else v for v in row])
 
 
 def _at(table: DataFrame, x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:

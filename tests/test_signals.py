@@ -1,6 +1,7 @@
 import math
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -318,3 +319,30 @@ def test_counting_takes_more_parts_for_more_rows(spark, monkeypatch):
     assert got == want
     assert used and min(used) == 16
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_every_theta_runs_the_same_program(thinned):
+    """Were the numbers part of generated code, each step would compile anew."""
+
+    def plans(theta):
+        both = (prior.slopes(thinned, theta), prior._value_sums(thinned, [theta, THETA_INIT]))
+        texts = [df._jdf.queryExecution().optimizedPlan().toString() for df in both]
+        return [re.sub(r"#\d+L?|add\([^)]*\)", "", t) for t in texts]
+
+    assert plans(THETA_INIT) == plans(signals.Theta(30.0, 9.0, 0.01, 0.02, 0.99))
+
+
+def test_row_of_no_chance_is_left_out_of_the_value(spark):
+    """A row whose chance to be seen rounds to nothing, and rows that lack a value."""
+    schema = "N bigint, E double, weight bigint"
+    rows = [(1, 0.5, 2), (3, 1.5, 1)]
+    odd = [(1, 1e-320, 1), (None, 0.5, 1), (1, None, 1), (1, 0.0, 1)]
+    tiny = Theta(1e-9, 1e9, 1e-9, 1e9, 0.5)
+    for theta in (THETA_INIT, tiny):
+        few, all_ = (
+            prior.neg_log_lik(spark.createDataFrame(r, schema), [theta]).first()["neg_log_lik"]
+            for r in (rows, rows + odd[theta is THETA_INIT:])
+        )
+        assert all_ == pytest.approx(few, rel=1e-12)
+    nothing = spark.createDataFrame([], schema)
+    assert prior.neg_log_lik(nothing, [THETA_INIT]).first()["neg_log_lik"] is None
