@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselight.functions.special import digamma, gamma_cdf, gamma_log_density, ln_gamma, number
-from caselight.storage import dealt_to, written
+from caselight.storage import dealt_to, written, written_parts
 
 
 @dataclass(frozen=True)
@@ -44,10 +44,11 @@ def disproportionality(
     Rows with a NULL id or variable belong to no pair. One shuffle brings the
     rows of an id together, in as many parts as the rows need, so that what a
     task holds does not grow with the table; all that follows within an id needs
-    no other. (id, var1, var2) triples are made distinct, and pairs counted from
-    them. For the margins each triple gives three keys - var1, var2 and none -
-    whose ids are made distinct again. Rows are dealt by id alone, so a variable
-    found in most reports does not fill one task; only counts meet by variable.
+    no other. (id, var1, var2) triples are made distinct, and each gives four
+    keys - the pair, var1, var2 and none - whose ids are made distinct again and
+    counted; one plan does both, so the rows are read and shuffled once. Rows are
+    dealt by id alone, so a variable found in most reports does not fill one task;
+    only counts meet by variable.
     The counts are written once and joined from there, in parts of that number
     too; the joined table is stored, as callers read it several times.
 
@@ -65,16 +66,15 @@ def disproportionality(
         return F.struct(F.lit(kind).alias("kind"), first.alias("var1"), second.alias("var2"))
 
     keys = F.array(
-        key(_VAR1, F.col("var1"), none2), key(_VAR2, none1, F.col("var2")), key(_ALL, none1, none2)
-    )
-    ids = F.count(F.lit(1)).alias("ids")
-    pairs = triples.groupBy(F.lit(_PAIR).alias("kind"), "var1", "var2").agg(ids)
-    margins = (
-        triples.select("id", F.inline(keys)).distinct().groupBy("kind", "var1", "var2").agg(ids)
+        key(_PAIR, F.col("var1"), F.col("var2")),
+        key(_VAR1, F.col("var1"), none2),
+        key(_VAR2, none1, F.col("var2")),
+        key(_ALL, none1, none2),
     )
+    found = triples.select("id", F.inline(keys)).distinct()
+    tally = found.groupBy("kind", "var1", "var2").agg(F.count(F.lit(1)).alias("ids"))
     with dealt_to(df.sparkSession, parts):
-        counts = written(pairs.unionByName(margins), "pair-counts", "kind")
-        of_kind = {kind: counts.filter(F.col("kind") == kind) for kind in (_PAIR, _VAR1, _VAR2, _ALL)}
+        of_kind = written_parts(tally, "pair-counts", "kind", (_PAIR, _VAR1, _VAR2, _ALL))
         total = of_kind[_ALL].select(F.col("ids").cast("double")).scalar()
         counted = (
             of_kind[_PAIR]

@@ -321,6 +321,28 @@ def test_counting_takes_more_parts_for_more_rows(spark, monkeypatch):
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
 
 
+def test_counting_shuffles_the_rows_once(spark, monkeypatch):
+    """Pairs and margins come from one shuffle of the rows, and a small margin is
+    joined without a shuffle of the pairs."""
+    plans, write, parts = [], signals.written, signals.written_parts
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(signals, "written_parts", lambda df, *a: parts(seen(df), *a))
+    monkeypatch.setattr(signals, "written", lambda df, *a: write(seen(df), *a))
+    pairs = spark.createDataFrame([(k % 9, f"a{k % 4}", f"b{k % 5}") for k in range(60)], "id int, var1 string, var2 string")
+    assert signals.disproportionality(pairs).count() == 20
+    assert plans[0].count("REPARTITION_BY_NUM") == 1
+    assert "SortMergeJoin" not in plans[1]
+
+
+def test_counting_nothing(spark):
+    pairs = spark.createDataFrame([(1, None, "b")], "id int, var1 string, var2 string")
+    assert signals.disproportionality(pairs).collect() == []
+
+
 def test_every_theta_runs_the_same_program(thinned):
     """Were the numbers part of generated code, each step would compile anew."""
 
