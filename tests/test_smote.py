@@ -173,3 +173,80 @@ def test_many_classes_all_reach_the_largest(spark):
     df = spark.createDataFrame(rows, "id int, label int, a double, b double")
     got = smote(df, ["a", "b"], "label", "id").groupBy("label").count().collect()
     assert {r["label"]: r["count"] for r in got} == {c: 10 for c in range(12)}
+
+
+def test_later_passes_return_nothing_beyond_what_is_known(spark, monkeypatch):
+    df, rows = cloud(spark, {0: 150}, clumps=True)
+    compare, seen = neighbors._compare, []
+
+    def kept(visits, *rest):
+        seen.append((written(visits, "seen-visits"), written(compare(visits, *rest), "seen")))
+        return seen[-1][1]
+
+    monkeypatch.setattr(neighbors, "_compare", kept)
+    points = written(distinct_points(df, NAMES, "label", "id"), "points")
+    near = nearest_points(points, 5, chunk=40, fan=4)
+    assert near.count() == 150 * 5
+    visits, found = seen[1]
+    known = neighbors._kth_distance(seen[0][1], 5)
+    beyond = found.join(known, ["label", "point"]).where("distance > reach * (1 + 1e-9)")
+    assert beyond.count() == 0
+    assert found.count() < visits.count() * 5
+
+
+def test_tiles_and_order_of_a_comparison(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(neighbors, "_TILE", 16)
+    monkeypatch.setattr(neighbors, "_BLOCK", 8)
+    b = rng.integers(0, 3, size=(90, 3)).astype(float)  # many ties
+    b[7] = np.inf
+    order = rng.permutation(90)
+    own = np.arange(90)
+    named = rng.random((90, 90)) < 0.6
+    with np.errstate(invalid="ignore"):
+        exact = np.sqrt(((b[:, None] - b[None]) ** 2).sum(-1))
+    for pairs, reach in ((None, None), (named, None), (None, np.full(90, 1.0)), (named, np.full(90, 1.5))):
+        judge = None if pairs is None else lambda r, c: pairs[r, c]
+        with np.errstate(invalid="ignore"):
+            row, col, away = neighbors._nearest(b, b, 4, own, order, reach, judge)
+        for i in range(90):
+            sound = [j for j in range(90) if j != i and np.isfinite(exact[i, j])]
+            sound = [j for j in sound if pairs is None or pairs[i, j]]
+            sound = [j for j in sound if reach is None or exact[i, j] <= reach[i]]
+            assert list(col[row == i]) == sorted(sound, key=lambda j: (exact[i, j], order[j]))[:4]
+
+
+def test_pairs_named_by_many_tables_are_compared_once(spark, monkeypatch):
+    df, rows = cloud(spark, {0: 120, 1: 30})
+    points = written(distinct_points(df, NAMES, "label", "id"), "points")
+    compare, sent = neighbors._compare, []
+
+    def counted(visits, *rest):
+        sent.append(visits.count())
+        return compare(visits, *rest)
+
+    monkeypatch.setattr(neighbors, "_compare", counted)
+    got = neighbors.nearest_points_lsh(points, 5, tables=4, bits=2, probes=1, chunk=50)
+    assert sent == [150]
+    # What the tables name, by the definition.
+    planes = np.random.default_rng(0).normal(size=(8, 3))
+    at = {r["point"]: np.array(r["vec"]) for r in points.collect()}
+    label = {r["point"]: r["label"] for r in points.collect()}
+    key = {r["point"]: r["first_key"] for r in points.collect()}
+
+    def codes(p):
+        margins = (planes @ p).reshape(4, 2)
+        own = [sum(1 << i for i in range(2) if m[i] > 0) for m in margins]
+        return own, [{c, c ^ (1 << int(np.argmin(np.abs(m))))} for c, m in zip(own, margins)]
+
+    coded = {p: codes(v) for p, v in at.items()}
+    near = {}
+    for r in got.orderBy("slot").collect():
+        near.setdefault(r["point"], []).append(r["neighbour"])
+    for p in at:
+        named = [
+            q for q in at
+            if q != p and label[q] == label[p] and any(o in s for o, s in zip(coded[q][0], coded[p][1]))
+        ]
+        named.sort(key=lambda q: (np.sqrt(((at[p] - at[q]) ** 2).sum()), key[q]))
+        assert near[p] == named[:5]
