@@ -250,3 +250,15 @@ def test_pairs_named_by_many_tables_are_compared_once(spark, monkeypatch):
         ]
         named.sort(key=lambda q: (np.sqrt(((at[p] - at[q]) ** 2).sum()), key[q]))
         assert near[p] == named[:5]
+
+
+def test_points_do_not_pass_through_the_driver(spark):
+    df, _ = cloud(spark, {0: 60, 1: 20})
+    plans = [
+        smote(df, NAMES, "label", "id")._jdf.queryExecution().executedPlan().toString(),
+        knn_within_class(df, NAMES, "label", "id", 3)._jdf.queryExecution().executedPlan().toString(),
+    ]
+    for plan in plans:
+        joins = [line for line in plan.splitlines() if "Join " in line]
+        assert any("SortMergeJoin" in j and "point" in j for j in joins)
+        assert not any("BroadcastHashJoin" in j and ("point" in j or "neighbour" in j or "row" in j) for j in joins)
