@@ -18,6 +18,9 @@ from caselight.llm import text as T
 
 SLICE = 1 << 18
 BITS = 26
+MOST_BITS = 29
+_BLOCK = 9
+_PROBES = 8
 _FLUSH = 1 << 20
 _PLACE = np.uint64(20)
 _PLACES = np.uint64((1 << 20) - 1)
@@ -98,6 +101,40 @@ class Filter:
         return (self.bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
 
+class Probed(Filter):
+    """The same, with several bits to a hash, all in one block of 512. Hashes are
+    mixed first: anchors are the least of many, so their first bits are nearly
+    all zero, and would fill a small part of the filter and leave the rest empty."""
+
+    def __init__(self, bits: np.ndarray, probes: int):
+        super().__init__(bits)
+        self.probes = probes
+
+    def may_hold(self, h: np.ndarray) -> np.ndarray:
+        values = _mixed(h)
+        at = np.arange(len(values))
+        for k in range(self.probes):
+            place = _places(values[at], len(self.bits) * 8, k)
+            at = at[(self.bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)]
+        found = np.zeros(len(values), dtype=bool)
+        found[at] = True
+        return found
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """48 bits of each hash, spread evenly."""
+    return T.mix(h) >> np.uint64(16)
+
+
+def _places(values: np.ndarray, size: int, k: int) -> np.ndarray:
+    """The ``k``th bit of mixed hashes in a filter of ``size`` bits."""
+    place = (values >> np.uint64(49 - size.bit_length())).astype(np.int64)
+    if not k:
+        return place
+    within = T.mix(values) >> np.uint64(_BLOCK * (k - 1)) & np.uint64((1 << _BLOCK) - 1)
+    return place >> _BLOCK << _BLOCK | within.astype(np.int64)
+
+
 def repeated(
     rows: DataFrame,
     hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
@@ -107,17 +144,20 @@ def repeated(
     """A filter of the hashes that come ``least`` times or more. ``hashes`` gives
     those of a batch; ``expected`` is about how many there are in all.
 
-    They are counted by ranges of their first bits. Each task sends a hash at
-    most ``least`` times a flush, so a hot one costs no more than a rare one. Only
-    the bits come to the driver, ``2 ** BITS`` of them whatever is counted.
+    They are counted by ranges of their first bits, once mixed, so ranges are even.
+    Each task sends a hash at most ``least`` times a flush, so a hot one costs no
+    more than a rare one. Only the bits come to the driver: ``2 ** BITS`` of them,
+    or three for each that is expected, up to ``2 ** MOST_BITS``. A hash has as many
+    bits as suit the number there is room for, one if the filter is crowded.
     """
-    parts = 1 << min(BITS - 3, max(4, (expected >> 21).bit_length()))
-    shift = np.uint64(65 - parts.bit_length())
+    total = 1 << min(MOST_BITS, max(BITS, (3 * expected).bit_length()))
+    parts = 1 << min(total.bit_length() - 1 - _BLOCK, max(4, (expected >> 20).bit_length()))
+    shift = np.uint64(49 - parts.bit_length())
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        values, n = np.unique(np.concatenate(held), return_counts=True)
-        values = np.repeat(values, np.minimum(n, least)) >> np.uint64(16)
-        owner = (values << np.uint64(16) >> shift).astype(np.int64)
+        values, n = np.unique(_mixed(np.concatenate(held)), return_counts=True)
+        values = np.repeat(values, np.minimum(n, least))
+        owner = (values >> shift).astype(np.int64)
         edges = np.flatnonzero(np.diff(owner, prepend=-1, append=parts))
         cuts = list(zip(edges, edges[1:]))
         return pa.RecordBatch.from_arrays(
@@ -145,15 +185,19 @@ def repeated(
         part = table.column("part")[0].as_py()
         every = [unpacked(x, n) for n, x in zip(table.column("n").to_pylist(), table.column("hashes").to_pylist())]
         values, n = np.unique(np.concatenate(every), return_counts=True)
-        place = (values[n >= least] >> np.uint64(48 - BITS)).astype(np.int64)
-        bits = np.zeros((1 << BITS) // parts, dtype=np.uint8)
-        bits[place - part * len(bits)] = 1
-        return pa.table({"part": pa.array([part], pa.int32()), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+        values = values[n >= least]
+        bits = np.zeros(total // parts, dtype=np.uint8)
+        # The number of bits that leaves about half of them empty.
+        probes = min(_PROBES, max(1, round(0.69 * len(bits) / max(1, len(values)))))
+        for k in range(probes):
+            bits[_places(values, total, k) - part * len(bits)] = 1
+        packed_bits = np.packbits(bits, bitorder="little").tobytes()
+        return pa.table({"part": pa.array([part], pa.int32()), "probes": pa.array([probes], pa.int32()), "bits": [packed_bits]})
 
     counted = rows.mapInArrow(send, "part int, n int, hashes binary")
-    told = counted.groupBy("part").applyInArrow(count, "part int, bits binary").collect()
-    bits = np.zeros((1 << BITS) // 8, dtype=np.uint8)
+    told = counted.groupBy("part").applyInArrow(count, "part int, probes int, bits binary").collect()
+    bits = np.zeros(total // 8, dtype=np.uint8)
     size = len(bits) // parts
     for row in told:
         bits[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
-    return Filter(bits)
+    return Probed(bits, min((row["probes"] for row in told), default=1))

@@ -164,3 +164,25 @@ def test_counted_hashes(spark):
     thrice = anchors.repeated(rows, hashes, 10, least=3)
     assert thrice.may_hold(np.array(values, np.uint64)).tolist() == [False] * 3 + [True] * 3
     assert not anchors.repeated(rows.where(F.lit(False)), hashes, 0).bits.any()
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_filters_keep_little_that_is_single(spark, monkeypatch, crowded):
+    """Anchors are least hashes, so their first bits are nearly all zero: parts and
+    bits dealt by those make one large part and a small filter that is full."""
+    if crowded:
+        monkeypatch.setattr(anchors, "BITS", 14)
+        monkeypatch.setattr(anchors, "MOST_BITS", 14)
+    rng = np.random.default_rng(8)
+    values = np.unique(rng.integers(1 << 30, 1 << 44, 60_000, dtype=np.uint64))
+    rng.shuffle(values)
+    twice, once = values[:15_000], values[15_000:]
+    held = np.concatenate([twice, twice, once[:5000]]).view(np.int64).tolist()
+    rows = spark.createDataFrame([(v,) for v in held], "h long").repartition(3)
+
+    def hashes(batch):
+        yield batch.column("h").to_numpy().view(np.uint64)
+
+    found = anchors.repeated(rows, hashes, 10)
+    assert found.may_hold(twice).all()
+    assert crowded or found.may_hold(once).mean() < 0.001
