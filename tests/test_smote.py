@@ -262,3 +262,140 @@ def test_points_do_not_pass_through_the_driver(spark):
         joins = [line for line in plan.splitlines() if "Join " in line]
         assert any("SortMergeJoin" in j and "point" in j for j in joins)
         assert not any("BroadcastHashJoin" in j and ("point" in j or "neighbour" in j or "row" in j) for j in joins)
+
+
+def watched(monkeypatch):
+    """What each comparison is asked and what it returns, as stored tables."""
+    compare, seen = neighbors._compare, []
+
+    def kept(visits, *rest):
+        seen.append((written(visits, "asked"), written(compare(visits, *rest), "returned")))
+        return seen[-1][1]
+
+    monkeypatch.setattr(neighbors, "_compare", kept)
+    return seen
+
+
+def test_points_are_not_sent_to_each_cell_by_themselves(spark, monkeypatch):
+    df, rows = cloud(spark, {0: 300})  # no cell can be ruled out
+    seen = watched(monkeypatch)
+    got = {}
+    for r in knn_within_class(df, NAMES, "label", "id", 5, chunk=16, fan=4).orderBy("key", "slot").collect():
+        got.setdefault(r["key"], []).append(r["neighbour"])
+    assert got == brute(rows, 5)
+    assert all(asked.count() <= 300 for asked, _ in seen)
+    assert len(seen) == 3
+
+
+def test_a_comparison_returns_the_best_of_all_its_parts(spark, monkeypatch):
+    df, _ = cloud(spark, {0: 120, 1: 30})
+    points = written(distinct_points(df, NAMES, "label", "id"), "points")
+    seen = watched(monkeypatch)
+    assert neighbors.nearest_points_lsh(points, 5, tables=4, bits=2, probes=1, chunk=25).count() == 750
+    (asked, returned), = seen
+    assert returned.count() == 5 * asked.count() == 750
+
+
+def test_parts_of_a_class_do_not_grow_in_number(spark):
+    def dealt(size, chunk=65536):
+        sizes = spark.createDataFrame([(0, "", size)], "label int, cell string, size long")
+        return neighbors._deals(sizes.select("label", "cell"), sizes, chunk, None).collect()
+
+    assert len(dealt(3000)) == 1
+    for size in (100_000, 1_000_000):
+        rows = dealt(size)
+        assert {r["part"] for r in rows} == set(range(16))
+        tasks = [(r["i"], r["j"]) for r in rows]
+        assert len(set(tasks)) == 16 * 17 // 2 and len(tasks) == 16 * 16  # each pair once, each part 16 times
+    assert {r["part"] for r in dealt(2_000_000)} == set(range(31))
+
+
+def test_pairs_of_cells_are_sent_once_for_both_ways(spark):
+    sizes = spark.createDataFrame([(0, c, 10) for c in "abc"], "label int, cell string, size long")
+    beside = spark.createDataFrame([(0, "a", "b"), (0, "b", "a"), (0, "c", "a")], "label int, cell string, other string")
+    rows = neighbors._deals(beside.select("label", "cell").distinct(), sizes, 65536, beside).collect()
+    assert sorted((r["one"], r["two"], r["cell"], r["side"], r["asks"], r["told"]) for r in rows) == [
+        ("a", "b", "a", 0, True, True),
+        ("a", "b", "b", 1, True, True),
+        ("a", "c", "a", 0, False, True),
+        ("a", "c", "c", 1, True, False),
+    ]
+
+
+def test_visits_count_the_guests_that_need_a_leaf(spark):
+    df, rows = cloud(spark, {0: 200}, clumps=True)
+    points = written(distinct_points(df, NAMES, "label", "id"), "points")
+    cells, tree = neighbors._tree(points, 16, 4)
+    sizes = cells.groupBy("label", "cell").agg(F.count("*").alias("size"))
+    known = neighbors._kth_distance(neighbors._compare(cells, cells, sizes, 5, 16), 5)
+    homes = cells.select("label", "point", F.col("cell").alias("home")).join(known, ["label", "point"], "left")
+    visits = neighbors._visits(homes, points, tree, 16)
+    assert visits.agg(F.sum("guests")).first()[0] < cells.count() * sizes.count() / 2
+    # Every leaf that holds a point within reach of one of a home is named.
+    at = {r["point"]: (r["cell"], np.array(r["vec"])) for r in cells.collect()}
+    reach = {r["point"]: r["reach"] for r in known.collect() if r["reach"] is not None}
+    named = {(r["home"], r["cell"]) for r in visits.collect()}
+    for p, (home, here) in at.items():
+        for cell, there in at.values():
+            if cell != home and np.sqrt(((here - there) ** 2).sum()) <= reach.get(p, np.inf):
+                assert (home, cell) in named
+
+
+def test_blocks_hold_leaves_of_one_parent_up_to_a_share(spark):
+    df, _ = cloud(spark, {0: 400, 1: 90, 2: 5})
+    points = written(distinct_points(df, NAMES, "label", "id"), "points")
+    cells, tree = neighbors._tree(points, 40, 8)
+    blocks = written(neighbors._blocks(cells, tree, 40), "blocks")
+    leaves = cells.where("cell <> ''").select("label", F.col("cell").alias("leaf")).distinct()
+    assert leaves.exceptAll(blocks.select("label", "leaf")).count() == 0
+    assert blocks.count() == leaves.count() > blocks.select("label", "block").distinct().count()
+    held = cells.withColumnRenamed("cell", "leaf").join(blocks, ["label", "leaf"]).groupBy("label", "block").count()
+    assert held.agg(F.max("count")).first()[0] <= 40
+    parents = blocks.groupBy("label", "block").agg(F.countDistinct(F.regexp_replace("leaf", "[^/]*$", "")).alias("n"))
+    assert parents.where("n > 1").count() == 0
+
+
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 16, "fan": 4}])
+def test_single_and_double_precision_and_infinite_points(spark, sizes):
+    rng = np.random.default_rng(5)
+    single = rng.normal(size=(60, 3)).astype(np.float32).astype(float)
+    double = np.vstack([single[:30] + 1e-12, rng.normal(size=(30, 3)) * 1e3])  # not told apart in single precision
+    rows = [(i, 0, *map(float, p)) for i, p in enumerate(np.vstack([single, double]))]
+    df = spark.createDataFrame(
+        rows + [(200, 0, float("inf"), 0.0, 1e300)], "id long, label int, x double, y double, z double"
+    )
+    got = {}
+    for r in knn_within_class(df, NAMES, "label", "id", 3, **sizes).orderBy("key", "slot").collect():
+        got.setdefault(r["key"], []).append(r["neighbour"])
+    assert {k: v for k, v in got.items() if k != 200} == brute(rows, 3)
+
+
+def test_buckets_that_name_few_pairs(spark):
+    df, _ = cloud(spark, {0: 150})
+    points = written(distinct_points(df, NAMES, "label", "id"), "points")
+    got = {}
+    for r in neighbors.nearest_points_lsh(points, 4, tables=2, bits=4, probes=2, chunk=20).orderBy("slot").collect():
+        got.setdefault(r["point"], []).append(r["neighbour"])
+    planes = np.random.default_rng(0).normal(size=(8, 3))
+    at = {r["point"]: np.array(r["vec"]) for r in points.collect()}
+
+    def codes(p):
+        margins = (planes @ p).reshape(2, 4)
+        own = [sum(1 << i for i in range(4) if m[i] > 0) for m in margins]
+        return own, [{c, *(c ^ (1 << int(i)) for i in np.argsort(np.abs(m))[:2])} for c, m in zip(own, margins)]
+
+    coded = {p: codes(v) for p, v in at.items()}
+    for p in at:
+        named = [q for q in at if q != p and any(o in s for o, s in zip(coded[q][0], coded[p][1]))]
+        named.sort(key=lambda q: ((at[p] - at[q]) ** 2).sum())
+        assert got.get(p, []) == named[:4]
+
+
+def test_tiles_out_of_reach_are_not_compared(monkeypatch):
+    rng = np.random.default_rng(6)
+    b = np.vstack([rng.normal(size=(1024, 4)) + 100 * i for i in range(4)])
+    measured, exact = [], neighbors._exact
+    monkeypatch.setattr(neighbors, "_exact", lambda a, b, row, col: measured.append(set(col // 1024)) or exact(a, b, row, col))
+    row, col, away = neighbors._nearest(b, b, 3, np.arange(len(b)), np.arange(len(b)), np.full(len(b), 50.0))
+    assert all(len(tiles) == 1 for tiles in measured)
+    assert (row // 1024 == col // 1024).all() and len(row) == 3 * len(b)
